@@ -27,11 +27,16 @@ SKETCH_ACCURACY = 10_000
 def with_scalars(rows: DataFrame, one_row: DataFrame, name: str = "_g") -> DataFrame:
     """Put a one-row aggregate beside every row as struct column ``name``.
 
-    It is an uncorrelated scalar subquery: computed once, then a constant of the
-    stage. No join and no window over the whole table.
+    The row is fetched and becomes literals: later passes see constants that fold into
+    the generated code, and chained statistics do not nest their plans into each other.
+    No join and no window over the whole table.
     """
-    packed = one_row.select(F.struct(*one_row.columns).alias(name))
-    return rows.select("*", packed.scalar().alias(name))
+    row = one_row.first()
+    fields = [
+        F.lit(row[f.name] if row is not None else None).cast(f.dataType).alias(f.name)
+        for f in one_row.schema.fields
+    ]
+    return rows.withColumn(name, F.struct(*fields))
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

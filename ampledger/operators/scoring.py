@@ -15,6 +15,7 @@ from ampledger.functions.columns import (
     total,
 )
 from ampledger.operators.grouped import attach, group_quantiles, running_total, with_scalars
+from ampledger.session import checkpointed
 
 #: Default fusion weights and ratio band.
 WEIGHTS = {"iso": 0.7, "ratio": 0.3}
@@ -131,14 +132,18 @@ def score_meters(
     missing: str = "median",
     threshold: float = FLAG_THRESHOLD,
 ) -> DataFrame:
-    """Adds ``iso_score, ratio_score, composite_score, anomaly_flag`` to every meter."""
+    """Adds ``iso_score, ratio_score, composite_score, anomaly_flag`` to every meter.
+
+    The scored table (one row per meter) is written once: what follows reads columns
+    instead of carrying the whole score expression into every rule.
+    """
     filled = fill_missing(df, raw, missing, "_raw")
     filled = fill_missing(filled, ratio, missing, "_ratio")
     scored = normalise_scores(filled, "_raw", normalisation, "iso_score")
     scored = scored.withColumn("ratio_score", ratio_score("_ratio"))
     parts = {"iso": F.col("iso_score"), "ratio": F.col("ratio_score")}
     composite = clip(fuse(parts, weights or WEIGHTS, fusion), 0.0, 1.0)
-    return (
+    return checkpointed(
         scored.withColumn("composite_score", composite)
         .withColumn("anomaly_flag", (F.col("composite_score") >= threshold).cast("int"))
         .drop("_raw", "_ratio")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ampledger.operators.features import consumption_ratio, transformer_baseline
 from ampledger.operators.grouped import with_scalars
+from ampledger.session import checkpointed
 
 GPS_SQL = (
     "14.4 + (({k} * 7919 + {k} * {k} * 31) % 3000) / 10000.0::DOUBLE AS lat, "
@@ -87,10 +88,13 @@ class Tables:
         return monthly.join(meters, "meter_id").select("meter_id", "transformer_id", "month", "kwh")
 
     def facts(self) -> DataFrame:
-        """Every sparse meter with its ratio (NULL without readings) and raw score."""
+        """Every sparse meter with its ratio (NULL without readings) and raw score.
+
+        Written once: one row per meter, which the scoring passes then read several times.
+        """
         long = self.sparse()
         ratios = consumption_ratio(long, transformer_baseline(long)).select("meter_id", "mean_kwh", "ratio")
-        return self.sparse_meters().join(ratios, "meter_id", "left")
+        return checkpointed(self.sparse_meters().join(ratios, "meter_id", "left"))
 
     def geography(self) -> DataFrame:
         """Transformer → district / city dimension: nations within regions."""
