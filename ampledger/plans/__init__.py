@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["cleaning", "modelling"]
+SECTIONS = ["intake", "cleaning", "modelling"]
 
 
 def load_all() -> dict:

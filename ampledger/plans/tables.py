@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ampledger.operators.features import consumption_ratio, transformer_baseline
 from ampledger.operators.grouped import with_scalars
+from ampledger.operators.reshape import to_wide
+from ampledger.operators.risk import level_of
 from ampledger.session import checkpointed
 
 GPS_SQL = (
@@ -96,6 +98,59 @@ class Tables:
         ratios = consumption_ratio(long, transformer_baseline(long)).select("meter_id", "mean_kwh", "ratio")
         return checkpointed(self.sparse_meters().join(ratios, "meter_id", "left"))
 
+    def wide_meters(self) -> DataFrame:
+        """Customers as a wide meters table: attributes and one column per month."""
+        attributes = self.sparse_meters().select(
+            F.col("meter_id"),
+            "transformer_id",
+            "customer_class",
+            F.concat(F.lit("NATION_"), F.col("transformer_id").cast("string")).alias("barangay"),
+            F.col("transformer_id").cast("int").alias("barangay_id"),
+            "lat",
+            "lon",
+            (F.lit(5.0) + F.col("meter_id") % 50).alias("kVA"),
+        )
+        return attributes.join(to_wide(self.sparse(), ["meter_id"]), "meter_id", "left")
+
+    def transformer_table(self) -> DataFrame:
+        """Nations as transformers of feeders (regions)."""
+        nation, region = self.table("nation"), self.table("region")
+        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+            F.col("n_nationkey").cast("long").alias("transformer_id"),
+            F.col("r_name").alias("feeder_id"),
+            F.col("n_name").alias("barangay"),
+            *gps("n_nationkey"),
+            (F.col("n_nationkey") * 50.0).alias("capacity_kVA"),
+        )
+
+    def label_table(self) -> DataFrame:
+        """Customers in debt as anomalous meters."""
+        return self.table("customer").where("c_acctbal < 0").select(
+            F.col("c_custkey").alias("meter_id"),
+            F.lit(1).alias("anomaly_flag"),
+            F.when(F.col("c_acctbal") < -500, F.lit("High")).otherwise(F.lit("Medium")).alias("risk_band"),
+            F.lit("low_consumption").alias("anomaly_type"),
+        )
+
+    def rollup_meters(self) -> DataFrame:
+        """Customers scored by account balance under four transformers per nation."""
+        stats = self.table("customer").agg(F.min("c_acctbal").alias("a"), F.max("c_acctbal").alias("b"))
+        scored = with_scalars(self.table("customer"), stats).select(
+            F.col("c_custkey").alias("meter_id"),
+            (F.col("c_nationkey") * 4 + F.col("c_custkey") % 4).alias("transformer_id"),
+            F.col("c_nationkey").alias("_nation"),
+            F.lower("c_mktsegment").alias("customer_class"),
+            *gps("c_custkey"),
+            (F.lit(5.0) + F.col("c_custkey") % 50).alias("kva"),
+            ((F.col("c_acctbal") - F.col("_g.a")) / (F.col("_g.b") - F.col("_g.a"))).alias("anomaly_score"),
+        )
+        places = self.geography().withColumnRenamed("transformer_id", "_nation")
+        return scored.join(places, "_nation").drop("_nation").withColumn("risk_level", level_of(F.col("anomaly_score")))
+
+    def rollup_long(self) -> DataFrame:
+        """Monthly readings of the roll-up meters."""
+        return self.sparse().withColumn("transformer_id", F.col("transformer_id") * 4 + F.col("meter_id") % 4)
+
     def geography(self) -> DataFrame:
         """Transformer → district / city dimension: nations within regions."""
         nation, region = self.table("nation"), self.table("region")
@@ -132,7 +187,27 @@ VIEWS = {
     "geography": """SELECT n_nationkey AS transformer_id, n_name AS barangay,
         lower(replace(r_name, ' ', '_')) AS city_id FROM nation JOIN region ON r_regionkey = n_regionkey""",
 }
+VIEWS |= {
+    "wide": f"""SELECT c_custkey AS meter_id, c_nationkey::BIGINT AS transformer_id, lower(c_mktsegment) AS customer_class,
+        'NATION_' || c_nationkey AS barangay, c_nationkey::INT AS barangay_id, {GPS_SQL.format(k='c_custkey')},
+        5.0::DOUBLE + c_custkey % 50 AS kVA FROM customer""",
+    "txs": f"""SELECT n_nationkey::BIGINT AS transformer_id, r_name AS feeder_id, n_name AS barangay,
+        {GPS_SQL.format(k='n_nationkey')}, n_nationkey * 50.0::DOUBLE AS capacity_kVA
+        FROM nation JOIN region ON r_regionkey = n_regionkey""",
+    "marked": """SELECT c_custkey AS meter_id, 1 AS anomaly_flag,
+        CASE WHEN c_acctbal < -500 THEN 'High' ELSE 'Medium' END AS risk_band FROM customer WHERE c_acctbal < 0""",
+    "rm": f"""SELECT c_custkey AS meter_id, c_nationkey * 4 + c_custkey % 4 AS transformer_id,
+        lower(c_mktsegment) AS customer_class, {GPS_SQL.format(k='c_custkey')}, 5.0::DOUBLE + c_custkey % 50 AS kva,
+        (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS anomaly_score,
+        barangay, city_id FROM customer JOIN geography ON geography.transformer_id = c_nationkey""",
+    "rmeters": """SELECT *, CASE WHEN anomaly_score >= 0.7 THEN 'HIGH' WHEN anomaly_score >= 0.4 THEN 'MEDIUM'
+        ELSE 'LOW' END AS risk_level FROM rm""",
+    "rlong": "SELECT meter_id, transformer_id * 4 + meter_id % 4 AS transformer_id, month, kwh FROM sparse",
+}
 NEEDS = {
+    "rm": ["geography"],
+    "rmeters": ["rm"],
+    "rlong": ["sparse"],
     "gaps": ["daily", "calendar"],
     "calendar": ["daily"],
     "baseline": ["sparse"],
