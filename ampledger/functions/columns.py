@@ -64,14 +64,15 @@ def greatest_of(columns: list[Column]) -> Column:
     return columns[0] if len(columns) == 1 else F.greatest(*columns)
 
 
+def arc_m(dlat: Column, dlon: Column, cos1: Column, cos2: Column) -> Column:
+    """Great-circle metres from coordinate differences in degrees and both cosines."""
+    a, b = F.sin(F.radians(dlat) / 2), F.sin(F.radians(dlon) / 2)
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a * a + cos1 * cos2 * b * b)))
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres between points in degrees."""
-    dlat = F.radians(lat2 - lat1) / 2
-    dlon = F.radians(lon2 - lon1) / 2
-    h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(
-        dlon
-    ) * F.sin(dlon)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return arc_m(lat2 - lat1, lon2 - lon1, F.cos(F.radians(lat1)), F.cos(F.radians(lat2)))
 
 
 def distance(metric: str, y1: Column, x1: Column, y2: Column, x2: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["intake", "cleaning", "modelling"]
+SECTIONS = ["intake", "cleaning", "modelling", "rollups", "places"]
 
 
 def load_all() -> dict:

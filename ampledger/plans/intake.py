@@ -289,10 +289,10 @@ def v7(t):
 @query(
     "v8_zero_variance",
     views("sparse")
-    + "SELECT meter_id, count(*) AS n_months FROM sparse GROUP BY 1 HAVING var_pop(floor(kwh / 500000)) = 0",
+    + "SELECT meter_id, count(*) AS n_months FROM sparse GROUP BY 1 HAVING var_pop(floor(kwh / 5000)) = 0",
 )
 def v8(t):
-    return Q.zero_variance(t.sparse().withColumn("kwh", F.floor(F.col("kwh") / 500000)))
+    return Q.zero_variance(t.sparse().withColumn("kwh", F.floor(F.col("kwh") / 5000)))
 
 
 @query(
@@ -334,7 +334,7 @@ SERIES_TEXT = {
         [
             _rule_sql("array_format", "readings", "txt", "s IS NULL OR s = 'invalid_data'"),
             _rule_sql("array_length", "readings", "txt", "s LIKE '[%' AND len(v) <> 10"),
-            _rule_sql("array_values", "readings", "txt", "s LIKE '[%' AND len(v) = 10 AND list_max(v) > 500000"),
+            _rule_sql("array_values", "readings", "txt", "s LIKE '[%' AND len(v) = 10 AND list_max(v) > 5000"),
         ]
     ),
 )
@@ -345,7 +345,7 @@ def v11(t):
     damaged = F.when(F.col("meter_id") % 17 == 0, F.lit(None)).when(F.col("meter_id") % 13 == 0, F.lit("invalid_data"))
     damaged = F.when((F.col("meter_id") % 17 == 0) | (F.col("meter_id") % 13 == 0), damaged).otherwise(text)
     parsed = series.select("meter_id", damaged.alias("s")).select("meter_id", Q.parse_array("s").alias("readings"))
-    return _flat(Q.check(parsed, Q.array_rules("readings", length=10, high=500_000.0), "meter_id"))
+    return _flat(Q.check(parsed, Q.array_rules("readings", length=10, high=5000.0), "meter_id"))
 
 
 VERDICT = """SELECT count(*) FILTER (severity = 'critical') = 0 AS is_valid,
@@ -445,7 +445,7 @@ def d1(t):
     return long.select("meter_id", F.date_format("month", "yyyyMM").alias("month"), "kwh")
 
 
-SERIES = """SELECT meter_id, string_agg(printf('%.2f', kwh), ',' ORDER BY month) AS series, count(*)::INT AS n
+SERIES = """SELECT meter_id, string_agg(printf('%.0f', kwh), ',' ORDER BY month) AS series, count(*)::INT AS n
     FROM sparse GROUP BY meter_id"""
 
 
@@ -457,7 +457,7 @@ SERIES = """SELECT meter_id, string_agg(printf('%.2f', kwh), ',' ORDER BY month)
 )
 def d2(t):
     folded = D.monthly_series(t.wide_meters().select("meter_id", *D.month_columns(t.wide_meters())))
-    texts = F.transform("monthly_consumptions", lambda x: F.format_string("%.2f", x))
+    texts = F.transform("monthly_consumptions", lambda x: F.format_string("%.0f", x))
     return folded.select("meter_id", F.array_join(texts, ",").alias("series"), F.size("monthly_consumptions").alias("n"))
 
 

@@ -82,7 +82,7 @@ class Tables:
         monthly = (
             self.table("orders")
             .groupBy(F.col("o_custkey").alias("meter_id"), F.trunc("o_orderdate", "month").alias("month"))
-            .agg(F.round(F.sum("o_totalprice"), 2).alias("kwh"))
+            .agg(F.floor(F.round(F.sum("o_totalprice"), 2) / 100).cast("double").alias("kwh"))
         )
         meters = self.table("customer").select(
             F.col("c_custkey").alias("meter_id"), F.col("c_nationkey").alias("transformer_id")
@@ -177,7 +177,7 @@ VIEWS = {
         lower(c_mktsegment) AS customer_class, c_acctbal AS raw_score,
         {GPS_SQL.format(k='c_custkey')} FROM customer""",
     "sparse": """SELECT o_custkey AS meter_id, c_nationkey AS transformer_id,
-        date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS kwh
+        date_trunc('month', o_orderdate)::DATE AS month, floor(round(sum(o_totalprice), 2) / 100)::DOUBLE AS kwh
         FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""",
     "baseline": """SELECT transformer_id, quantile_cont(kwh, 0.5) AS baseline FROM sparse
         WHERE kwh > 0 GROUP BY transformer_id""",
