@@ -192,7 +192,7 @@ def parse_array(text: str) -> Column:
     """``"[1, 2]"``, ``"1,2"`` or ``"1 2"`` as array of doubles; NULL if any part is no number."""
     bare = F.expr(f"btrim(btrim({text}, ' \\t\\n\\r'), '[](){{}}')")
     parts = F.when(F.contains(bare, F.lit(",")), F.split(bare, ",")).otherwise(F.split(bare, r"\s+"))
-    parts = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     numbers = F.transform(parts, lambda x: x.try_cast("double"))
     parsed = F.when(F.exists(numbers, lambda x: x.isNull()), F.lit(None)).otherwise(numbers)
     return F.when(F.col(text) != "", parsed)

@@ -1,0 +1,6 @@
+"""No operator here is a streaming one: the model has monthly readings and batch runs.
+
+Scoring with a stored model is row-local apart from the per-meter grouping, so a new
+batch is scored with :func:`ampledger.plans.pipelines.score_new_meters`, for example
+from ``foreachBatch``.
+"""
