@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampledger.operators.grouped import attach
-from ampledger.session import checkpointed
+from ampledger.session import bounded, checkpointed
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``; the root is the smallest node.
 
-    Each round every tree looks up the smallest label among its neighbours and hooks its
-    root there, then all labels jump two levels. The number of rounds grows with the
+    Every node starts with its smallest neighbour. Each round every tree looks up the
+    smallest label among its neighbours and hooks its root there, then all labels jump
+    two levels. The number of rounds grows with the
     logarithm of the longest path. A round is written to the checkpoint folder, so plans
     do not grow and a lost executor costs one round at most. Labels shared by many nodes
     are mapped through one row per label, never joined node by node.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(both.where("a != b").distinct())
-    labels = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    labels = checkpointed(first.withColumn("root", F.least("node", "root")))
     while True:
         reach = (
             both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("other")), "b")
@@ -30,8 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks = checkpointed(
             labels.join(reach, "node").groupBy("root").agg(F.min(F.least("root", "other")).alias("up"))
         )
-        if hooks.where("up < root").limit(1).count() == 0:
+        size = hooks.agg(F.count("*").alias("n"), F.count_if(F.col("up") < F.col("root")).alias("moved")).first()
+        if size.moved == 0:
             return labels
         upper = hooks.select(F.col("root").alias("up"), F.col("up").alias("top"))
-        jump = hooks.join(upper, "up").select("root", "top")
+        jump = bounded(hooks.join(upper, "up", "left").select("root", F.coalesce("top", "up").alias("top")), size.n)
         labels = checkpointed(attach(labels, jump, ["root"]).select("node", F.col("top").alias("root")))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ampledger.functions.columns import finite, is_close, sigmoid, total
 from ampledger.operators.grouped import group_quantiles, with_scalars
+from ampledger.session import no_larger, stored
 
 MIN_ROWS = 10
 CONTAMINATION = 0.12
@@ -94,7 +95,7 @@ def fit(
     as threshold, on the same scale as the scores it is compared with."""
     n = check_input(df, columns)
     model = detector.fit(df, list(columns))
-    scored = model.score(df).select(RAW)
+    scored = stored(model.score(df).select(RAW))
     stats = scored.agg(F.min(RAW).alias("low"), F.max(RAW).alias("high"), F.avg(RAW).alias("mean")).first()
     if threshold is None:
         threshold = score_threshold(scored, contamination).first()[0]
@@ -356,7 +357,7 @@ def threshold_sweep(scored: DataFrame, contaminations: Sequence[float], raw: str
     """One row per contamination from a single scoring: threshold, flagged meters, rate,
     mean score of the flagged and the others and their difference, best difference first."""
     names = {f"t{i}": 1.0 - c for i, c in enumerate(contaminations)}
-    cut = with_scalars(scored.select(raw), group_quantiles(scored, [], raw, names))
+    cut = with_scalars(no_larger(scored.select(raw), scored), group_quantiles(scored, [], raw, names))
     x = F.col(raw)
     measures = []
     for t in names:

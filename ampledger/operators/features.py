@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampledger.functions.columns import month_index, ols_slope, safe_ratio, sorted_median
-from ampledger.operators.grouped import attach, group_median, group_quantiles, running_total, with_scalars
+from ampledger.operators.grouped import (
+    attach,
+    group_median,
+    group_quantiles,
+    running_total,
+    with_scalars,
+)
+from ampledger.session import bounded, no_larger, row_bound, stored
 
 EPS = 1e-6
 #: Fixed value: scales the median absolute deviation to a normal standard deviation.
@@ -55,7 +62,7 @@ def meter_statistics(long: DataFrame, meter: str = "meter_id", month: str = "mon
 
 def _valid(long: DataFrame, value: str, include_zeros: bool) -> DataFrame:
     v = F.col(value)
-    return long.where(v.isNotNull() if include_zeros else v > 0)
+    return no_larger(long.where(v.isNotNull() if include_zeros else v > 0), long)
 
 
 def transformer_baseline(
@@ -71,7 +78,7 @@ def transformer_baseline(
     if statistic == "median":
         return group_median(valid, [group], value, output)
     if statistic == "mean":
-        return valid.groupBy(group).agg(F.avg(value).alias(output))
+        return no_larger(valid.groupBy(group).agg(F.avg(value).alias(output)), valid)
     if statistic == "trimmed_mean":
         return _trimmed_mean(valid, group, value, output)
     raise ValueError(f"unknown statistic {statistic!r}")
@@ -85,15 +92,14 @@ def _trimmed_mean(valid: DataFrame, group: str, value: str, output: str) -> Data
     """
     counted = valid.groupBy(group, value).agg(F.count("*").alias("_k"))
     ranked = running_total(counted, [value], F.col("_k"), [group], "_to")
-    sizes = valid.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = no_larger(valid.groupBy(group).agg(F.count("*").alias("_n")), valid)
     ranked = attach(ranked, sizes, [group])
     cut = F.floor(F.lit(TRIM_SHARE) * F.col("_n"))
     first = F.greatest(F.col("_to") - F.col("_k"), cut)
     last = F.least(F.col("_to"), F.col("_n") - cut)
     kept = F.greatest(last - first, F.lit(0))
-    return ranked.groupBy(group).agg(
-        (F.sum(F.col(value) * kept) / F.sum(kept)).alias(output)
-    )
+    means = ranked.groupBy(group).agg((F.sum(F.col(value) * kept) / F.sum(kept)).alias(output))
+    return no_larger(means, valid)
 
 
 def transformer_spread(
@@ -103,20 +109,25 @@ def transformer_spread(
     value: str = "kwh",
     include_zeros: bool = False,
     output: str = "spread",
+    centre: DataFrame | None = None,
 ) -> DataFrame:
+    """Spread of each transformer's readings; ``mad`` takes its medians from ``centre``
+    (``group, _m``) if they are known already."""
     valid = _valid(long, value, include_zeros)
     if statistic == "variance":
-        return valid.groupBy(group).agg(F.var_samp(value).alias(output))
+        return no_larger(valid.groupBy(group).agg(F.var_samp(value).alias(output)), valid)
     if statistic == "std":
-        return valid.groupBy(group).agg(F.stddev_samp(value).alias(output))
+        return no_larger(valid.groupBy(group).agg(F.stddev_samp(value).alias(output)), valid)
     if statistic == "iqr":
         q = group_quantiles(valid, [group], value, {"_a": 0.25, "_b": 0.75})
-        return q.select(group, (F.col("_b") - F.col("_a")).alias(output))
+        return no_larger(q.select(group, (F.col("_b") - F.col("_a")).alias(output)), valid)
     if statistic == "mad":
-        centred = attach(valid.select(group, value), group_median(valid, [group], value, "_m"), [group])
+        values = no_larger(valid.select(group, value), valid)
+        medians = group_median(valid, [group], value, "_m")
+        centred = attach(values, medians if centre is None else centre, [group])
         deviation = F.abs(F.col(value) - F.col("_m"))
         mad = group_median(centred, [group], deviation, output)
-        return mad.withColumn(output, F.col(output) * MAD_SCALE)
+        return no_larger(mad.withColumn(output, F.col(output) * MAD_SCALE), valid)
     raise ValueError(f"unknown statistic {statistic!r}")
 
 
@@ -173,7 +184,8 @@ def meter_trend(
             trend = F.try_divide(trend, first_y) * 100
     else:
         raise ValueError(f"unknown trend method {method!r}")
-    return stats.select(meter, F.when(F.col("_n") >= min_months, trend).alias(output))
+    trends = stats.select(meter, F.when(F.col("_n") >= min_months, trend).alias(output))
+    return no_larger(trends, long)
 
 
 def consumption_ratio(
@@ -186,10 +198,10 @@ def consumption_ratio(
     output: str = "ratio",
 ) -> DataFrame:
     """``meter, group, mean_kwh, baseline, ratio``: a meter against its transformer."""
-    meters = long.groupBy(meter, group).agg(F.avg(value).alias("mean_kwh"))
+    meters = no_larger(long.groupBy(meter, group).agg(F.avg(value).alias("mean_kwh")), long)
     joined = attach(meters, baseline, [group])
     ratio = safe_ratio(F.col("mean_kwh"), F.col(baseline_column))
-    return joined.select(meter, group, "mean_kwh", baseline_column, ratio.alias(output))
+    return no_larger(joined.select(meter, group, "mean_kwh", baseline_column, ratio.alias(output)), long)
 
 
 def trend_statistics(trends: DataFrame, trend: str = "trend") -> DataFrame:
@@ -233,14 +245,26 @@ def engineer_features(
     trend_method: str = "theil_sen",
     include_zeros: bool = False,
 ) -> DataFrame:
-    """``meter_id, transformer_id`` and the four engineered features, one row per meter."""
+    """``meter_id, transformer_id`` and the four engineered features, one row per meter.
+
+    ``long`` is read by every feature: hand in a stored table, not a long plan. The
+    baseline is computed once and serves the ratio and, as centre, the spread.
+    """
     base, spread, trend, ratio = ENGINEERED
-    baseline = transformer_baseline(long, baseline_statistic, include_zeros=include_zeros, output=base)
-    spreads = transformer_spread(long, spread_statistic, include_zeros=include_zeros, output=spread)
+    baseline = stored(
+        transformer_baseline(long, baseline_statistic, include_zeros=include_zeros, output=base)
+    )
+    centre = None
+    if baseline_statistic == "median":
+        centre = no_larger(baseline.withColumnRenamed(base, "_m"), baseline)
+    spreads = transformer_spread(
+        long, spread_statistic, include_zeros=include_zeros, output=spread, centre=centre
+    )
     trends = meter_trend(long, trend_method, include_zeros=include_zeros, output=trend)
     ratios = consumption_ratio(long, baseline, baseline_column=base, output=ratio)
     with_spread = attach(ratios, spreads, ["transformer_id"])
-    return with_spread.join(trends, "meter_id", "left").select("meter_id", "transformer_id", *ENGINEERED)
+    features = with_spread.join(trends, "meter_id", "left")
+    return no_larger(features.select("meter_id", "transformer_id", *ENGINEERED), long)
 
 
 def feature_coverage(features: DataFrame, columns: list[str], warn_below: float = 0.8) -> DataFrame:
@@ -268,6 +292,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     stacked = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "feature", "value"
     )
+    stacked = bounded(stacked, None if row_bound(df) is None else row_bound(df) * len(columns))
     moments = stacked.groupBy("feature").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),

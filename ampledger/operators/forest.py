@@ -54,6 +54,8 @@ def grow(rows: np.ndarray, features: np.ndarray, limit: int, rng: np.random.Gene
             continue
         feature = int(rng.choice(usable))
         cut = float(rng.uniform(low[feature], high[feature]))
+        if cut >= high[feature]:  # rounding must not leave one side empty
+            cut = float(low[feature])
         goes_left = part[:, feature] <= cut
         nodes.append([me, feature, cut, -1, -1, float(depth)])
         stack.append((part[~goes_left], depth + 1, me, 1))

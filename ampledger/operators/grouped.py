@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampledger.functions.columns import any_of, col, greatest_of
-from ampledger.session import checkpointed
+from ampledger.session import bounded, checkpointed, no_larger, row_bound, stored
 
 #: A statistics table is broadcast only after its row count was checked against this.
 BROADCAST_ROWS = 200_000
 #: Replicas of a statistics table that is too large to broadcast.
 SALTS = 32
+#: Tables proven to be no longer than this take exact percentiles in one aggregate, since
+#: even a single group of all rows fits one task.
+EXACT_ROWS = 1_000_000
 #: Rank resolution of the quantile sketch; its rank error is n / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 
@@ -36,31 +39,34 @@ def with_scalars(rows: DataFrame, one_row: DataFrame, name: str = "_g") -> DataF
         F.lit(row[f.name] if row is not None else None).cast(f.dataType).alias(f.name)
         for f in one_row.schema.fields
     ]
-    return rows.withColumn(name, F.struct(*fields))
+    return no_larger(rows.withColumn(name, F.struct(*fields)), rows)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no further than needed."""
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows: by its noted bound, else by counting
+    no further than needed."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    known = row_bound(df)
+    if known is not None and known <= max_rows:
+        return True
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def attach(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join per-group ``stats`` (unique on ``keys``) back to ``rows``.
 
-    ``stats`` is computed once and its size measured. Small: broadcast, so the rows
-    are not shuffled. Large: a hash join on (keys, salt), so that the rows of a hot
-    key spread over ``SALTS`` tasks.
+    A table whose bound is known to be small is broadcast as it is. Otherwise it is
+    computed once and counted. Small: broadcast, so the rows are not shuffled. Large: a
+    hash join on (keys, salt), so that the rows of a hot key spread over ``SALTS`` tasks.
     """
-    stats = checkpointed(stats)
-    if is_small(stats, max_rows):
-        return rows.join(F.broadcast(stats), keys, how)
-    return salted_join(rows, stats, keys, how)
+    known = row_bound(stats)
+    if known is None or known > BROADCAST_ROWS:
+        stats = stored(stats)
+    if is_small(stats):
+        joined = rows.join(F.broadcast(stats), keys, how)
+    else:
+        joined = salted_join(rows, stats, keys, how)
+    return no_larger(joined, rows)
 
 
 def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -88,9 +94,17 @@ def group_quantiles(
        order, and equal values are counted map-side.
     3. Only what is left (about n / accuracy distinct values) is ordered.
 
-    Groups with fewer than ``accuracy`` values skip the sketch and stay whole.
+    Groups with fewer than ``accuracy`` values skip the sketch and stay whole. A table
+    proven to be short takes the built-in exact percentile instead.
     """
     names = list(probs)
+    known = row_bound(rows)
+    if known is not None and known <= EXACT_ROWS:
+        exact = F.percentile(col(value).cast("double"), F.array(*[F.lit(probs[k]) for k in names]))
+        whole = rows.groupBy(*keys).agg(exact.alias("_p"))
+        picked = whole.select(*keys, *[F.col("_p")[i].alias(k) for i, k in enumerate(names)])
+        picked = picked.where(F.col(names[0]).isNotNull()) if keys else picked
+        return bounded(picked, known if keys else 1)
     margin = 3.0 / accuracy
     lows = [max(0.0, probs[k] - margin) for k in names]
     highs = [min(1.0, probs[k] + margin) for k in names]
@@ -158,7 +172,7 @@ def group_quantiles(
         exact = F.lit(probs[name]) * (F.col("_n") - 1)
         low, high = F.col(f"_l{i}"), F.col(f"_u{i}")
         out.append((low + (high - low) * (exact - F.floor(exact))).alias(name))
-    return picked.select(*keys, *out)
+    return no_larger(picked.select(*keys, *out), rows)
 
 
 def group_median(rows: DataFrame, keys: list[str], value: Column | str, name: str) -> DataFrame:
@@ -177,10 +191,15 @@ def running_total(
     Rows are range-partitioned by (keys, order) and written once; each range is
     summed on its own and shifted by the totals of the ranges before it, of which
     there are no more than shuffle partitions per key. ``(keys, order)`` must be
-    unique, so a hot value has to be counted into one row beforehand.
+    unique, so a hot value has to be counted into one row beforehand. A table proven to
+    be short is summed by one window instead.
     """
     keys = keys or []
     weight = F.lit(1).cast("long") if weight is None else weight
+    known = row_bound(df)
+    if known is not None and known <= EXACT_ROWS:
+        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+        return no_larger(df.withColumn(name, F.sum(weight).over(whole)), df)
     ranged = checkpointed(
         df.withColumn("_w", weight)
         .repartitionByRange(*keys, *order)

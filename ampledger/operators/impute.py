@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampledger.operators.grouped import attach, group_median
+from ampledger.session import no_larger
 
 STRATEGIES = (
     "zero",
@@ -54,11 +55,17 @@ def impute(
     The table must hold one row per meter and month, with NULL for a missing reading.
     Without ``group``, ``transformer_median`` is the plain forward and backward fill.
     """
+    return no_larger(_impute(long, strategy, meter, month, value, group, output), long)
+
+
+def _impute(
+    long: DataFrame, strategy: str, meter: str, month: str, value: str, group: str | None, output: str
+) -> DataFrame:
     v = F.col(value)
     if strategy == "zero":
         return long.withColumn(output, F.coalesce(v, F.lit(0.0)))
     if strategy == "mean":
-        stats = long.groupBy(month).agg(F.avg(v).alias("_fill"))
+        stats = no_larger(long.groupBy(month).agg(F.avg(v).alias("_fill")), long)
         filled = attach(long, stats, [month])
         return filled.withColumn(output, F.coalesce(v, F.col("_fill"))).drop("_fill")
     if strategy == "median":

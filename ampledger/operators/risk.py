@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ampledger.functions.columns import clip
 from ampledger.operators.grouped import group_median, with_scalars
+from ampledger.session import no_larger
 
 # Class defaults of the thresholds.
 HIGH_SCORE, MEDIUM_SCORE = 0.8, 0.6
@@ -79,7 +80,7 @@ def assess(df: DataFrame, ratio: str | None = "ratio", flag: str | None = "spati
     verdict = risk_class(
         F.col("risk_score"), F.col("composite_score"), F.col(ratio) if ratio else None, **thresholds
     )
-    return boosted.withColumn("_v", verdict).select(*boosted.columns, "_v.*")
+    return no_larger(boosted.withColumn("_v", verdict).select(*boosted.columns, "_v.*"), df)
 
 
 def risk_distribution(df: DataFrame, level: str = "risk_level") -> DataFrame:

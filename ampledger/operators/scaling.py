@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ampledger.functions.columns import clip
 from ampledger.operators.grouped import attach, group_quantiles, with_scalars
 from ampledger.operators.impute import impute
+from ampledger.session import no_larger, stored
 
 MIN_VALID_VALUES = 3
 
 
 def _valid(long: DataFrame, value: str, include_zeros: bool) -> DataFrame:
     v = F.col(value)
-    return long.where(v.isNotNull() if include_zeros else v > 0)
+    return no_larger(long.where(v.isNotNull() if include_zeros else v > 0), long)
 
 
 def outlier_bounds(
@@ -25,16 +26,18 @@ def outlier_bounds(
     group: str = "transformer_id",
     value: str = "kwh",
     include_zeros: bool = False,
+    with_median: bool = True,
 ) -> DataFrame:
     """``group, lower_bound, upper_bound, median, n_valid``; groups with fewer than
     three valid values have no bounds. Consumption cannot be negative, so the lower
     bound is at least 0. ``central_share`` is the percentage kept by ``percentile``.
+    Sigma bounds without the median are a single aggregate.
     """
     valid = _valid(long, value, include_zeros)
     counts = valid.groupBy(group).agg(
         F.count("*").alias("n_valid"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")
     )
-    probs = {"median": 0.5}
+    probs = {"median": 0.5} if with_median else {}
     if method == "iqr":
         probs |= {"_q1": 0.25, "_q3": 0.75}
     elif method == "percentile":
@@ -42,9 +45,9 @@ def outlier_bounds(
         probs |= {"_q1": tail, "_q3": 1.0 - tail}
     elif method != "sigma":
         raise ValueError(f"unknown outlier method {method!r}")
-    stats = counts.where(F.col("n_valid") >= MIN_VALID_VALUES).join(
-        group_quantiles(valid, [group], value, probs), group
-    )
+    stats = counts.where(F.col("n_valid") >= MIN_VALID_VALUES)
+    if probs:
+        stats = stats.join(group_quantiles(valid, [group], value, probs), group)
     if method == "sigma":
         low, high = F.col("_m") - threshold * F.col("_s"), F.col("_m") + threshold * F.col("_s")
     elif method == "iqr":
@@ -52,13 +55,14 @@ def outlier_bounds(
         low, high = F.col("_q1") - reach, F.col("_q3") + reach
     else:
         low, high = F.col("_q1"), F.col("_q3")
-    return stats.select(
+    bounds = stats.select(
         group,
         F.greatest(F.lit(0.0), low).alias("lower_bound"),
         high.alias("upper_bound"),
-        "median",
+        *(["median"] if with_median else []),
         "n_valid",
     )
+    return no_larger(bounds, long)
 
 
 def treat_outliers(
@@ -71,15 +75,17 @@ def treat_outliers(
 ) -> DataFrame:
     """Add ``output``, ``is_outlier`` and ``has_bounds``. With ``cap=False`` values are only marked."""
     v, low, high = F.col(value), F.col("lower_bound"), F.col("upper_bound")
-    joined = attach(long, bounds.select(group, "lower_bound", "upper_bound"), [group])
+    limits = no_larger(bounds.select(group, "lower_bound", "upper_bound"), bounds)
+    joined = attach(long, limits, [group])
     outside = F.coalesce((v < low) | (v > high), F.lit(False))
     capped = F.when(v < low, low).when(v > high, high).otherwise(v) if cap else v
-    return joined.select(
+    treated = joined.select(
         *long.columns,
         capped.alias(output),
         outside.alias("is_outlier"),
         high.isNotNull().alias("has_bounds"),
     )
+    return no_larger(treated, long)
 
 
 def outlier_summary(treated: DataFrame, value: str = "kwh") -> DataFrame:
@@ -112,9 +118,8 @@ def scale_params(
         stats = q.select(group, "centre", (F.col("_q3") - F.col("_q1")).alias("spread"))
     else:
         raise ValueError(f"unknown normalisation {method!r}")
-    return stats.withColumn(
-        "spread", F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.lit(1.0))
-    )
+    spread = F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.lit(1.0))
+    return no_larger(stats.withColumn("spread", spread), long)
 
 
 def normalise(
@@ -129,7 +134,7 @@ def normalise(
     scaled = (F.col(value) - F.col("centre")) / F.col("spread")
     if method == "minmax":
         scaled = clip(scaled, 0.0, 1.0)
-    return joined.select(*long.columns, scaled.alias(output))
+    return no_larger(joined.select(*long.columns, scaled.alias(output)), long)
 
 
 def denormalise(
@@ -142,7 +147,7 @@ def denormalise(
     """Inverse of :func:`normalise` from the stored parameters."""
     joined = attach(normalised, params, [group])
     restored = F.col(value) * F.col("spread") + F.col("centre")
-    return joined.select(*normalised.columns, restored.alias(output))
+    return no_larger(joined.select(*normalised.columns, restored.alias(output)), normalised)
 
 
 def preprocess(
@@ -152,9 +157,14 @@ def preprocess(
     outlier_threshold: float = 3.0,
     normalisation: str = "minmax",
 ) -> DataFrame:
-    """Impute, cap outliers, normalise: adds ``kwh_filled, kwh_capped, is_outlier, kwh_norm``."""
-    filled = impute(long, impute_strategy, group="transformer_id")
-    bounds = outlier_bounds(filled, outlier_method, outlier_threshold, value="kwh_filled")
+    """Impute, cap outliers, normalise: adds ``kwh_filled, kwh_capped, is_outlier, kwh_norm``.
+
+    The filled table is written once, since bounds, ranges and the result all read it.
+    """
+    filled = stored(impute(long, impute_strategy, group="transformer_id"))
+    bounds = outlier_bounds(
+        filled, outlier_method, outlier_threshold, value="kwh_filled", with_median=False
+    )
     capped = treat_outliers(filled, bounds, value="kwh_filled")
     params = scale_params(capped, normalisation, value="kwh_capped")
     return normalise(capped, params, normalisation, value="kwh_capped")

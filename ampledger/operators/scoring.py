@@ -15,7 +15,7 @@ from ampledger.functions.columns import (
     total,
 )
 from ampledger.operators.grouped import attach, group_quantiles, running_total, with_scalars
-from ampledger.session import checkpointed
+from ampledger.session import bounded, no_larger, row_bound, stored
 
 #: Default fusion weights and ratio band.
 WEIGHTS = {"iso": 0.7, "ratio": 0.3}
@@ -29,7 +29,7 @@ def fill_missing(df: DataFrame, column: str, policy: str = "median", output: str
     output = output or column
     clean = finite(column)
     if policy == "zero":
-        return df.withColumn(output, F.coalesce(clean, F.lit(0.0)))
+        return no_larger(df.withColumn(output, F.coalesce(clean, F.lit(0.0))), df)
     if policy == "mean":
         stats = df.agg(F.avg(clean).alias("fill"))
     elif policy == "median":
@@ -37,11 +37,15 @@ def fill_missing(df: DataFrame, column: str, policy: str = "median", output: str
     else:
         raise ValueError(f"missing scores can not be handled by {policy!r}")
     filled = F.coalesce(clean, F.col("_g.fill"), F.lit(0.0))
-    return with_scalars(df, stats).withColumn(output, filled).drop("_g")
+    return no_larger(with_scalars(df, stats).withColumn(output, filled).drop("_g"), df)
 
 
 def normalise_scores(df: DataFrame, column: str, method: str = "minmax", output: str = "score") -> DataFrame:
     """Bring ``column`` (no missing values) to [0, 1]."""
+    return no_larger(_normalise(df, column, method, output), df)
+
+
+def _normalise(df: DataFrame, column: str, method: str, output: str) -> DataFrame:
     x = F.col(column)
     if method == "percentile":
         return _percentile(df, column, output)
@@ -140,10 +144,10 @@ def score_meters(
     filled = fill_missing(df, raw, missing, "_raw")
     filled = fill_missing(filled, ratio, missing, "_ratio")
     scored = normalise_scores(filled, "_raw", normalisation, "iso_score")
-    scored = scored.withColumn("ratio_score", ratio_score("_ratio"))
+    scored = no_larger(scored.withColumn("ratio_score", ratio_score("_ratio")), scored)
     parts = {"iso": F.col("iso_score"), "ratio": F.col("ratio_score")}
     composite = clip(fuse(parts, weights or WEIGHTS, fusion), 0.0, 1.0)
-    return checkpointed(
+    return stored(
         scored.withColumn("composite_score", composite)
         .withColumn("anomaly_flag", (F.col("composite_score") >= threshold).cast("int"))
         .drop("_raw", "_ratio")
@@ -153,6 +157,7 @@ def score_meters(
 def score_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """mean, population std, min, max, quartiles of each score column."""
     stacked = df.select(*columns).unpivot([], columns, "score_name", "value")
+    stacked = bounded(stacked, None if row_bound(df) is None else row_bound(df) * len(columns))
     moments = stacked.groupBy("score_name").agg(
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),

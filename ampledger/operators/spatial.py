@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from ampledger.functions.columns import EARTH_RADIUS_M, arc_m, distance
 from ampledger.operators.components import connected_components
 from ampledger.operators.grouped import attach, running_total
-from ampledger.session import checkpointed
+from ampledger.session import bounded, checkpointed, no_larger, row_bound
 
 METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180
 #: Positions of one cell beyond which the cell is split over several tasks.
 CELL_SPLIT = 10_000
+#: Cuts after which undecided cell pairs are first checked for hanging together already.
+PRUNE_LEVEL = 3
 SMALL_CLUSTER = 10
 MAX_EPS_M = 100_000.0
 
@@ -115,12 +117,17 @@ class Grid:
         return arc_m(dy, dx, cosine(a), cosine(b))
 
 
+def _counted(points: DataFrame) -> DataFrame:
+    """``points`` with a row bound: small tables then need no measured statistics."""
+    return points if row_bound(points) is not None else bounded(points, points.count())
+
+
 def _positions(points: DataFrame, grid: Grid, key: str, y: str, x: str, within: list[str]) -> DataFrame:
     """One weighted row per distinct position, named by its smallest key."""
     merged = points.groupBy(*within, F.col(y).alias("y"), F.col(x).alias("x")).agg(
         F.count("*").alias("n"), F.min(key).alias("id")
     )
-    return grid.with_cell(merged)
+    return no_larger(grid.with_cell(merged), points)
 
 
 def _near_pairs(probes: DataFrame, positions: DataFrame, grid: Grid, within: list[str]) -> DataFrame:
@@ -156,16 +163,16 @@ def density(
     within = within or []
     grid = Grid(eps, metric)
     cell = [*within, "cy", "cx"]
-    positions = _positions(points, grid, key, y, x, within)
+    positions = _positions(_counted(points), grid, key, y, x, within)
     cells = positions.groupBy(*cell).agg(F.sum("n").alias("_w"), F.count("*").alias("_k"))
     cells = cells.select(*cell, "_w", F.ceil(F.col("_k") / CELL_SPLIT).cast("int").alias("_parts"))
-    sized = checkpointed(attach(positions, cells, cell))
+    sized = checkpointed(attach(positions, no_larger(cells, positions), cell))
     thin = sized.where(F.col("_w") < min_samples).drop("_w")
     pairs = _near_pairs(thin.select(*within, "id", "y", "x", "cy", "cx"), sized.drop("_w"), grid, within)
     counted = pairs.groupBy("id").agg(F.sum("o_n").alias("_near"))
     cored = thin.join(counted, "id", "left").withColumn("is_core", F.col("_near") >= min_samples).drop("_near")
     dense = sized.where(F.col("_w") >= min_samples).drop("_w").withColumn("is_core", F.lit(True))
-    return checkpointed(dense.unionByName(cored))
+    return no_larger(checkpointed(dense.unionByName(cored)), positions)
 
 
 def _cell_edges(core: DataFrame, grid: Grid) -> DataFrame:
@@ -203,7 +210,7 @@ def _cell_edges(core: DataFrame, grid: Grid) -> DataFrame:
         open_pairs = bounds.drop("_lo", "_hi").join(linked, ["a", "b"], "left_anti")
         if open_pairs.limit(1).count() == 0:
             return found
-        if level == 1:
+        if level == PRUNE_LEVEL:
             found = checkpointed(found)
             roots = connected_components(found)
             for end in ("a", "b"):
@@ -262,30 +269,34 @@ def dbscan(
     result does not depend on the partitioning.
     """
     grid = Grid(eps, metric)
-    placed = points.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    points = _counted(points)
+    placed = no_larger(points.where(F.col(y).isNotNull() & F.col(x).isNotNull()), points)
     positions = density(placed, eps, min_samples, key, y, x, metric)
     core = positions.where("is_core")
     cells = core.groupBy("cy", "cx").agg(F.min("id").alias("cell"))
     roots = connected_components(_cell_edges(core, grid))
     rooted = cells.join(roots.withColumnRenamed("node", "cell"), "cell", "left")
     rooted = rooted.select("cy", "cx", F.coalesce("root", "cell").alias("root"))
-    numbers = running_total(rooted.select("root").distinct(), ["root"], name="number")
-    numbered = attach(rooted, numbers, ["root"]).select(
+    roots_only = no_larger(rooted.select("root").distinct(), points)
+    numbers = running_total(roots_only, ["root"], name="number")
+    numbered = attach(rooted, no_larger(numbers, points), ["root"]).select(
         "cy", "cx", (F.col("number") - 1).cast("int").alias("cluster")
     )
+    numbered = no_larger(numbered, points)
     core = checkpointed(attach(core, numbered, ["cy", "cx"], "inner"))
     outer = positions.where(~F.col("is_core")).select("id", "y", "x", "cy", "cx")
     touched = _near_pairs(outer, core.select("id", "y", "x", "cy", "cx", "_parts", "cluster"), grid, [])
     border = touched.groupBy("id").agg(F.min("o_cluster").alias("cluster"))
     outer = outer.join(border, "id", "left").select("y", "x", "cluster", F.lit(False).alias("is_core"))
     labelled = core.select("y", "x", "cluster", "is_core").unionByName(outer)
-    labelled = labelled.withColumnsRenamed({"y": y, "x": x})
+    labelled = no_larger(labelled.withColumnsRenamed({"y": y, "x": x}), points)
     joined = attach(points, labelled, [y, x])
-    return joined.select(
+    out = joined.select(
         *points.columns,
         F.coalesce("cluster", F.lit(-1)).alias("cluster"),
         F.coalesce("is_core", F.lit(False)).alias("is_core"),
     )
+    return no_larger(out, points)
 
 
 def cluster_members(
@@ -300,13 +311,14 @@ def cluster_members(
     """Points with at least ``min_samples`` points around them, and all points those reach."""
     within = within or []
     grid = Grid(eps)
+    points = _counted(points)
     positions = density(points, eps, min_samples, key, y, x, within=within)
     core = positions.where("is_core")
     outer = positions.where(~F.col("is_core")).select(*within, "id", "y", "x", "cy", "cx")
     reached = _near_pairs(outer, core.select(*within, "id", "y", "x", "cy", "cx", "_parts"), grid, within)
     members = core.select(*within, "y", "x").unionByName(reached.select(*within, "y", "x").distinct())
     members = members.withColumnsRenamed({"y": y, "x": x}).withColumn("_member", F.lit(True))
-    joined = attach(points, members, [*within, y, x])
+    joined = attach(points, no_larger(members, points), [*within, y, x])
     return joined.where("_member").select(*points.columns)
 
 

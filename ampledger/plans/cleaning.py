@@ -17,7 +17,8 @@ BACKWARD = f"first_value(kwh IGNORE NULLS) OVER {FUTURE}"
 
 
 def _filled(t, strategy, group=None):
-    out = I.impute(t.gaps(), strategy, group=group)
+    keep = strategy in ("mean", "median", "transformer_median")
+    out = I.impute(t.gaps(keep), strategy, group=group)
     return out.select("meter_id", F.date_format("month", "yyyyMMdd").alias("day"), "kwh_filled")
 
 
@@ -123,17 +124,17 @@ BOUND_COLUMNS = "lower_bound upper_bound median"
 
 @query("o1_sigma_bounds", views("dense") + r6(SIGMA, BOUND_COLUMNS))
 def o1(t):
-    return S.outlier_bounds(t.dense(), "sigma", 3.0)
+    return S.outlier_bounds(t.dense(keep=True), "sigma", 3.0)
 
 
 @query("o2_iqr_bounds", views("dense") + r6(IQR, BOUND_COLUMNS))
 def o2(t):
-    return S.outlier_bounds(t.dense(), "iqr", 1.5)
+    return S.outlier_bounds(t.dense(keep=True), "iqr", 1.5)
 
 
 @query("o3_percentile_bounds", views("dense") + r6(CENTRAL, BOUND_COLUMNS))
 def o3(t):
-    return S.outlier_bounds(t.dense(), "percentile")
+    return S.outlier_bounds(t.dense(keep=True), "percentile")
 
 
 TREATED = """SELECT d.*, coalesce(kwh < lower_bound OR kwh > upper_bound, FALSE) AS hit,
@@ -150,7 +151,7 @@ TREATED = """SELECT d.*, coalesce(kwh < lower_bound OR kwh > upper_bound, FALSE)
     ),
 )
 def o4(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     out = S.treat_outliers(long, S.outlier_bounds(long, "iqr", 1.5))
     return out.select(
         "meter_id", F.date_format("month", "yyyyMM").alias("month"), "kwh_capped", F.col("is_outlier").cast("int")
@@ -168,7 +169,7 @@ def o4(t):
     ),
 )
 def o4_summary(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     return S.outlier_summary(S.treat_outliers(long, S.outlier_bounds(long, "iqr", 1.5)))
 
 
@@ -196,7 +197,7 @@ def _norm_sql(method: str) -> str:
 
 
 def _normalised(t, method):
-    long = t.dense()
+    long = t.dense(keep=True)
     out = S.normalise(long, S.scale_params(long, method), method)
     return out.select("meter_id", F.date_format("month", "yyyyMM").alias("month"), "kwh_norm")
 
@@ -222,7 +223,7 @@ def n3(t):
     + r6("SELECT meter_id, strftime(month, '%Y%m') AS month, kwh AS kwh_restored FROM dense", "kwh_restored"),
 )
 def n4(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     params = S.scale_params(long, "robust")
     back = S.denormalise(S.normalise(long, params, "robust"), params)
     return back.select("meter_id", F.date_format("month", "yyyyMM").alias("month"), "kwh_restored")

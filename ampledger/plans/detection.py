@@ -60,14 +60,14 @@ def m4(t):
 
 @query("m5_isolation_forest")
 def m5(t):
-    features = P.feature_table(t.dense())
+    features = P.feature_table(t.dense(keep=True))
     fitted = M.fit(IsolationForest(), features, ENGINEERED)
     return fitted.scores(features).select("meter_id", "raw_score", "score", "flag")
 
 
 @query("m6_feature_importance")
 def m6(t):
-    features = P.feature_table(t.dense())
+    features = P.feature_table(t.dense(keep=True))
     model = IsolationForest(n_trees=50).fit(features, ENGINEERED)
     return feature_importance(model, features)
 
@@ -179,7 +179,7 @@ def m13(t):
 
 @query("m13_tune_forest")
 def m13_tune(t):
-    features = P.feature_table(t.dense())
+    features = P.feature_table(t.dense(keep=True))
 
     def separation(parameters: dict) -> float:
         model = IsolationForest(**parameters).fit(features, ENGINEERED)

@@ -42,7 +42,7 @@ def _group_sql(expr: str, name: str) -> str:
 
 @query("f2_baseline_median", _group_sql("quantile_cont(kwh, 0.5)", "baseline"))
 def f2(t):
-    return X.transformer_baseline(t.dense())
+    return X.transformer_baseline(t.dense(keep=True))
 
 
 @query("f2_baseline_mean", _group_sql("avg(kwh)", "baseline"))
@@ -59,7 +59,7 @@ def f2_mean(t):
     + r6("SELECT transformer_id, avg(kwh) AS baseline FROM r WHERE i > cut AND i <= n - cut GROUP BY 1", "baseline"),
 )
 def f2_trimmed(t):
-    return X.transformer_baseline(t.dense(), "trimmed_mean")
+    return X.transformer_baseline(t.dense(keep=True), "trimmed_mean")
 
 
 @query("f3_spread_variance", _group_sql("var_samp(kwh)", "spread"))
@@ -74,12 +74,12 @@ def f3_std(t):
 
 @query("f3_spread_mad", _group_sql("mad(kwh) * 1.4826::DOUBLE", "spread"))
 def f3_mad(t):
-    return X.transformer_spread(t.dense(), "mad")
+    return X.transformer_spread(t.dense(keep=True), "mad")
 
 
 @query("f3_spread_iqr", _group_sql("quantile_cont(kwh, 0.75) - quantile_cont(kwh, 0.25)", "spread"))
 def f3_iqr(t):
-    return X.transformer_spread(t.dense(), "iqr")
+    return X.transformer_spread(t.dense(keep=True), "iqr")
 
 
 RECENT = {
@@ -138,7 +138,7 @@ RATIO = {
 
 @query("f8_consumption_ratio", views("dense", RATIO) + r6("SELECT * FROM ratios", "mean_kwh baseline ratio"))
 def f8(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     return X.consumption_ratio(long, X.transformer_baseline(long))
 
 
@@ -183,7 +183,7 @@ FEATURES = {
     views("dense", RATIO | RECENT | SEN | FEATURES) + r6("SELECT * FROM features", " ".join(X.ENGINEERED)),
 )
 def f10(t):
-    return X.engineer_features(t.dense())
+    return X.engineer_features(t.dense(keep=True))
 
 
 @query(
@@ -200,7 +200,7 @@ def f10(t):
     ),
 )
 def f10_coverage(t):
-    return X.feature_coverage(X.engineer_features(t.dense()), X.ENGINEERED)
+    return X.feature_coverage(X.engineer_features(t.dense(keep=True)), X.ENGINEERED)
 
 
 @query(
@@ -509,7 +509,7 @@ def r5(t):
     ),
 )
 def r6_query(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     ratios = X.consumption_ratio(long, X.transformer_baseline(long)).select("meter_id", "ratio")
     both = ratios.join(X.meter_trend(long), "meter_id")
     hits = R.declining_low_users(both, "ratio", "trend", max_ratio=1.1, max_trend=0.0)
@@ -712,7 +712,7 @@ FLAGSHIP = RATIO | {
     ),
 )
 def flagship(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     ratios = X.consumption_ratio(long, X.transformer_baseline(long))
     scored = ratios.withColumn("composite_score", C.ratio_score("ratio"))
     levelled = R.assess(scored, flag=None)

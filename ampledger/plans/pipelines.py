@@ -15,7 +15,7 @@ from ampledger.operators.risk import assess, complete_predictions, level_of, pre
 from ampledger.operators.rollup import barangays, cities, run_summary, transformers
 from ampledger.operators.scaling import preprocess
 from ampledger.operators.scoring import score_meters
-from ampledger.session import checkpointed
+from ampledger.session import no_larger, stored
 from ampledger.sources.geography import districts
 from ampledger.sources.readers import clean_upload, pad_months
 from ampledger.sources.writers import save_run
@@ -40,7 +40,7 @@ def feature_table(long: DataFrame) -> DataFrame:
     features = engineer_features(long)
     missing = [F.col(c).isNull() for c in ENGINEERED]
     imputed = missing[0] | missing[1] | missing[2] | missing[3]
-    return checkpointed(
+    return stored(
         features.select(
             "meter_id",
             "transformer_id",
@@ -62,15 +62,15 @@ class Trained:
 
 def train(long: DataFrame, detector: Detector | None = None, clean: bool = True) -> Trained:
     """Clean, build features, fit, score, assess, measure."""
-    readings = prepare(long) if clean else long
+    readings = stored(prepare(long) if clean else long)
     features = feature_table(readings)
     fitted = fit(detector or IsolationForest(), features, ENGINEERED)
-    scored = fitted.model.score(features).withColumnRenamed(RATIO, "ratio")
+    scored = no_larger(fitted.model.score(features).withColumnRenamed(RATIO, "ratio"), features)
     assessed = assess(score_meters(scored), flag=None)
     baselines = features.groupBy("transformer_id").agg(
         F.max(BASELINE).alias(BASELINE), F.max(SPREAD).alias(SPREAD)
     )
-    return Trained(fitted, checkpointed(baselines), assessed, run_metrics(assessed))
+    return Trained(fitted, stored(baselines), assessed, run_metrics(assessed))
 
 
 def score_new_meters(long: DataFrame, trained: Trained) -> DataFrame:
@@ -101,20 +101,20 @@ def run_upload(upload: DataFrame, detector: Detector | None = None, folder: str
     """An uploaded wide table to meters, transformers, districts, cities and a summary;
     stored as one run if a folder is given."""
     cleaned = pad_months(clean_upload(upload))
-    long = to_long(cleaned, ["meter_id", "transformer_id"])
+    long = stored(to_long(cleaned, ["meter_id", "transformer_id"]))
     features = feature_table(long)
     fitted = fit(detector or IsolationForest(), features, ENGINEERED)
     scored = fitted.scores(features).select("meter_id", F.col("score").alias("anomaly_score"))
     predicted = complete_predictions(scored.withColumn("risk_level", level_of(F.col("anomaly_score"))))
     places = F.broadcast(districts(upload.sparkSession))
     located = cleaned.withColumn("barangay_id", F.col("barangay_id").cast("int")).join(places, "barangay_id", "left")
-    meters = checkpointed(
+    meters = stored(
         located.withColumn("city_id", F.coalesce("city_id", F.lit("unknown")))
         .withColumn("barangay", F.coalesce("barangay", F.lit("Unknown")))
         .withColumnRenamed("kVA", "kva")
         .join(predicted, "meter_id", "left")
     )
-    by_transformer = checkpointed(transformers(meters, long))
+    by_transformer = stored(transformers(meters, long))
     by_district = barangays(by_transformer)
     by_city = cities(by_district)
     tables = {

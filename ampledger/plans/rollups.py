@@ -108,7 +108,7 @@ def a4_top(t):
     ),
 )
 def a5(t):
-    long = t.dense()
+    long = t.dense(keep=True)
     ratios = X.consumption_ratio(long, X.transformer_baseline(long))
     both = ratios.join(X.meter_trend(long), "meter_id", "left")
     return A.suspicion_by_transformer(both, "ratio", "trend", max_ratio=1.1, max_trend=0.0)
@@ -196,7 +196,7 @@ def a11(t):
     ),
 )
 def a12(t):
-    return A.table_statistics(t.sparse(), "kwh")
+    return A.table_statistics(t.sparse(keep=True), "kwh")
 
 
 @query(

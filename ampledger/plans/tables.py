@@ -14,7 +14,7 @@ from ampledger.operators.features import consumption_ratio, transformer_baseline
 from ampledger.operators.grouped import with_scalars
 from ampledger.operators.reshape import to_wide
 from ampledger.operators.risk import level_of
-from ampledger.session import checkpointed
+from ampledger.session import no_larger, stored
 
 GPS_SQL = (
     "14.4 + (({k} * 7919 + {k} * {k} * 31) % 3000) / 10000.0::DOUBLE AS lat, "
@@ -38,8 +38,22 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def dense(self) -> DataFrame:
+    # With ``keep`` a table of readings is written once, for jobs that pass over it often.
+
+    def dense(self, keep: bool = False) -> DataFrame:
         """``meter_id, transformer_id, month, kwh``; summed before the meter join."""
+        return stored(self._dense()) if keep else self._dense()
+
+    def gaps(self, keep: bool = False) -> DataFrame:
+        """``meter_id, transformer_id, month, kwh`` on the full calendar; days without
+        an event are NULL. The calendar is exploded per meter: no cross join."""
+        return stored(self._gaps()) if keep else self._gaps()
+
+    def sparse(self, keep: bool = False) -> DataFrame:
+        """``meter_id, transformer_id, month, kwh`` of customers with orders."""
+        return stored(self._sparse()) if keep else self._sparse()
+
+    def _dense(self) -> DataFrame:
         monthly = (
             self.table("lineitem")
             .groupBy(F.col("l_suppkey").alias("meter_id"), F.trunc("l_shipdate", "month").alias("month"))
@@ -50,9 +64,7 @@ class Tables:
         )
         return monthly.join(meters, "meter_id").select("meter_id", "transformer_id", "month", "kwh")
 
-    def gaps(self) -> DataFrame:
-        """``meter_id, transformer_id, month, kwh`` on the full calendar; days without
-        an event are NULL. The calendar is exploded per meter: no cross join."""
+    def _gaps(self) -> DataFrame:
         daily = (
             self.table("events")
             .groupBy(F.col("user_id").alias("meter_id"), F.to_date("ts").alias("month"))
@@ -77,8 +89,7 @@ class Tables:
             *gps("c_custkey"),
         )
 
-    def sparse(self) -> DataFrame:
-        """``meter_id, transformer_id, month, kwh`` of customers with orders."""
+    def _sparse(self) -> DataFrame:
         monthly = (
             self.table("orders")
             .groupBy(F.col("o_custkey").alias("meter_id"), F.trunc("o_orderdate", "month").alias("month"))
@@ -94,9 +105,9 @@ class Tables:
 
         Written once: one row per meter, which the scoring passes then read several times.
         """
-        long = self.sparse()
+        long = self.sparse(keep=True)
         ratios = consumption_ratio(long, transformer_baseline(long)).select("meter_id", "mean_kwh", "ratio")
-        return checkpointed(self.sparse_meters().join(ratios, "meter_id", "left"))
+        return stored(self.sparse_meters().join(ratios, "meter_id", "left"))
 
     def wide_meters(self) -> DataFrame:
         """Customers as a wide meters table: attributes and one column per month."""
@@ -149,7 +160,9 @@ class Tables:
 
     def rollup_long(self) -> DataFrame:
         """Monthly readings of the roll-up meters."""
-        return self.sparse().withColumn("transformer_id", F.col("transformer_id") * 4 + F.col("meter_id") % 4)
+        long = self.sparse(keep=True)
+        finer = F.col("transformer_id") * 4 + F.col("meter_id") % 4
+        return no_larger(long.withColumn("transformer_id", finer), long)
 
     def geography(self) -> DataFrame:
         """Transformer → district / city dimension: nations within regions."""

@@ -33,6 +33,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A checkpoint whose row count is known, so that what derives from it has a bound."""
+    out = checkpointed(df)
+    return bounded(out, out.count())
+
+
+def bounded(df: DataFrame, rows: int | None) -> DataFrame:
+    """Note that ``df`` has at most ``rows`` rows (``None``: unknown)."""
+    df._row_bound = rows
+    return df
+
+
+def row_bound(df: DataFrame) -> int | None:
+    """Proven upper bound of the number of rows, if there is one."""
+    return df.__dict__.get("_row_bound")
+
+
+def no_larger(df: DataFrame, than: DataFrame) -> DataFrame:
+    """``df`` filters, projects or groups ``than`` and inherits its bound."""
+    return bounded(df, row_bound(than))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, beside the checkpoints."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
