@@ -58,14 +58,18 @@ def check_input(df: DataFrame, columns: Sequence[str], min_rows: int = MIN_ROWS)
 
 @dataclass
 class Fitted:
-    """A model with what its training scores say: range, mean and flag threshold."""
+    """A model with what its training scores say: range, mean and flag threshold.
+
+    ``training`` is the stored training table with its raw scores, so that a run which
+    trains and assesses the same meters does not score them twice.
+    """
 
     model: Model
     low: float
     high: float
     mean: float
     threshold: float
-    n_rows: int = 0
+    training: DataFrame
 
     def scores(self, df: DataFrame, batch: bool = False) -> DataFrame:
         """Adds ``raw_score, score, flag``. The score uses the stored training range, so
@@ -73,6 +77,13 @@ class Fitted:
         scored = self.model.score(df)
         if batch:
             return flag(batch_normalise(scored), "score", self.scaled_threshold())
+        return no_larger(self._scaled(scored), df)
+
+    def training_scores(self) -> DataFrame:
+        """``raw_score, score, flag`` beside the training rows."""
+        return no_larger(self._scaled(self.training), self.training)
+
+    def _scaled(self, scored: DataFrame) -> DataFrame:
         raw = F.col(RAW)
         if self.high > self.low:
             score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (raw - self.low) / (self.high - self.low)))
@@ -93,13 +104,13 @@ def fit(
 ) -> Fitted:
     """Fit on ``df`` and take the (1 - contamination) quantile of the raw training scores
     as threshold, on the same scale as the scores it is compared with."""
-    n = check_input(df, columns)
+    check_input(df, columns)
     model = detector.fit(df, list(columns))
-    scored = stored(model.score(df).select(RAW))
-    stats = scored.agg(F.min(RAW).alias("low"), F.max(RAW).alias("high"), F.avg(RAW).alias("mean")).first()
+    training = stored(model.score(df))
+    stats = training.agg(F.min(RAW).alias("low"), F.max(RAW).alias("high"), F.avg(RAW).alias("mean")).first()
     if threshold is None:
-        threshold = score_threshold(scored, contamination).first()[0]
-    return Fitted(model, stats.low, stats.high, stats.mean, threshold, n)
+        threshold = score_threshold(training, contamination).first()[0]
+    return Fitted(model, stats.low, stats.high, stats.mean, threshold, training)
 
 
 def score_threshold(scored: DataFrame, contamination: float = CONTAMINATION, raw: str = RAW) -> DataFrame:

@@ -18,7 +18,9 @@ from ampledger.session import bounded, checkpointed, no_larger, row_bound, store
 
 #: A statistics table is broadcast only after its row count was checked against this.
 BROADCAST_ROWS = 200_000
-#: Replicas of a statistics table that is too large to broadcast.
+#: Rows of one key beyond which a shuffled join splits the key over several tasks.
+HOT_ROWS = 5_000_000
+#: Tasks that share the rows without a key.
 SALTS = 32
 #: Tables proven to be no longer than this take exact percentiles in one aggregate, since
 #: even a single group of all rows fits one task.
@@ -57,7 +59,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "left"
 
     A table whose bound is known to be small is broadcast as it is. Otherwise it is
     computed once and counted. Small: broadcast, so the rows are not shuffled. Large: a
-    hash join on (keys, salt), so that the rows of a hot key spread over ``SALTS`` tasks.
+    shuffled join in which hot keys are split.
     """
     known = row_bound(stats)
     if known is None or known > BROADCAST_ROWS:
@@ -70,13 +72,28 @@ def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "left"
 
 
 def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
-    replicas = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return (
-        rows.withColumn("_salt", salt)
-        .join(side.withColumn("_salt", replicas), [*keys, "_salt"], how)
-        .drop("_salt")
+    """Join a large ``side`` (unique on ``keys``) where some keys of ``rows`` are hot.
+
+    Keys are counted first (combined map-side). A key with more than ``HOT_ROWS`` rows is
+    split into as many parts as its count asks for: its rows draw a part, its one side row
+    is copied to each. There are at most rows / ``HOT_ROWS`` such keys, so their list is
+    broadcast. All other keys join as they are; rows without a key are spread as well.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_k")).where(F.col("_k") > HOT_ROWS)
+    parts = F.ceil(F.col("_k") / HOT_ROWS).cast("int")
+    hot = stored(counts.select(*keys, parts.alias("_parts")))
+    if row_bound(hot) == 0:
+        return rows.join(side, keys, how)
+    hot = F.broadcast(hot)
+    spread = F.xxhash64(*[F.col(c) for c in rows.columns])
+    keyless = any_of([F.col(k).isNull() for k in keys])
+    salt = F.when(keyless, F.pmod(spread, F.lit(SALTS))).otherwise(
+        F.pmod(spread, F.coalesce("_parts", F.lit(1)))
     )
+    salted = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copied = side.join(hot, keys, "left").withColumn("_salt", copies).drop("_parts")
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def group_quantiles(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampledger.operators.detectors import RAW, Detector, Fitted, fit
+from ampledger.operators.detectors import Detector, Fitted, fit
 from ampledger.operators.features import ENGINEERED, consumption_ratio, engineer_features, meter_trend
 from ampledger.operators.forest import IsolationForest
 from ampledger.operators.reshape import to_long
@@ -65,7 +65,7 @@ def train(long: DataFrame, detector: Detector | None = None, clean: bool = True)
     readings = stored(prepare(long) if clean else long)
     features = feature_table(readings)
     fitted = fit(detector or IsolationForest(), features, ENGINEERED)
-    scored = no_larger(fitted.model.score(features).withColumnRenamed(RATIO, "ratio"), features)
+    scored = no_larger(fitted.training.withColumnRenamed(RATIO, "ratio"), fitted.training)
     assessed = assess(score_meters(scored), flag=None)
     baselines = features.groupBy("transformer_id").agg(
         F.max(BASELINE).alias(BASELINE), F.max(SPREAD).alias(SPREAD)
@@ -104,7 +104,7 @@ def run_upload(upload: DataFrame, detector: Detector | None = None, folder: str
     long = stored(to_long(cleaned, ["meter_id", "transformer_id"]))
     features = feature_table(long)
     fitted = fit(detector or IsolationForest(), features, ENGINEERED)
-    scored = fitted.scores(features).select("meter_id", F.col("score").alias("anomaly_score"))
+    scored = fitted.training_scores().select("meter_id", F.col("score").alias("anomaly_score"))
     predicted = complete_predictions(scored.withColumn("risk_level", level_of(F.col("anomaly_score"))))
     places = F.broadcast(districts(upload.sparkSession))
     located = cleaned.withColumn("barangay_id", F.col("barangay_id").cast("int")).join(places, "barangay_id", "left")

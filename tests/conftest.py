@@ -21,4 +21,5 @@ def staged(monkeypatch):
 
     monkeypatch.setattr(grouped, "EXACT_ROWS", -1)
     monkeypatch.setattr(grouped, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(grouped, "HOT_ROWS", 100)
     return grouped
