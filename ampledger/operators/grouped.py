@@ -109,7 +109,8 @@ def group_quantiles(
        gives an interval that provably holds the order statistic.
     2. Values outside the intervals collapse onto an interval edge, which keeps the
        order, and equal values are counted map-side.
-    3. Only what is left (about n / accuracy distinct values) is ordered.
+    3. Only what is left (about n / accuracy distinct values) is ordered, in one window
+       per group or, if it is still long, by range partitions.
 
     Groups with fewer than ``accuracy`` values skip the sketch and stay whole. A table
     proven to be short takes the built-in exact percentile instead.
@@ -165,13 +166,14 @@ def group_quantiles(
     kept = any_of([v.between(a, b) for a, b in zip(lo, hi)])
     collapsed = F.when(kept, v).otherwise(greatest_of([lowest, *[F.when(b <= v, b) for b in hi]]))
 
-    counts = bound.groupBy(*keys, collapsed.alias("_c")).agg(F.count("*").alias("_k"))
-    order = Window.partitionBy(*keys).orderBy("_c")
-    ranked = counts.withColumn("_to", F.sum("_k").over(order)).withColumn(
-        "_from", F.col("_to") - F.col("_k")
-    )
-    everyone = Window.partitionBy(*keys)
-    ranked = ranked.withColumn("_n", F.sum("_k").over(everyone))
+    counts = stored(bound.groupBy(*keys, collapsed.alias("_c")).agg(F.count("*").alias("_k")))
+    totals = no_larger(counts.groupBy(*keys).agg(F.sum("_k").alias("_n")), counts)
+    ranked = running_total(counts, ["_c"], F.col("_k"), keys, "_to")
+    ranked = ranked.withColumn("_from", F.col("_to") - F.col("_k"))
+    if keys:
+        ranked = attach(ranked, totals, keys)
+    else:
+        ranked = with_scalars(ranked, totals, "_t").withColumn("_n", F.col("_t._n"))
 
     def order_statistic(position: Column) -> Column:
         return F.max(F.when((F.col("_from") <= position) & (position < F.col("_to")), F.col("_c")))

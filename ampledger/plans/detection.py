@@ -9,6 +9,7 @@ from ampledger.operators import detectors as M
 from ampledger.operators.features import ENGINEERED
 from ampledger.operators.forest import IsolationForest, feature_importance
 from ampledger.plans import pipelines as P
+from ampledger.plans.places import CLUSTERS, EPS, MIN_SAMPLES, TABLE_SQL
 from ampledger.plans.registry import query, r6
 from ampledger.plans.tables import views
 
@@ -61,7 +62,7 @@ def m4(t):
 @query("m5_isolation_forest")
 def m5(t):
     features = P.feature_table(t.dense(keep=True))
-    fitted = M.fit(IsolationForest(), features, ENGINEERED)
+    fitted = P.train_isolation_forest(features, ENGINEERED)
     return fitted.training_scores().select("meter_id", "raw_score", "score", "flag")
 
 
@@ -181,11 +182,19 @@ def m13(t):
 def m13_tune(t):
     features = P.feature_table(t.dense(keep=True))
 
-    def separation(parameters: dict) -> float:
-        model = IsolationForest(**parameters).fit(features, ENGINEERED)
-        return M.risk_separation(model.score(features)).first().separation
+    options = M.grid({"n_trees": [10, 30], "sample_size": [64]})
+    return P.tune_isolation_forest(features, ENGINEERED, options).table(features)
 
-    return M.tune(M.grid({"n_trees": [10, 30], "sample_size": [64]}), separation).table(features)
+
+@query(
+    "m12_train_dbscan",
+    CLUSTERS
+    + f"""SELECT meter_id, lab.cluster, (lab.cluster = -1 OR is_small)::INT AS spatial_anomaly
+        FROM lab LEFT JOIN ({TABLE_SQL}) c ON c.cluster = lab.cluster""",
+)
+def m12_dbscan(t):
+    run = P.train_dbscan(t.sparse_meters(), EPS, MIN_SAMPLES)
+    return run["labelled"].select("meter_id", "cluster", "spatial_anomaly")
 
 
 @query(

@@ -10,7 +10,7 @@ from ampledger.operators import reshape as D
 from ampledger.plans.registry import query, r6
 from ampledger.plans.tables import views
 from ampledger.session import scratch_path
-from ampledger.sources import readers
+from ampledger.sources import dataset, readers
 
 MONTH_NAME = "'monthly_consumption_' || strftime(month, '%Y%m')"
 
@@ -369,6 +369,58 @@ def v12(t):
     return Q.verdict(Q.validate(t.wide_meters(), rules, "meter_id", required=["meter_id", "feeder_id"]))
 
 
+def _dataset(t) -> str:
+    """The three tables as CSV in one folder."""
+    folder = scratch_path(t.spark, "dataset")
+    for name, df in (
+        (dataset.METERS, t.wide_meters()),
+        (dataset.TRANSFORMERS, t.transformer_table().where("transformer_id > 2")),
+        (dataset.LABELS, t.label_table()),
+    ):
+        df.write.option("header", True).csv(f"{folder}/{name}")
+    return folder
+
+
+def _count_sql(table: str, rule: str, field: str, source: str, bad: str) -> str:
+    return f"""SELECT '{table}' AS "table", '{rule}' AS rule, '{field}' AS field, count(*) AS n_bad
+        FROM {source} WHERE {bad} HAVING count(*) > 0"""
+
+
+@query(
+    "v12_validate_dataset",
+    views("wide txs sparse")
+    + " UNION ALL ".join(
+        [
+            _count_sql("meters", "allowed_values", "customer_class", "wide", "customer_class <> 'building'"),
+            _count_sql("meters", "range", "kVA", "wide", '"kVA" > 40'),
+            _count_sql("meters", "range", "kwh", "sparse", "kwh > 5000"),
+            _count_sql("transformers", "range", "capacity_kVA", "txs", "transformer_id > 20"),
+            _count_sql("meters", "orphan", "transformer_id", "wide", "transformer_id <= 2"),
+        ]
+    ),
+)
+def v12_dataset(t):
+    limits = {"kVA": (0.0, 40.0), "consumption": (0.0, 5000.0)}
+    issues = dataset.validate_dataset(t.spark, _dataset(t), limits, ["building"])
+    return issues.select("table", "rule", "field", "n_bad")
+
+
+@query(
+    "s4_load_all_readings",
+    views("sparse wide marked")
+    + r6(
+        """SELECT meter_id::VARCHAR AS meter_id, count(*) FILTER (kwh > 0) AS n_readings, coalesce(sum(kwh), 0) AS total_kwh
+        FROM wide LEFT JOIN sparse USING (meter_id) GROUP BY 1""",
+        "total_kwh",
+    ),
+)
+def s4_readings(t):
+    readings = dataset.load_dataset(t.spark, _dataset(t))["readings"]
+    return readings.groupBy("meter_id").agg(
+        F.count_if(F.col("kwh_filled") > 0).alias("n_readings"), F.sum("kwh_filled").alias("total_kwh")
+    )
+
+
 @query(
     "v13_quality_report",
     views("gaps txs marked")

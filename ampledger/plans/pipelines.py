@@ -7,14 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampledger.operators.detectors import Detector, Fitted, fit
+from ampledger.operators.detectors import (
+    CONTAMINATION,
+    Detector,
+    Fitted,
+    Tuning,
+    cluster_quality,
+    fit,
+    risk_separation,
+    tune,
+)
 from ampledger.operators.features import ENGINEERED, consumption_ratio, engineer_features, meter_trend
 from ampledger.operators.forest import IsolationForest
+from ampledger.operators.grouped import attach
 from ampledger.operators.reshape import to_long
 from ampledger.operators.risk import assess, complete_predictions, level_of, predictions, run_metrics
 from ampledger.operators.rollup import barangays, cities, run_summary, transformers
 from ampledger.operators.scaling import preprocess
 from ampledger.operators.scoring import score_meters
+from ampledger.operators.spatial import SMALL_CLUSTER, cluster_statistics, cluster_table, dbscan
 from ampledger.session import no_larger, stored
 from ampledger.sources.geography import districts
 from ampledger.sources.readers import clean_upload, pad_months
@@ -73,6 +84,49 @@ def train(long: DataFrame, detector: Detector | None = None, clean: bool = True)
     return Trained(fitted, stored(baselines), assessed, run_metrics(assessed))
 
 
+def train_isolation_forest(
+    features: DataFrame, columns: list[str], contamination: float = CONTAMINATION, **options
+) -> Fitted:
+    """One call: an isolation forest with its threshold; options as in IsolationForest."""
+    return fit(IsolationForest(**options), features, columns, contamination)
+
+
+def train_dbscan(points: DataFrame, eps: float = 50.0, min_samples: int = 5, small: int = SMALL_CLUSTER) -> dict[str, DataFrame]:
+    """One call: ``labelled`` points with ``spatial_anomaly`` (noise or in a small cluster),
+    the ``clusters`` for later assignments, and one row of ``statistics``."""
+    labelled = stored(dbscan(points, eps, min_samples))
+    clusters = cluster_table(labelled, small)
+    small_ones = no_larger(clusters.select("cluster", "is_small"), labelled)
+    flagged = attach(labelled, small_ones, ["cluster"])
+    odd = (F.col("cluster") < 0) | F.coalesce("is_small", F.lit(False))
+    return {
+        "labelled": flagged.withColumn("spatial_anomaly", odd.cast("int")).drop("is_small"),
+        "clusters": clusters,
+        "statistics": cluster_statistics(labelled, small),
+    }
+
+
+def tune_isolation_forest(features: DataFrame, columns: list[str], combinations: list[dict], patience: int | None = None) -> Tuning:
+    """Forest options by the separation of the top scores from the rest."""
+
+    def separation(options: dict) -> float:
+        scored = IsolationForest(**options).fit(features, columns).score(features)
+        return risk_separation(stored(scored)).first().separation
+
+    return tune(combinations, separation, patience)
+
+
+def tune_dbscan(points: DataFrame, combinations: list[dict], patience: int | None = None) -> Tuning:
+    """``eps`` and ``min_samples`` by the Calinski-Harabasz index of anomalous against
+    normal positions."""
+
+    def separation(options: dict) -> float:
+        labelled = train_dbscan(points, **options)["labelled"]
+        return cluster_quality(labelled, "spatial_anomaly", ["lat", "lon"]).first().calinski_harabasz
+
+    return tune(combinations, separation, patience)
+
+
 def score_new_meters(long: DataFrame, trained: Trained) -> DataFrame:
     """Predictions for meters that come one at a time or in small batches: features
     against the stored baselines, scores on the stored training range."""

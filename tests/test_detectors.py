@@ -147,6 +147,13 @@ def test_training_and_single_meter(spark):
     assert len(one) == 1 and one[0].risk_level in ("HIGH", "MEDIUM", "LOW")
 
 
+def test_dbscan_tuning_prefers_the_real_scale(spark):
+    rows = [(i, 14.5 + (i % 6) * 1e-4, 121.0 + (i // 6) * 1e-4) for i in range(36)] + [(36, 14.6, 121.2), (37, 14.61, 121.3)]
+    points = spark.createDataFrame(rows, "meter_id long, lat double, lon double")
+    tuned = P.tune_dbscan(points, M.grid({"eps": [2.0, 20.0], "min_samples": [4]}))
+    assert tuned.best["eps"] == 20.0 and len(tuned.trials) == 2
+
+
 def test_upload_run_is_stored(spark, tmp_path):
     from ampledger.plans.intake import weekday_upload
     from ampledger.sources.writers import read_run
