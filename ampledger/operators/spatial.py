@@ -419,10 +419,10 @@ def resolve_city(meters: DataFrame, districts: DataFrame, centres: list[tuple])
     """Adds ``resolved_city``: the given city; else the city of the district name, unless
     another city's centre is more than 2 km closer; else the nearest city centre.
 
-    ``districts`` (``barangay, city_id``) is a fixed list of some dozens of names.
+    ``districts`` holds ``barangay, city_id`` with unique names.
     """
     names = districts.select(F.trim("barangay").alias("_name"), F.col("city_id").alias("_mapped"))
-    joined = meters.join(F.broadcast(names), F.trim("barangay") == F.col("_name"), "left")
+    joined = attach(meters.withColumn("_name", F.trim("barangay")), no_larger(names, districts), ["_name"])
     lat, lon = F.col("lat"), F.col("lon")
     placed = lat.isNotNull() & lon.isNotNull() & (lat != 0) & (lon != 0)
     nearest = F.when(placed, nearest_city(lat, lon, centres))

@@ -202,7 +202,7 @@ def _rule_sql(rule: str, field: str, table: str, bad: str, key: str = "meter_id"
         n_bad, '' AS sample FROM (SELECT count(*) AS n_bad FROM customer)""",
 )
 def v1(t):
-    meters = t.wide_meters().drop("barangay", "customer_class")
+    meters = t.meter_attributes().drop("barangay", "customer_class")
     return _flat(Q.schema_issues(meters, Q.REQUIRED_METER))
 
 
@@ -212,7 +212,7 @@ def v1(t):
         FROM customer UNION ALL SELECT 'column_type', 'warning', 'transformer_id', count(*), 'bigint' FROM customer""",
 )
 def v2(t):
-    meters = t.wide_meters().withColumn("kVA", F.col("kVA").cast("string"))
+    meters = t.meter_attributes().withColumn("kVA", F.col("kVA").cast("string"))
     meters = meters.withColumn("transformer_id", F.col("transformer_id").cast("long"))
     return _flat(Q.schema_issues(meters, [], ["lat", "lon", "kVA"], ["transformer_id", "customer_class"]))
 
@@ -225,7 +225,7 @@ def v2(t):
     + _rule_sql("allowed_values", "risk_band", "marked", "risk_band <> 'High'"),
 )
 def v3(t):
-    classes = Q.check(t.wide_meters(), [Q.in_set("customer_class", ALLOWED)], "meter_id")
+    classes = Q.check(t.meter_attributes(), [Q.in_set("customer_class", ALLOWED)], "meter_id")
     bands = Q.check(t.label_table(), [Q.in_set("risk_band", ["High"]), Q.in_set("anomaly_flag", [0, 1])], "meter_id")
     return _flat(classes.unionByName(bands))
 
@@ -243,7 +243,7 @@ def v3(t):
 )
 def v4(t):
     limits = {"lat": (-90.0, 14.6), "kVA": (0.0, 40.0)}
-    meters = Q.check(t.wide_meters(), Q.meter_rules(limits, Q.CUSTOMER_CLASSES), "meter_id")
+    meters = Q.check(t.meter_attributes(), Q.meter_rules(limits, Q.CUSTOMER_CLASSES), "meter_id")
     stations = Q.check(t.transformer_table(), Q.transformer_rules(), "transformer_id")
     return _flat(meters.where("field != 'customer_class'").unionByName(stations))
 
@@ -366,7 +366,7 @@ def v12(t):
         Q.in_range("kVA", 0.0, 40.0, Q.WARNING),
         Q.Rule("broken", F.col("nowhere") > 1, "nowhere"),
     ]
-    return Q.verdict(Q.validate(t.wide_meters(), rules, "meter_id", required=["meter_id", "feeder_id"]))
+    return Q.verdict(Q.validate(t.meter_attributes(), rules, "meter_id", required=["meter_id", "feeder_id"]))
 
 
 def _dataset(t) -> str:
@@ -456,7 +456,7 @@ def v13_distribution(t):
 )
 def v14(t):
     rule = Q.Rule("class_load", (F.col("customer_class") == "building") & (F.col("kVA") > 30), "kVA", Q.WARNING)
-    return _flat(Q.check(t.wide_meters(), [rule], "meter_id"))
+    return _flat(Q.check(t.meter_attributes(), [rule], "meter_id"))
 
 
 @query(

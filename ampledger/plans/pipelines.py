@@ -154,14 +154,14 @@ def one_meter(spark, meter_id: str, transformer_id, months: dict[str, float], tr
 def run_upload(upload: DataFrame, detector: Detector | None = None, folder: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
     """An uploaded wide table to meters, transformers, districts, cities and a summary;
     stored as one run if a folder is given."""
-    cleaned = pad_months(clean_upload(upload))
+    cleaned = stored(pad_months(clean_upload(upload)))
     long = stored(to_long(cleaned, ["meter_id", "transformer_id"]))
     features = feature_table(long)
     fitted = fit(detector or IsolationForest(), features, ENGINEERED)
     scored = fitted.training_scores().select("meter_id", F.col("score").alias("anomaly_score"))
     predicted = complete_predictions(scored.withColumn("risk_level", level_of(F.col("anomaly_score"))))
-    places = F.broadcast(districts(upload.sparkSession))
-    located = cleaned.withColumn("barangay_id", F.col("barangay_id").cast("int")).join(places, "barangay_id", "left")
+    numbered = cleaned.withColumn("barangay_id", F.col("barangay_id").cast("int"))
+    located = attach(numbered, districts(upload.sparkSession), ["barangay_id"])
     meters = stored(
         located.withColumn("city_id", F.coalesce("city_id", F.lit("unknown")))
         .withColumn("barangay", F.coalesce("barangay", F.lit("Unknown")))

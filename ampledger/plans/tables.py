@@ -34,9 +34,13 @@ def gps(key: str) -> list:
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; its footer is read once per query."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
     # With ``keep`` a table of readings is written once, for jobs that pass over it often.
 
@@ -111,7 +115,12 @@ class Tables:
 
     def wide_meters(self) -> DataFrame:
         """Customers as a wide meters table: attributes and one column per month."""
-        attributes = self.sparse_meters().select(
+        months = to_wide(self.sparse(), ["meter_id"])
+        return self.meter_attributes().join(months, "meter_id", "left")
+
+    def meter_attributes(self) -> DataFrame:
+        """Customers as meters without their readings."""
+        return self.sparse_meters().select(
             F.col("meter_id"),
             "transformer_id",
             "customer_class",
@@ -121,7 +130,6 @@ class Tables:
             "lon",
             (F.lit(5.0) + F.col("meter_id") % 50).alias("kVA"),
         )
-        return attributes.join(to_wide(self.sparse(), ["meter_id"]), "meter_id", "left")
 
     def transformer_table(self) -> DataFrame:
         """Nations as transformers of feeders (regions)."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ampledger.session import bounded
+
 # District ids, their city and name.
 DISTRICTS = {
     "manila": {
@@ -48,7 +50,7 @@ CITIES = [
 def districts(spark: SparkSession) -> DataFrame:
     """``barangay_id, city_id, barangay`` (46 rows)."""
     rows = [(i, city, name) for city, names in DISTRICTS.items() for i, name in names.items()]
-    return spark.createDataFrame(rows, "barangay_id int, city_id string, barangay string")
+    return bounded(spark.createDataFrame(rows, "barangay_id int, city_id string, barangay string"), len(rows))
 
 
 def cities(spark: SparkSession) -> DataFrame:

@@ -46,7 +46,8 @@ def read_table(spark: SparkSession, path: str, types: dict[str, T.DataType]) ->
     else:
         header = spark.read.option("header", True).csv(path).columns
         text = T.StructType([T.StructField(c, TEXT) for c in header])
-        raw = spark.read.option("header", True).schema(text).csv(path)
+        # a file whose header differs is an error, not silently shifted columns
+        raw = spark.read.option("header", True).option("enforceSchema", False).schema(text).csv(path)
 
     def typed(name: str):
         c = F.col(f"`{name}`")
