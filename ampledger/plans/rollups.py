@@ -11,7 +11,7 @@ from ampledger.operators import runs as H
 from ampledger.operators.grouped import attach, with_scalars
 from ampledger.operators.reshape import filter_meters
 from ampledger.operators.risk import confidence, predictions
-from ampledger.plans.modelling import FUSE, RATIO, RECENT, SEN, assessed, scored_for_display
+from ampledger.plans.modelling import FUSE, RATIO, RECENT, SEN, scored_for_display
 from ampledger.plans.registry import query, r6
 from ampledger.plans.tables import views
 from ampledger.session import scratch_path
