@@ -146,6 +146,9 @@ class IsolationForest:
         bound = int(min(1.0, wanted / max(n, 1)) * HASH_RANGE)
         chosen = F.filter(trees, lambda p: p["_h"] < bound)
         picked = df.withColumn("_p", F.explode(chosen)).select("*", "_p.*").drop("_p")
+        # a stated number of partitions is not merged, so that trees do grow side by side
+        tasks = min(self.n_trees, df.sparkSession.sparkContext.defaultParallelism)
+        picked = picked.repartition(tasks, "tree")
         order = Window.partitionBy("tree").orderBy("_h", self.key)
         return picked.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size).drop("_rn")
 
