@@ -59,3 +59,11 @@ def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker: loaded models, encoded words."""
     caches = sys.__dict__.setdefault("_ampledger_llm", {})
     return caches.setdefault(name, {})
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampledger.llm import exact_dedup, token_counts
+from ampledger.llm import exact_dedup, language, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -48,3 +48,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.training_rows(documents, table(spark, sf_dir, "labels")))
+    return quality.quality(documents, model)
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.fit(language.training_rows(documents)))
