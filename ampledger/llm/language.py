@@ -37,36 +37,36 @@ class Model:
     languages: list[str]
     prior: np.ndarray
     words: dict[str, int]
-    word_scores: np.ndarray
     grams: dict[str, int]
-    gram_scores: np.ndarray
+    scores: np.ndarray  # rows of all words, then of all n-grams
 
-    def of_word(self, word: str) -> np.ndarray | None:
-        """An unseen word: the mean over its longest n-grams of which any is known."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
+    def grams_known(self, word: str) -> list[int]:
+        """Rows of an unseen word's longest n-grams of which any is known."""
+        marked, known = f"^{word}$", self.grams
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            rows = [known[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in known]
             if rows:
-                return self.gram_scores[rows].mean(axis=0)
-        return None
+                return rows
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior probability; unknown without letters."""
+        """The likeliest language and its posterior probability; unknown without letters.
+
+        An unseen word scores the mean of its n-grams.
+        """
         counts = words_of(text or "")
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        total = self.prior.copy()
-        rows, times = [], []
+        rows, times, seen = [], [], self.words.get
         for word, n in counts.items():
-            row = self.words.get(word)
+            row = seen(word)
             if row is not None:
                 rows.append(row)
                 times.append(n)
-            else:
-                found = self.of_word(word)
-                if found is not None:
-                    total += n * found
-        if rows:
-            total += np.asarray(times, float) @ self.word_scores[rows]
+            elif found := self.grams_known(word):
+                rows += found
+                times += [n / len(found)] * len(found)
+        total = self.prior + np.asarray(times, float) @ self.scores[np.asarray(rows, int)]
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -145,9 +145,10 @@ def fit(
     documents = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
     languages = sorted(documents)
     prior = np.log(np.array([documents[x] for x in languages], float) / max(1, sum(documents.values())))
-    return Model(
-        languages, prior, *_log_frequencies(common["w"], languages), *_log_frequencies(common["g"], languages)
-    )
+    words, word_scores = _log_frequencies(common["w"], languages)
+    grams, gram_scores = _log_frequencies(common["g"], languages)
+    grams = {gram: i + len(words) for gram, i in grams.items()}
+    return Model(languages, prior, words, grams, np.concatenate([word_scores, gram_scores]))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

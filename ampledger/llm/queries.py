@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ampledger.llm import exact_dedup, language, quality, token_counts
+from ampledger.llm import exact_dedup, language, mixing, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -61,3 +62,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.identify(documents, language.fit(language.training_rows(documents)))
+
+
+#: Which sources belong to which domain, in SQL that both engines read.
+DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN source LIKE '%1' OR source LIKE '%3' THEN 'books' ELSE 'forum' END"
+#: Half of the tokens are to come from books, which are too few, so that the others fill up.
+MIX_WEIGHTS = {
+    "domain": {"crawl": 0.2, "books": 0.5, "forum": 0.3},
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+}
+MIX_SQL = {"domain": DOMAIN, "lang": "lang", "source": "source"}
+
+
+def mix_plan(share: float, epochs: int) -> mixing.Plan:
+    return mixing.Plan(
+        levels={name: F.expr(sql) for name, sql in MIX_SQL.items()},
+        weights=MIX_WEIGHTS,
+        share=share,
+        epochs=epochs,
+        seed=11,
+    )
+
+
+def mix_sql(share: float, epochs: int, documents: str = "documents") -> str:
+    plan = mixing.Plan(levels=dict.fromkeys(MIX_SQL), weights=MIX_WEIGHTS, share=share, epochs=epochs, seed=11)
+    return mixing.oracle(MIX_SQL, plan, documents)
+
+
+@query("op1_mixing", mix_sql(0.8, 2))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), mix_plan(0.8, 2))
