@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm import exact_dedup, language, mixing, quality, token_counts
+from ampledger.llm import exact_dedup, language, mixing, packing, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -54,7 +54,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = quality.fit(quality.training_rows(documents, table(spark, sf_dir, "labels")))
+    model = quality.fit(documents, quality.training_labels(table(spark, sf_dir, "labels")))
     return quality.quality(documents, model)
 
 
@@ -92,3 +92,15 @@ def mix_sql(share: float, epochs: int, documents: str = "documents") -> str:
 @query("op1_mixing", mix_sql(0.8, 2))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), mix_plan(0.8, 2))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
