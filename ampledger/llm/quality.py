@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampledger.llm.common import pieces, remainder_of_id, unused, worker_cache
+from ampledger.llm.common import pieces, remainder_of_id, scratch, unused, worker_cache
 
 #: Texts are compressed in independent pieces of this size: a dictionary helps most at the
 #: start of a frame, and so every part of a long text counts alike.
@@ -127,7 +126,8 @@ def _logistic(design: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: flo
 
 
 def fit(
-    labelled: DataFrame,
+    documents: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "label",
@@ -135,26 +135,28 @@ def fit(
     max_pieces: int = 8,
     dictionary_bytes: int = 112 << 10,
 ) -> Model:
-    """Train on ``labelled`` rows with label 0 or 1.
-
-    A sample of at most ``max_rows`` rows of each label, the smallest seeded hashes of the
-    id, bounds what reaches the driver: ``max_pieces`` pieces of each text of two thirds of them build the
-    dictionaries, and the differences of the others' whole texts fit the calibration curve.
-    Rows with a null label are left out; without rows of both labels every score is the
-    smoothed share of label 1 (one half if there are no rows).
+    """Train on the documents that ``labels(id, label)`` marks with 0 or 1.
+
+    A sample of at most ``max_rows`` labels of each kind, the smallest seeded hashes of the
+    id, bounds what is read into the model: the sampled ids are broadcast to the documents,
+    ``max_pieces`` pieces of each text of two thirds of them build the dictionaries, and the
+    whole texts of the others fit the calibration curve. Null ids and labels are left out,
+    a document with several labels counts for each. Without documents of both labels every
+    score is the smoothed share of label 1 (one half if there are no labels).
     """
-    usable = (
-        labelled.where(F.col(label_col).isin(0, 1))
-        .select(
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-            F.col(label_col).cast("int").alias("label"),
-            F.xxhash64(F.lit(SEED), F.col(id_col)).alias("_h"),
-        )
+    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(
+        "_id is not null and label in (0, 1)"
     )
-    rows = functools.reduce(
-        DataFrame.unionAll, [usable.where(F.col("label") == k).orderBy("_h", "text").limit(max_rows) for k in (0, 1)]
+    hashed = usable.withColumn("_h", F.xxhash64(F.lit(SEED), "_id"))
+    chosen = [hashed.where(F.col("label") == k).orderBy("_h").limit(max_rows) for k in (0, 1)]
+    ids = chosen[0].unionAll(chosen[1])
+    texts = documents.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    held = scratch(
+        texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select(
+            "text", "label", F.pmod(F.xxhash64("_h"), F.lit(3)).alias("_part")
+        ),
+        "quality-sample",
     )
-    held = rows.withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(3)))
     samples = _sampled_pieces(held.where("_part < 2").select("label", "text"), max_pieces).collect()
     good = _dictionary([bytes(r.piece) for r in samples if r.label == 1], dictionary_bytes)
     bad = _dictionary([bytes(r.piece) for r in samples if r.label == 0], dictionary_bytes)
@@ -193,16 +195,10 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     return out.withColumn(score_col, score_column(F.col(found), model)).drop(found, text)
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Labelled documents that are not held out: crc32 of the id modulo 5 is not 0.
-
-    A document with several labels counts once for each.
-    """
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).where("label is not null")
-    marks = marks.where(remainder_of_id("_id", 5) != 0)
-    return documents.select(F.col(id_col).alias("doc_id"), "text").join(marks, F.col("doc_id") == F.col("_id")).select(
-        "doc_id", "text", "label"
-    )
+def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Labels of documents that are not held out: crc32 of the id modulo 5 is not 0."""
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
+    return rows.where(remainder_of_id("doc_id", 5) != 0)
 
 
 def quality(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
