@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm import embeddings, exact_dedup, language, mixing, packing, quality, token_counts
+from ampledger.llm import embeddings, exact_dedup, language, mixing, near_dedup, packing, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -109,3 +109,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_embedding_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
