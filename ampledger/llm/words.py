@@ -46,18 +46,22 @@ def word_spans(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndar
     return LOWER[raw], starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(texts: pa.Array, inside: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words before each text."""
-    data, starts, ends, before = word_spans(texts, inside)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings from ``starts`` to ``ends``, by sums over a rolling product."""
     power = np.full(len(data) + 1, _BASE)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.add.accumulate(_BYTES[data] * power[:-1], out=sums[1:])
-    back = np.full(len(data) + 1, _INVERSE)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((sums[ends] - sums[starts]) * back[starts]), before
+    power[1:] = _INVERSE
+    np.multiply.accumulate(power, out=power)
+    return mix((sums[ends] - sums[starts]) * power[starts])
+
+
+def word_hashes(texts: pa.Array, inside: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words before each text."""
+    data, starts, ends, before = word_spans(texts, inside)
+    return hash_spans(data, starts, ends), before
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
