@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,6 @@ from ampledger.session import no_larger, stored
 MIN_ROWS = 10
 CONTAMINATION = 0.12
 EPS = 1e-6
-MAX_LABELS = 100
 RAW = "raw_score"
 
 
@@ -148,39 +148,56 @@ def most_anomalous(scored: DataFrame, n: int, key: str = "meter_id", raw: str =
 
 
 @dataclass
-class ExpressionModel:
-    """A model whose score is one Column expression: no Python per row."""
+class ZScoreModel:
+    """Length of the vector of z-scores: one Column expression, no Python per row."""
 
     columns: list[str]
-    expression: Column
+    centre: list[float]
+    spread: list[float]
 
     def score(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(RAW, self.expression)
+        z = [(F.col(c) - m) / (s + EPS) for c, m, s in zip(self.columns, self.centre, self.spread)]
+        return df.withColumn(RAW, F.sqrt(total([x * x for x in z])))
 
 
 class ZScoreDetector:
-    """Length of the vector of z-scores (population std)."""
+    """z-scores by mean and population std of each column."""
 
-    def fit(self, df: DataFrame, columns: Sequence[str]) -> ExpressionModel:
+    def fit(self, df: DataFrame, columns: Sequence[str]) -> ZScoreModel:
+        d = range(len(columns))
         stats = df.agg(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
         ).first()
-        squares = []
-        for i, c in enumerate(columns):
-            z = (F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] + EPS)
-            squares.append(z * z)
-        return ExpressionModel(list(columns), F.sqrt(total(squares)))
+        return ZScoreModel(list(columns), [stats[f"m{i}"] for i in d], [stats[f"s{i}"] for i in d])
+
+
+@dataclass
+class MahalanobisModel:
+    """Mahalanobis distance; the quadratic form is a Column."""
+
+    columns: list[str]
+    centre: list[float]
+    inverse: list[list[float]]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        x = [F.col(c) - m for c, m in zip(self.columns, self.centre)]
+        m = self.inverse
+        terms = [
+            x[i] * x[j] * (m[i][j] if i == j else m[i][j] + m[j][i])
+            for i, j in itertools.combinations_with_replacement(range(len(x)), 2)
+        ]
+        return df.withColumn(RAW, F.sqrt(F.greatest(F.lit(0.0), total(terms))))
 
 
 @dataclass
 class MahalanobisDetector:
     """Mahalanobis distance with a ridge on the sample covariance. Means and covariances
-    are one aggregate; d x d numbers are inverted, and the quadratic form is a Column."""
+    are one aggregate; d x d numbers are inverted."""
 
     ridge: float = 1e-6
 
-    def fit(self, df: DataFrame, columns: Sequence[str]) -> ExpressionModel:
+    def fit(self, df: DataFrame, columns: Sequence[str]) -> MahalanobisModel:
         d = len(columns)
         pairs = list(itertools.combinations_with_replacement(range(d), 2))
         row = df.agg(
@@ -194,12 +211,7 @@ class MahalanobisDetector:
             inverse = np.linalg.inv(cov + self.ridge * np.eye(d))
         except np.linalg.LinAlgError:
             inverse = np.linalg.inv(cov + 10 * self.ridge * np.eye(d))
-        centred = [F.col(c) - row[f"m{i}"] for i, c in enumerate(columns)]
-        terms = [
-            centred[i] * centred[j] * float(inverse[i, j] if i == j else inverse[i, j] + inverse[j, i])
-            for i, j in pairs
-        ]
-        return ExpressionModel(list(columns), F.sqrt(F.greatest(F.lit(0.0), total(terms))))
+        return MahalanobisModel(list(columns), [row[f"m{i}"] for i in range(d)], inverse.tolist())
 
 
 # ---- user detectors -------------------------------------------------------------
@@ -216,12 +228,13 @@ class UserModel:
     def score(self, df: DataFrame) -> DataFrame:
         columns, state, function = self.columns, self.state, self.function
 
-        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("double")
+        def scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             for frame in frames:
-                yield frame.assign(**{RAW: np.asarray(function(state, frame[columns].to_numpy(float)), float)})
+                yield pd.Series(np.asarray(function(state, frame[columns].to_numpy(float)), float))
 
-        schema = T.StructType([*df.schema.fields, T.StructField(RAW, T.DoubleType())])
-        return df.mapInPandas(batches, schema)
+        # Only the features cross into Python.
+        return df.withColumn(RAW, scores(F.struct(*columns)))
 
 
 @dataclass
@@ -252,8 +265,10 @@ def convergence(scored: DataFrame, raw: str = RAW) -> DataFrame:
 
 
 def fold_of(key: str, k: int, seed: int = 42) -> Column:
-    """Fold 0..k-1 of a row by a seeded hash of its key: stable under any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")
+    """Fold 0..k-1 of a row by the md5 of seed and key: stable under any partitioning and
+    the same in other engines. A missing key counts as empty text."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
 def train_validation(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -279,74 +294,67 @@ def risk_separation(scored: DataFrame, q: float = 0.9, raw: str = RAW) -> DataFr
 def cluster_quality(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     """Davies-Bouldin and Calinski-Harabasz of labelled rows, and the silhouette in its
     squared-distance form. All three come from per-label sums; no pair of rows is formed.
-    With a single label they are infinite, 0 and -1."""
+    The table of label centres (labels x columns numbers) is shared with all tasks, where
+    rows meet it in blocks. With a single label the results are infinite, 0 and -1. Labels
+    with equal centres do not count as a pair."""
     d = range(len(columns))
     x = [F.col(c).cast("double") for c in columns]
     norm = total([v * v for v in x])
     sums = df.groupBy(label).agg(
         F.count("*").alias("n"), F.sum(norm).alias("q"), *[F.sum(x[i]).alias(f"s{i}") for i in d]
     )
-    groups = {r[label]: r for r in sums.limit(MAX_LABELS + 1).collect()}
-    if len(groups) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels: the metrics compare every pair of them")
-    if len(groups) < 2:
-        return df.sparkSession.createDataFrame(
-            [(float("inf"), 0.0, -1.0)],
-            "davies_bouldin double, calinski_harabasz double, silhouette_sq double",
-        )
-    centre = {k: np.array([r[f"s{i}"] / r["n"] for i in d]) for k, r in groups.items()}
-    n = sum(r["n"] for r in groups.values())
-    middle = sum(centre[k] * groups[k]["n"] for k in groups) / n
-    between = sum(groups[k]["n"] * float(np.sum((centre[k] - middle) ** 2)) for k in groups)
-
-    def to_centre(k) -> Column:
-        return total([(x[i] - float(centre[k][i])) * (x[i] - float(centre[k][i])) for i in d])
-
-    def mean_square(k) -> Column:
-        """Mean squared distance to all rows of a label, from its sums."""
-        r = groups[k]
-        return norm + r["q"] / r["n"] - 2 * total([x[i] * float(centre[k][i]) for i in d])
-
-    def own(f: Callable) -> Column:
-        out = F.lit(None).cast("double")
-        for k in groups:
-            out = F.when(F.col(label) == k, f(k)).otherwise(out)
-        return out
-
-    def silhouette(k) -> Column:
-        size = groups[k]["n"]
-        inner = mean_square(k) * (size / (size - 1)) if size > 1 else F.lit(0.0)
-        others = [mean_square(j) for j in groups if j != k]
-        outer = others[0] if len(others) == 1 else F.least(*others)
-        value = F.when(F.greatest(inner, outer) > 0, (outer - inner) / F.greatest(inner, outer)).otherwise(F.lit(0.0))
-        return value if size > 1 else F.lit(0.0)
-
-    per_label = df.groupBy(label).agg(
-        F.avg(F.sqrt(own(to_centre))).alias("spread"),
-        F.sum(own(to_centre)).alias("within"),
-        F.sum(own(silhouette)).alias("sil"),
-    )
-    rows = {r[label]: r for r in per_label.collect()}
-    keys = list(rows)
-    db = float(
-        np.mean(
-            [
-                max(
-                    (rows[a]["spread"] + rows[b]["spread"]) / float(np.linalg.norm(centre[a] - centre[b]))
-                    for b in keys
-                    if b != a
-                )
-                for a in keys
-            ]
-        )
-    )
-    within = sum(r["within"] for r in rows.values())
-    ch = between / (len(keys) - 1) / (within / (n - len(keys))) if within > 0 else 1.0
-    sil = sum(r["sil"] for r in rows.values()) / n
-    return df.sparkSession.createDataFrame(
-        [(db, float(ch), float(sil))],
-        "davies_bouldin double, calinski_harabasz double, silhouette_sq double",
+    groups = sums.orderBy(label).collect()
+    k, n = len(groups), sum(r["n"] for r in groups)
+    schema = "davies_bouldin double, calinski_harabasz double, silhouette_sq double"
+    if k < 2:
+        return df.sparkSession.createDataFrame([(float("inf"), 0.0, -1.0)], schema)
+    size = np.array([r["n"] for r in groups], float)
+    centre = np.array([[r[f"s{i}"] / r["n"] for i in d] for r in groups])
+    square = np.array([r["q"] / r["n"] for r in groups])  # mean squared norm of a label's rows
+    middle = size @ centre / n
+    between = float(size @ ((centre - middle) ** 2).sum(axis=1))
+    numbers = df.sparkSession.createDataFrame(
+        [(r[label], i) for i, r in enumerate(groups)], T.StructType([df.schema[label], T.StructField("_l", T.IntegerType())])
     )
+    # One row per label.
+    rows = df.join(F.broadcast(numbers), df[label].eqNullSafe(numbers[label])).select("_l", F.array(*x).alias("_x"))
+    shared = df.sparkSession.sparkContext.broadcast((size, centre, square))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, centre, square = shared.value
+        sums = np.zeros((len(size), 3))
+        for batch in batches:
+            own = batch.column("_l").to_numpy()
+            points = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            step = max(1, 4_000_000 // len(size))
+            for at in range(0, len(own), step):
+                label, y = own[at : at + step], points[at : at + step]
+                within = ((y - centre[label]) ** 2).sum(axis=1)
+                mean = (y * y).sum(axis=1)[:, None] + square - 2 * y @ centre.T  # to the rows of every label
+                inner = mean[np.arange(len(y)), label] * size[label] / np.maximum(size[label] - 1, 1)
+                mean[np.arange(len(y)), label] = np.inf
+                outer = mean.min(axis=1)
+                larger = np.maximum(inner, outer)
+                value = np.where((larger > 0) & (size[label] > 1), (outer - inner) / np.where(larger > 0, larger, 1), 0.0)
+                for i, v in enumerate((np.sqrt(within), within, value)):
+                    sums[:, i] += np.bincount(label, weights=v, minlength=len(size))
+        used = np.flatnonzero(sums.any(axis=1))
+        columns = [pa.array(used, pa.int32()), *[pa.array(sums[used, i]) for i in range(3)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["_l", "spread", "within", "sil"])
+
+    measured = rows.mapInArrow(measure, "_l int, spread double, within double, sil double")
+    totals = measured.groupBy("_l").agg(*[F.sum(c).alias(c) for c in ("spread", "within", "sil")]).collect()
+    spread = np.zeros(k)
+    for r in totals:
+        spread[r["_l"]] = r.spread / size[r["_l"]]
+    worst = np.zeros(k)
+    for i in range(k):
+        apart = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
+        ratio = np.divide(spread + spread[i], apart, out=np.zeros(k), where=apart > 0)  # none between equal centres
+        worst[i] = ratio.max()
+    within, sil = sum(r.within for r in totals), sum(r.sil for r in totals) / n
+    ch = between / (k - 1) / (within / (n - k)) if within > 0 and n > k else 1.0
+    return df.sparkSession.createDataFrame([(float(worst.mean()), float(ch), float(sil))], schema)
 
 
 # ---- sweeps ---------------------------------------------------------------------

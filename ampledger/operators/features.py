@@ -60,9 +60,10 @@ def meter_statistics(long: DataFrame, meter: str = "meter_id", month: str = "mon
     )
 
 
-def _valid(long: DataFrame, value: str, include_zeros: bool) -> DataFrame:
+def _valid(long: DataFrame, group: str, value: str, include_zeros: bool) -> DataFrame:
+    """Readings that count for their group; rows without a group belong to none."""
     v = F.col(value)
-    return no_larger(long.where(v.isNotNull() if include_zeros else v > 0), long)
+    return no_larger(long.where((v.isNotNull() if include_zeros else v > 0) & F.col(group).isNotNull()), long)
 
 
 def transformer_baseline(
@@ -74,7 +75,7 @@ def transformer_baseline(
     output: str = "baseline",
 ) -> DataFrame:
     """Central value of each transformer's readings. Zeros are left out by default."""
-    valid = _valid(long, value, include_zeros)
+    valid = _valid(long, group, value, include_zeros)
     if statistic == "median":
         return group_median(valid, [group], value, output)
     if statistic == "mean":
@@ -113,7 +114,7 @@ def transformer_spread(
 ) -> DataFrame:
     """Spread of each transformer's readings; ``mad`` takes its medians from ``centre``
     (``group, _m``) if they are known already."""
-    valid = _valid(long, value, include_zeros)
+    valid = _valid(long, group, value, include_zeros)
     if statistic == "variance":
         return no_larger(valid.groupBy(group).agg(F.var_samp(value).alias(output)), valid)
     if statistic == "std":

@@ -17,10 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ampledger.operators.detectors import RAW
 from ampledger.operators.grouped import running_total
+from ampledger.session import row_bound
 
 OVERSAMPLE = 1.5
 MIN_OVERSAMPLE_ROWS = 64
@@ -80,7 +80,8 @@ class ForestModel:
         sign = 1.0 if self.invert else -1.0
         shared = df.sparkSession.sparkContext.broadcast(trees)
 
-        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("double")
+        def scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             for frame in frames:
                 x = frame[columns].to_numpy(float)
                 depth = np.zeros(len(x))
@@ -94,10 +95,10 @@ class ForestModel:
                         moving = moving[feature[at[moving]] >= 0]
                     depth += length[at]
                 anomaly = np.exp2(-(depth / len(shared.value)) / norm) if norm else np.full(len(x), 0.5)
-                yield frame.assign(**{RAW: sign * (anomaly - 0.5)})
+                yield pd.Series(sign * (anomaly - 0.5))
 
-        schema = T.StructType([*df.schema.fields, T.StructField(RAW, T.DoubleType())])
-        return df.mapInPandas(batches, schema)
+        # Only the features cross into Python.
+        return df.withColumn(RAW, scores(F.struct(*columns)))
 
 
 @dataclass
@@ -111,7 +112,9 @@ class IsolationForest:
     invert: bool = True
 
     def fit(self, df: DataFrame, columns: Sequence[str]) -> ForestModel:
-        columns, n = list(columns), df.count()
+        columns, n = list(columns), row_bound(df)
+        if n is None:
+            n = df.count()
         size = min(self.sample_size, n)
         limit = max(1, math.ceil(math.log2(max(size, 2))))
         sample = self._sample(df.select(self.key, *columns), n, size)

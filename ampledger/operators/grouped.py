@@ -13,19 +13,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampledger.functions.columns import any_of, col, greatest_of
+from ampledger.functions.columns import all_of, any_of, col, greatest_of
 from ampledger.session import bounded, checkpointed, no_larger, row_bound, stored
 
 #: A statistics table is broadcast only after its row count was checked against this.
 BROADCAST_ROWS = 200_000
 #: Rows of one key beyond which a shuffled join splits the key over several tasks.
 HOT_ROWS = 5_000_000
-#: Tasks that share the rows without a key.
-SALTS = 32
 #: Tables proven to be no longer than this take exact percentiles in one aggregate, since
-#: even a single group of all rows fits one task.
+#: even a single group of all rows fits one task. This changes the plan, never the answer:
+#: on both ways rows with a NULL key belong to no group.
 EXACT_ROWS = 1_000_000
-#: Rank resolution of the quantile sketch; its rank error is n / SKETCH_ACCURACY.
+#: Rank resolution of the quantile sketch; its rank error is n / SKETCH_ACCURACY. It changes
+#: how much is ordered, not the result.
 SKETCH_ACCURACY = 10_000
 
 
@@ -77,7 +77,9 @@ def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "l
     Keys are counted first (combined map-side). A key with more than ``HOT_ROWS`` rows is
     split into as many parts as its count asks for: its rows draw a part, its one side row
     is copied to each. There are at most rows / ``HOT_ROWS`` such keys, so their list is
-    broadcast. All other keys join as they are; rows without a key are spread as well.
+    broadcast. All other keys join as they are; rows without a key are spread over all
+    partitions. The part is a hash of the row, so equal rows draw the same one: a caller with
+    many equal rows of a key counts them into one row first.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_k")).where(F.col("_k") > HOT_ROWS)
     parts = F.ceil(F.col("_k") / HOT_ROWS).cast("int")
@@ -87,15 +89,18 @@ def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "l
     hot = F.broadcast(hot)
     spread = F.xxhash64(*[F.col(c) for c in rows.columns])
     keyless = any_of([F.col(k).isNull() for k in keys])
-    salt = F.when(keyless, F.pmod(spread, F.lit(SALTS))).otherwise(
-        F.pmod(spread, F.coalesce("_parts", F.lit(1)))
-    )
-    salted = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_parts")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    salt = F.when(keyless, spread).otherwise(F.pmod(spread, F.coalesce("_parts", F.lit(1))))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))
     copied = side.join(hot, keys, "left").withColumn("_salt", copies).drop("_parts")
     return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+def with_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that belong to a group: no key is NULL."""
+    return rows.where(all_of([F.col(k).isNotNull() for k in keys])) if keys else rows
+
+
 def group_quantiles(
     rows: DataFrame,
     keys: list[str],
@@ -113,10 +118,12 @@ def group_quantiles(
        per group or, if it is still long, by range partitions.
 
     Groups with fewer than ``accuracy`` values skip the sketch and stay whole. A table
-    proven to be short takes the built-in exact percentile instead.
+    proven to be short takes the built-in exact percentile instead. Rows with a NULL key
+    are left out.
     """
     names = list(probs)
     known = row_bound(rows)
+    rows = with_keys(rows, keys)
     if known is not None and known <= EXACT_ROWS:
         exact = F.percentile(col(value).cast("double"), F.array(*[F.lit(probs[k]) for k in names]))
         whole = rows.groupBy(*keys).agg(exact.alias("_p"))
@@ -153,10 +160,11 @@ def group_quantiles(
         )
     )
     if keys:
-        bound = attach(values, brackets, keys, "inner")
+        ties = values.groupBy(*keys, "_v").agg(F.count("*").alias("_ties"))
+        bound = attach(ties, brackets, keys, "inner")
         edge = F.col
     else:
-        bound = with_scalars(values, brackets, "_b")
+        bound = with_scalars(values.withColumn("_ties", F.lit(1).cast("long")), brackets, "_b")
         edge = lambda c: F.col(f"_b.{c}")
 
     lo = [edge(f"_lo{i}") for i in range(len(names))]
@@ -166,7 +174,7 @@ def group_quantiles(
     kept = any_of([v.between(a, b) for a, b in zip(lo, hi)])
     collapsed = F.when(kept, v).otherwise(greatest_of([lowest, *[F.when(b <= v, b) for b in hi]]))
 
-    counts = stored(bound.groupBy(*keys, collapsed.alias("_c")).agg(F.count("*").alias("_k")))
+    counts = stored(bound.groupBy(*keys, collapsed.alias("_c")).agg(F.sum("_ties").alias("_k")))
     totals = no_larger(counts.groupBy(*keys).agg(F.sum("_k").alias("_n")), counts)
     ranked = running_total(counts, ["_c"], F.col("_k"), keys, "_to")
     ranked = ranked.withColumn("_from", F.col("_to") - F.col("_k"))
@@ -211,14 +219,15 @@ def running_total(
     summed on its own and shifted by the totals of the ranges before it, of which
     there are no more than shuffle partitions per key. ``(keys, order)`` must be
     unique, so a hot value has to be counted into one row beforehand. A table proven to
-    be short is summed by one window instead.
+    be short is summed by one window instead. Rows with a NULL key are left out.
     """
     keys = keys or []
-    weight = F.lit(1).cast("long") if weight is None else weight
     known = row_bound(df)
+    df = with_keys(df, keys)
+    weight = F.lit(1).cast("long") if weight is None else weight
     if known is not None and known <= EXACT_ROWS:
         whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return no_larger(df.withColumn(name, F.sum(weight).over(whole)), df)
+        return bounded(df.withColumn(name, F.sum(weight).over(whole)), known)
     ranged = checkpointed(
         df.withColumn("_w", weight)
         .repartitionByRange(*keys, *order)

@@ -41,16 +41,24 @@ def to_long(wide: DataFrame, ids: list[str], prefix: str = MONTH_PREFIX) -> Data
     )
 
 
+#: Month columns that are built without being asked for by name.
+MAX_MONTHS = 600
+
+
 def to_wide(
     long: DataFrame, ids: list[str], months: list[str] | None = None, prefix: str = MONTH_PREFIX
 ) -> DataFrame:
     """One column per month. ``months`` (``yyyyMM``) are read from the calendar span
-    of the data when not given: a two-value aggregate, not the rows."""
+    of the data when not given: a two-value aggregate, not the rows. A span of more than
+    ``MAX_MONTHS`` months is an error: give the months if a stray date made it. Readings of
+    the same meter and month are summed."""
     if months is None:
         span = long.agg(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month")))
         months = [d.strftime("%Y%m") for d in (span.first()[0] or [])]
+        if len(months) > MAX_MONTHS:
+            raise ValueError(f"the readings span {len(months)} months; give the wanted ones")
     name = F.date_format("month", "yyyyMM")
-    pivoted = long.withColumn("_m", name).groupBy(*ids).pivot("_m", months).agg(F.max("kwh"))
+    pivoted = long.withColumn("_m", name).groupBy(*ids).pivot("_m", months).agg(F.sum("kwh"))
     return pivoted.select(*ids, *[F.col(m).alias(prefix + m) for m in months])
 
 
@@ -80,12 +88,29 @@ def chart_points(meters: DataFrame, values: str = "monthly_consumptions") -> Dat
     )
 
 
-def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
-    """``column_<category>`` 0/1 columns for a declared set of categories."""
-    flags = [
-        F.coalesce((F.col(column) == c).cast("int"), F.lit(0)).alias(f"{column}_{c}")
-        for c in categories
-    ]
+#: Columns that discovered categories may become.
+MAX_CATEGORIES = 1000
+
+
+def one_hot(df: DataFrame, column: str, categories: list[str] | None = None, others: str = "error") -> DataFrame:
+    """``column_<category>`` 0/1 columns; a NULL has 0 everywhere.
+
+    Without a list the categories are the values of the table, in order; more than
+    ``MAX_CATEGORIES`` are an error before anything is built. A value that a given list
+    lacks fails the job, or has 0 everywhere with ``others="ignore"``.
+    """
+    if others not in ("error", "ignore"):
+        raise ValueError(f"others are an error or ignored, not {others!r}")
+    c = F.col(column)
+    if categories is None:
+        found = df.where(c.isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1).collect()
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
+        categories = sorted(r[0] for r in found)
+    elif others == "error":
+        message = F.concat(F.lit(f"undeclared value of {column}: "), c.cast("string"))
+        c = F.when(c.isNull() | c.isin(*categories), c).otherwise(F.raise_error(message))
+    flags = [F.coalesce((c == k).cast("int"), F.lit(0)).alias(f"{column}_{k}") for k in categories]
     return df.select("*", *flags).drop(column)
 
 

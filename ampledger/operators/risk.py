@@ -17,6 +17,7 @@ INFERENCE_HIGH, INFERENCE_MEDIUM = 0.7, 0.4
 BASELINE_HIGH_RATE = 0.20
 CONFIDENCE_BANDS = [(0.9, "very_high"), (0.7, "high"), (0.5, "medium"), (0.3, "low")]
 MULTI_FACTOR_WEIGHTS = (0.5, 0.3, 0.2)
+# Texts shown beside a level.
 EXPLANATIONS = {
     "HIGH": "⚠️ High anomaly detected - Prioritize for field inspection",
     "MEDIUM": "⚡ Moderate anomaly - Monitor closely",
@@ -95,8 +96,13 @@ def risk_distribution(df: DataFrame, level: str = "risk_level") -> DataFrame:
 
 
 def level_of(score: Column, high: float = INFERENCE_HIGH, medium: float = INFERENCE_MEDIUM) -> Column:
-    """HIGH / MEDIUM / LOW with inclusive cut-offs."""
-    return F.when(score >= high, F.lit("HIGH")).when(score >= medium, F.lit("MEDIUM")).otherwise(F.lit("LOW"))
+    """HIGH / MEDIUM / LOW with inclusive cut-offs; UNKNOWN without a score."""
+    return (
+        F.when(score.isNull(), F.lit("UNKNOWN"))
+        .when(score >= high, F.lit("HIGH"))
+        .when(score >= medium, F.lit("MEDIUM"))
+        .otherwise(F.lit("LOW"))
+    )
 
 
 def predictions(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
@@ -234,18 +240,21 @@ def top_suspicious(
     by_score = Window.orderBy(F.desc_nulls_last("sort_score"), F.asc(meter))
     if not include_ties:
         return first.withColumn("priority_rank", F.row_number().over(by_score))
-    cutoff = first.agg(F.min("sort_score").alias("cutoff"))
-    tied = with_scalars(scored, cutoff).where(F.col("sort_score") >= F.col("_g.cutoff")).drop("_g")
+    # Missing scores rank last; if they are among the first n, all of them tie there.
+    cutoff = first.agg(F.min("sort_score").alias("cutoff"), F.count_if(F.col("sort_score").isNull()).alias("missing"))
+    among = (F.col("sort_score") >= F.col("_g.cutoff")) | (F.col("_g.missing") > 0)
+    tied = with_scalars(scored, cutoff).where(among).drop("_g")
     higher = first.groupBy("sort_score").agg(F.count("*").alias("_k"))
     ranks = higher.withColumn(
         "priority_rank",
         F.coalesce(
-            F.sum("_k").over(Window.orderBy(F.desc("sort_score")).rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum("_k").over(Window.orderBy(F.desc_nulls_last("sort_score")).rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         )
         + 1,
     ).drop("_k")
-    return tied.join(F.broadcast(ranks), "sort_score")
+    ranks = ranks.withColumnRenamed("sort_score", "_score")
+    return tied.join(F.broadcast(ranks), F.col("sort_score").eqNullSafe(F.col("_score"))).drop("_score")
 
 
 def run_metrics(df: DataFrame, top_n: int = 100) -> DataFrame:

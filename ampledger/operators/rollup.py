@@ -80,18 +80,22 @@ def run_summary(meters: DataFrame, transformer_table: DataFrame, barangay_table:
         F.count("*").alias("total_meters"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high_risk_meters"),
     )
-    worst = F.struct(F.col("avg_anomaly_score"), -F.col("transformer_id"))
+
+    def worst(name: str, score: str):
+        """The highest score; of equal ones the smallest name, so that ids may be text."""
+        return F.min_by(name, F.struct(F.col(score).isNull(), -F.col(score), F.col(name)))
+
     of_transformers = transformer_table.agg(
         F.count("*").alias("total_transformers"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high_risk_transformers"),
-        F.max_by("transformer_id", worst).alias("most_anomalous_transformer"),
+        worst("transformer_id", "avg_anomaly_score").alias("most_anomalous_transformer"),
     )
     of_barangays = barangay_table.agg(
         F.count("*").alias("total_barangays"),
-        F.max_by("barangay", "avg_risk_score").alias("most_anomalous_barangay"),
+        worst("barangay", "avg_risk_score").alias("most_anomalous_barangay"),
     )
     of_cities = city_table.agg(
-        F.count("*").alias("total_cities"), F.max_by("city_name", "avg_risk_score").alias("most_anomalous_city")
+        F.count("*").alias("total_cities"), worst("city_name", "avg_risk_score").alias("most_anomalous_city")
     )
     out = totals
     for name, part in (("_t", of_transformers), ("_b", of_barangays), ("_c", of_cities)):

@@ -13,9 +13,10 @@ from ampledger.session import no_larger, stored
 MIN_VALID_VALUES = 3
 
 
-def _valid(long: DataFrame, value: str, include_zeros: bool) -> DataFrame:
+def _valid(long: DataFrame, group: str, value: str, include_zeros: bool) -> DataFrame:
+    """Readings that count for their group; rows without a group belong to none."""
     v = F.col(value)
-    return no_larger(long.where(v.isNotNull() if include_zeros else v > 0), long)
+    return no_larger(long.where((v.isNotNull() if include_zeros else v > 0) & F.col(group).isNotNull()), long)
 
 
 def outlier_bounds(
@@ -33,7 +34,7 @@ def outlier_bounds(
     bound is at least 0. ``central_share`` is the percentage kept by ``percentile``.
     Sigma bounds without the median are a single aggregate.
     """
-    valid = _valid(long, value, include_zeros)
+    valid = _valid(long, group, value, include_zeros)
     counts = valid.groupBy(group).agg(
         F.count("*").alias("n_valid"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["intake", "cleaning", "modelling", "rollups", "places", "detection"]
+SECTIONS = ["intake", "cleaning", "modelling", "rollups", "places", "detection", "answers"]
 
 
 def load_all() -> dict:

@@ -133,7 +133,14 @@ def m10(t):
     return M.convergence(M.ZScoreDetector().fit(df, ["u", "v"]).score(df))
 
 
-@query("m11_train_validation_folds")
+FOLD_SQL = "('0x' || substr(md5('42|' || meter_id), 1, 8))::BIGINT"
+
+
+@query(
+    "m11_train_validation_folds",
+    RAW + f"""SELECT CASE WHEN {FOLD_SQL} % 1000 < 200 THEN 'validation' ELSE 'train' END AS part, meter_id,
+        ({FOLD_SQL} % 5)::INT AS fold FROM meters""",
+)
 def m11(t):
     df = balance(t)
     train, rest = M.train_validation(df, "meter_id", 0.2)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampledger.operators.detectors import (
@@ -20,68 +21,130 @@ from ampledger.operators.detectors import (
 from ampledger.operators.features import ENGINEERED, consumption_ratio, engineer_features, meter_trend
 from ampledger.operators.forest import IsolationForest
 from ampledger.operators.grouped import attach
+from ampledger.operators.impute import impute
 from ampledger.operators.reshape import to_long
 from ampledger.operators.risk import assess, complete_predictions, level_of, predictions, run_metrics
 from ampledger.operators.rollup import barangays, cities, run_summary, transformers
-from ampledger.operators.scaling import preprocess
-from ampledger.operators.scoring import score_meters
+from ampledger.operators.scaling import outlier_bounds, treat_outliers
+from ampledger.operators.scoring import FLAG_THRESHOLD, score_meters
 from ampledger.operators.spatial import SMALL_CLUSTER, cluster_statistics, cluster_table, dbscan
 from ampledger.session import no_larger, stored
 from ampledger.sources.geography import districts
-from ampledger.sources.readers import clean_upload, pad_months
+from ampledger.sources.models import load_fitted, save_fitted
+from ampledger.sources.readers import clean_upload, pad_months, read_meters
 from ampledger.sources.writers import save_run
 
 RATIO = "consumption_ratio_to_transformer_median"
 BASELINE = "transformer_baseline_median"
 SPREAD = "transformer_baseline_variance"
+TREND = "meter_consumption_trend"
 
 
-def prepare(long: DataFrame) -> DataFrame:
-    """Readings cleaned the one way that training and inference share: gaps filled and
-    outliers capped per transformer, in the unit of the input."""
-    cleaned = preprocess(long)
-    return cleaned.select(
-        "meter_id", "transformer_id", "month", F.col("kwh_capped").alias("kwh"), "kwh_norm"
-    )
+@dataclass(frozen=True)
+class Options:
+    """Choices of a training run; the operators explain them."""
 
+    impute: str = "forward_fill"
+    outlier_method: str = "sigma"
+    outlier_threshold: float = 3.0
+    contamination: float = CONTAMINATION
+    normalisation: str = "minmax"
+    fusion: str = "weighted_sum"
+    weights: dict[str, float] | None = None
+    missing: str = "median"
+    flag_threshold: float = FLAG_THRESHOLD
+    risk: dict = field(default_factory=dict)  # thresholds of risk_class
 
-def feature_table(long: DataFrame) -> DataFrame:
-    """Engineered features of every meter, written once. A trend or ratio that can not be
-    computed is 0 for the model and counted by the caller through ``is_imputed``."""
-    features = engineer_features(long)
+
+def filled(long: DataFrame, options: Options) -> DataFrame:
+    """Readings without gaps as ``kwh``."""
+    done = impute(long, options.impute, group="transformer_id")
+    return no_larger(done.select("meter_id", "transformer_id", "month", F.col("kwh_filled").alias("kwh")), long)
+
+
+def capped(readings: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``readings`` within the transformers' outlier bounds, in the unit of the input."""
+    treated = treat_outliers(readings, bounds)
+    out = treated.select("meter_id", "transformer_id", "month", F.col("kwh_capped").alias("kwh"))
+    return no_larger(out, readings)
+
+
+def model_inputs(df: DataFrame) -> DataFrame:
+    """What a detector sees: a trend, ratio or baseline that is not known is 0 there and
+    marked by ``is_imputed``; ``ratio`` keeps what is known for the rules on it."""
     missing = [F.col(c).isNull() for c in ENGINEERED]
-    imputed = missing[0] | missing[1] | missing[2] | missing[3]
-    return stored(
-        features.select(
-            "meter_id",
-            "transformer_id",
-            *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ENGINEERED],
-            imputed.alias("is_imputed"),
-        )
+    inputs = df.select(
+        "meter_id",
+        "transformer_id",
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ENGINEERED],
+        (missing[0] | missing[1] | missing[2] | missing[3]).alias("is_imputed"),
+        F.col(RATIO).alias("ratio"),
     )
+    return no_larger(inputs, df)
+
+
+def feature_table(long: DataFrame) -> DataFrame:
+    """Engineered features of every meter, written once."""
+    return stored(model_inputs(engineer_features(long)))
 
 
 @dataclass
 class Trained:
-    """What later runs need: the fitted detector and the transformers' baselines."""
+    """What later runs need: the fitted detector, and of each transformer its baseline, its
+    spread and its outlier bounds (``baselines``). A loaded model has no assessment."""
 
     fitted: Fitted
     baselines: DataFrame
-    assessment: DataFrame
-    metrics: DataFrame
+    options: Options
+    assessment: DataFrame | None = None
+    metrics: DataFrame | None = None
 
 
-def train(long: DataFrame, detector: Detector | None = None, clean: bool = True) -> Trained:
+def train(
+    long: DataFrame, detector: Detector | None = None, clean: bool = True, options: Options = Options()
+) -> Trained:
     """Clean, build features, fit, score, assess, measure."""
-    readings = stored(prepare(long) if clean else long)
+    bounds = None
+    readings = long
+    if clean:
+        gapless = stored(filled(long, options))
+        found = outlier_bounds(gapless, options.outlier_method, options.outlier_threshold, with_median=False)
+        bounds = stored(found.select("transformer_id", "lower_bound", "upper_bound"))
+        readings = stored(capped(gapless, bounds))
     features = feature_table(readings)
-    fitted = fit(detector or IsolationForest(), features, ENGINEERED)
-    scored = no_larger(fitted.training.withColumnRenamed(RATIO, "ratio"), fitted.training)
-    assessed = assess(score_meters(scored), flag=None)
-    baselines = features.groupBy("transformer_id").agg(
+    fitted = fit(detector or IsolationForest(), features, ENGINEERED, options.contamination)
+    scored = score_meters(
+        fitted.training,
+        normalisation=options.normalisation,
+        fusion=options.fusion,
+        weights=options.weights,
+        missing=options.missing,
+        threshold=options.flag_threshold,
+    )
+    assessed = assess(scored, flag=None, **options.risk)
+    baselines = features.where(F.col("transformer_id").isNotNull()).groupBy("transformer_id").agg(
         F.max(BASELINE).alias(BASELINE), F.max(SPREAD).alias(SPREAD)
     )
-    return Trained(fitted, stored(baselines), assessed, run_metrics(assessed))
+    if bounds is None:
+        none = F.lit(None).cast("double")
+        baselines = baselines.withColumns({"lower_bound": none, "upper_bound": none})
+    else:
+        baselines = baselines.join(bounds, "transformer_id", "left")
+    return Trained(fitted, stored(baselines), options, assessed, run_metrics(assessed))
+
+
+def save_model(trained: Trained, folder: str) -> None:
+    """Store what scoring needs as parquet and the options as JSON text."""
+    save_fitted(trained.fitted, trained.baselines, folder)
+    text = json.dumps(asdict(trained.options))
+    spark = trained.baselines.sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/options")
+
+
+def load_model(spark: SparkSession, folder: str) -> Trained:
+    fitted, baselines = load_fitted(spark, folder)
+    text = "".join(r.value for r in spark.read.text(f"{folder}/options").collect())  # one line
+    return Trained(fitted, baselines, Options(**json.loads(text)))
 
 
 def train_isolation_forest(
@@ -127,21 +190,37 @@ def tune_dbscan(points: DataFrame, combinations: list[dict], patience: int | Non
     return tune(combinations, separation, patience)
 
 
-def score_new_meters(long: DataFrame, trained: Trained) -> DataFrame:
-    """Predictions for meters that come one at a time or in small batches: features
-    against the stored baselines, scores on the stored training range."""
-    ratios = consumption_ratio(long, trained.baselines, baseline_column=BASELINE, output=RATIO)
-    trends = meter_trend(long, output="meter_consumption_trend")
+def new_meter_features(long: DataFrame, trained: Trained) -> DataFrame:
+    """The features of :func:`feature_table`, prepared as in training: gaps filled the same
+    way, outliers capped by the stored bounds, ratios against the stored baselines."""
+    kind = long.schema["transformer_id"].dataType
+    baselines = trained.baselines.withColumn("transformer_id", F.col("transformer_id").cast(kind))
+    limits = baselines.select("transformer_id", "lower_bound", "upper_bound")
+    readings = stored(capped(filled(long, trained.options), limits))
+    ratios = consumption_ratio(readings, baselines, baseline_column=BASELINE, output=RATIO)
+    trends = meter_trend(readings, output=TREND)
     joined = ratios.join(trends, "meter_id", "left").join(
-        trained.baselines.select("transformer_id", SPREAD), "transformer_id", "left"
-    )
-    filled = joined.select(
-        "meter_id", "transformer_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ENGINEERED]
+        baselines.select("transformer_id", SPREAD), "transformer_id", "left"
     )
-    scored = trained.fitted.scores(filled)
+    return no_larger(model_inputs(joined), readings)
+
+
+def score_new_meters(long: DataFrame, trained: Trained) -> DataFrame:
+    """Predictions for meters that come one at a time or in batches, with scores on the
+    stored training range."""
+    scored = trained.fitted.scores(new_meter_features(long, trained))
     return predictions(scored.withColumnRenamed("score", "anomaly_score"))
 
 
+def predict_csv(spark: SparkSession, meters: str, model: str, output: str | None = None) -> DataFrame:
+    """A file of meters and a stored model to predictions, written as CSV if wanted."""
+    long = to_long(read_meters(spark, meters), ["meter_id", "transformer_id"])
+    found = score_new_meters(long, load_model(spark, model))
+    if output is not None:
+        found.write.mode("overwrite").option("header", True).csv(output)
+    return found
+
+
 def one_meter(spark, meter_id: str, transformer_id, months: dict[str, float], trained: Trained) -> DataFrame:
     """A single meter given as ``{'yyyyMM': kWh}``."""
     rows = [(meter_id, transformer_id, m, float(v)) for m, v in months.items()]
@@ -151,16 +230,28 @@ def one_meter(spark, meter_id: str, transformer_id, months: dict[str, float], tr
     return score_new_meters(long, trained)
 
 
-def run_upload(upload: DataFrame, detector: Detector | None = None, folder: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
+def run_upload(
+    upload: DataFrame,
+    detector: Detector | None = None,
+    folder: str | None = None,
+    run_id: str | None = None,
+    trained: Trained | None = None,
+) -> dict[str, DataFrame]:
     """An uploaded wide table to meters, transformers, districts, cities and a summary;
-    stored as one run if a folder is given."""
+    stored as one run if a folder is given.
+
+    With a trained model the meters are scored by it, on its own range; without one a
+    detector is fitted on the upload itself, whose highest score is then 1.
+    """
     cleaned = stored(pad_months(clean_upload(upload)))
     long = stored(to_long(cleaned, ["meter_id", "transformer_id"]))
-    features = feature_table(long)
-    fitted = fit(detector or IsolationForest(), features, ENGINEERED)
-    scored = fitted.training_scores().select("meter_id", F.col("score").alias("anomaly_score"))
+    if trained is not None:
+        scored = score_new_meters(long, trained).select("meter_id", "anomaly_score")
+    else:
+        fitted = fit(detector or IsolationForest(), feature_table(long), ENGINEERED)
+        scored = fitted.training_scores().select("meter_id", F.col("score").alias("anomaly_score"))
     predicted = complete_predictions(scored.withColumn("risk_level", level_of(F.col("anomaly_score"))))
-    numbered = cleaned.withColumn("barangay_id", F.col("barangay_id").cast("int"))
+    numbered = cleaned.withColumn("barangay_id", F.col("barangay_id").try_cast("int"))
     located = attach(numbered, districts(upload.sparkSession), ["barangay_id"])
     meters = stored(
         located.withColumn("city_id", F.coalesce("city_id", F.lit("unknown")))

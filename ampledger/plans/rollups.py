@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,15 +241,17 @@ def a14(t):
     views("meters facts", FUSE)
     + r6(
         f"""SELECT m.meter_id, m.customer_class, s.iso AS anomaly_score, {LEVELS.format(s='s.iso')} AS risk_level
-        FROM meters m LEFT JOIN (SELECT * FROM sc WHERE iso > 0.5) s USING (meter_id)""".replace(
+        FROM meters m LEFT JOIN
+            (SELECT CASE WHEN meter_id % 3 = 0 THEN -meter_id ELSE meter_id END AS meter_id, iso FROM sc) s USING (meter_id)""".replace(
             LEVELS.format(s="s.iso"), f"CASE WHEN s.iso IS NOT NULL THEN {LEVELS.format(s='s.iso')} END"
         ),
         "anomaly_score",
     ),
 )
 def j1(t):
-    predicted = predictions(scored_for_display(t)).where("anomaly_score > 0.5")
-    predicted = predicted.select("meter_id", "anomaly_score", "risk_level")
+    # Every third prediction belongs to a meter that is not in the table.
+    key = F.when(F.col("meter_id") % 3 == 0, -F.col("meter_id")).otherwise(F.col("meter_id"))
+    predicted = predictions(scored_for_display(t)).select(key.alias("meter_id"), "anomaly_score", "risk_level")
     return t.sparse_meters().select("meter_id", "customer_class").join(predicted, "meter_id", "left")
 
 
@@ -458,32 +462,37 @@ def s12_collection(t):
     "s13_transformers_with_meters",
     """SELECT n_nationkey::BIGINT AS transformer_id, count(s_suppkey) AS meter_count,
         coalesce(array_to_string((list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey IS NOT NULL))[1:10], ','), '') AS meter_ids
-        FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY 1""",
+        FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""",
 )
 def s13(t):
     stations = t.table("nation").select(F.col("n_nationkey").cast("long").alias("transformer_id"))
-    meters = t.table("supplier").where("s_acctbal > 0").select(
+    meters = t.table("supplier").select(
         F.col("s_suppkey").alias("meter_id"), F.col("s_nationkey").cast("long").alias("transformer_id")
     )
     joined = writers.transformers_with_meters(stations, meters)
     return joined.withColumn("meter_ids", F.array_join("meter_ids", ","))
 
 
-def _three_runs(t) -> str:
-    """Meters of three segments stored as three runs, then one deleted."""
+#: All values of the segment column, in the order in which their runs are stored.
+SEGMENTS = ("building", "furniture", "automobile", "household", "machinery")
+
+
+def _stored_runs(t) -> str:
+    """The meters of each segment stored as a run, then one run deleted."""
     folder = scratch_path(t.spark, "runs")
     meters = t.rollup_meters()
-    for name in ("building", "furniture", "machinery"):
+    for name in SEGMENTS:
         chosen = filter_meters(meters, customer_class=name)
         writers.save_run(name, {"meters": chosen, "transformers": A.transformers(chosen)}, folder)
     writers.delete_run(t.spark, folder, "furniture")
     return folder
 
 
-@query("s14_list_runs", """SELECT 'machinery' AS run_id, 1 AS position, count(*) AS n_meters FROM customer WHERE
-    c_mktsegment = 'MACHINERY' UNION ALL SELECT 'building', 2, count(*) FROM customer WHERE c_mktsegment = 'BUILDING'""")
+@query("s14_list_runs", """SELECT lower(c_mktsegment) AS run_id,
+    CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'HOUSEHOLD' THEN 2 WHEN 'AUTOMOBILE' THEN 3 ELSE 4 END AS position,
+    count(*) AS n_meters FROM customer WHERE c_mktsegment <> 'FURNITURE' GROUP BY c_mktsegment""")
 def s14_list(t):
-    folder = _three_runs(t)
+    folder = _stored_runs(t)
     listed = H.list_runs(writers.run_log(t.spark, folder), 10)
     order = F.row_number().over(Window.orderBy(F.desc("created_at")))
     stored = t.spark.read.parquet(f"{folder}/meters").groupBy("run_id").agg(F.count("*").alias("n_meters"))
@@ -493,13 +502,12 @@ def s14_list(t):
 @query(
     "s14_read_run",
     views("rmeters")
-    + r6("SELECT meter_id, risk_level, anomaly_score FROM rmeters WHERE customer_class = 'building'", "anomaly_score"),
+    + r6("SELECT meter_id, risk_level, anomaly_score FROM rmeters WHERE customer_class <> 'furniture'", "anomaly_score"),
 )
 def s14_read(t):
-    folder = _three_runs(t)
-    kept = writers.read_run(t.spark, folder, "meters", "building")
-    gone = writers.read_run(t.spark, folder, "meters", "furniture")
-    return kept.unionByName(gone).select("meter_id", "risk_level", "anomaly_score")
+    folder = _stored_runs(t)
+    runs = [writers.read_run(t.spark, folder, "meters", name) for name in SEGMENTS]  # the deleted one is empty
+    return reduce(DataFrame.unionByName, runs).select("meter_id", "risk_level", "anomaly_score")
 
 
 # ---- model versions -------------------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Settings this library is written for. Partition numbers are the cluster's choice: give
@@ -47,9 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint whose row count is known, so that what derives from it has a bound."""
-    out = checkpointed(df)
-    return bounded(out, out.count())
+    """A checkpoint whose row count is known, so that what derives from it has a bound.
+
+    Rows are counted by the job that writes them. A part that is computed twice may be
+    counted twice, which leaves the count an upper bound.
+    """
+    checkpoint_root(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return bounded(out, seen.get["n"])
 
 
 def bounded(df: DataFrame, rows: int | None) -> DataFrame:

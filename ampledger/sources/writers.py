@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampledger.operators.grouped import with_scalars
 from ampledger.operators.reshape import filter_meters
 from ampledger.operators.runs import live_runs
 
@@ -144,20 +145,41 @@ def transformer_features(transformers: DataFrame, properties: list[str] | None =
     return transformers.select("transformer_id", feature(properties or TRANSFORMER_PROPERTIES).alias("feature"))
 
 
-MAX_COLLECTION = 100_000
-
-
 def feature_collection(features: DataFrame) -> DataFrame:
-    """All features in one document. Only for maps of checked size; beyond it write
-    the features line by line."""
-    if features.limit(MAX_COLLECTION + 1).count() > MAX_COLLECTION:
-        raise ValueError(f"more than {MAX_COLLECTION} features do not fit one document")
+    """All features in one document, one row: for maps that a browser can hold. Larger ones
+    are written in parts, see :func:`feature_collection_parts`."""
     ordered = F.array_sort(F.collect_list(F.struct("transformer_id", "feature")))
     texts = F.transform(ordered, lambda f: f["feature"])
     head, tail = F.lit('{"type":"FeatureCollection","features":['), F.lit("]}")
     return features.agg(F.concat(head, F.array_join(texts, ","), tail).alias("geojson"))
 
 
+def feature_collection_parts(features: DataFrame) -> DataFrame:
+    """``part, transformer_id, line``: the same document in lines, in the order of
+    (part, transformer_id, line): opening, features, closing. Features are sorted by range,
+    so a map of any size is written by many tasks; no line is longer than a feature."""
+    first = features.agg(F.min(F.struct("transformer_id", "feature")).alias("f")).select("f.*")
+    marked = with_scalars(features.select("transformer_id", "feature"), first)
+    is_first = (F.col("transformer_id") == F.col("_g.transformer_id")) & (F.col("feature") == F.col("_g.feature"))
+    lines = marked.select(
+        F.lit(1).alias("part"),
+        "transformer_id",
+        F.when(is_first, F.col("feature")).otherwise(F.concat(F.lit(","), "feature")).alias("line"),
+    )
+    none = F.lit(None).cast(features.schema["transformer_id"].dataType).alias("transformer_id")
+    ends = features.sparkSession.range(2).select(
+        (F.col("id") * 2).cast("int").alias("part"),
+        none,
+        F.when(F.col("id") == 0, F.lit('{"type":"FeatureCollection","features":[')).otherwise(F.lit("]}")).alias("line"),
+    )
+    return ends.unionByName(lines).orderBy("part", "transformer_id", "line")
+
+
+def write_feature_collection(features: DataFrame, path: str) -> None:
+    """Text files whose contents in the order of their names are one GeoJSON document."""
+    feature_collection_parts(features).select("line").write.mode("overwrite").text(path)
+
+
 def transformers_with_meters(transformers: DataFrame, meters: DataFrame, shown: int = 10) -> DataFrame:
     """Meter count and the first ``shown`` meter ids per transformer; 0 and none if it has
     no meters. The rank filter is a group limit: a transformer's list never exceeds it."""
