@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ampledger.operators.detectors import RAW
 from ampledger.operators.grouped import running_total
-from ampledger.session import row_bound
+from ampledger.session import row_bound, stored
 
 OVERSAMPLE = 1.5
 MIN_OVERSAMPLE_ROWS = 64
@@ -156,26 +156,45 @@ class IsolationForest:
         return picked.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size).drop("_rn")
 
 
-def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
-    """``df`` with the values of one column dealt out anew: rows are numbered in two
-    seeded hash orders and joined by number, so no value is lost or doubled."""
-
-    def numbered(frame: DataFrame, salt: int) -> DataFrame:
-        hashed = frame.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)))
-        return running_total(hashed, ["_h", key], name="_no").drop("_h")
-
-    places = numbered(df.drop(column), 0)
-    values = numbered(df.select(key, column), 1).select("_no", column)
-    return places.join(values, "_no").drop("_no").select(*df.columns)
+def permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+    """``key``, ``columns`` and for each ``c`` of them ``c@``: its values dealt out anew.
+
+    Rows are numbered once, by the md5 of seed and key. Column ``i`` of ``d`` takes the value
+    of the row that stands ``(i + 1) * n // (d + 1)`` places further on, around the end, so no
+    value is lost or doubled. All columns are dealt in one shuffle.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    hashed = df.select(key, *columns).withColumn("_h", digest)
+    numbered = stored(running_total(hashed, ["_h", key], name="_no").withColumn("_no", F.col("_no") - 1).drop("_h"))
+    n, d = row_bound(numbered), len(columns)
+    moved = [
+        F.struct(
+            F.pmod(F.col("_no") - max(1, (i + 1) * n // (d + 1)), F.lit(max(1, n))).alias("_no"),
+            F.lit(i).alias("i"),
+            F.col(c).cast("double").alias("v"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    dealt = numbered.select(F.explode(F.array(*moved)).alias("m")).select("m.*").groupBy("_no").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{c}@") for i, c in enumerate(columns)]
+    )
+    return numbered.join(dealt, "_no").drop("_no")
 
 
 def feature_importance(model, df: DataFrame, key: str = "meter_id", seed: int = 42) -> DataFrame:
-    """Change of the score variance when one column is permuted, scaled to sum 1."""
-    base = model.score(df).agg(F.var_pop(RAW)).first()[0]
-    changes = []
-    for i, column in enumerate(model.columns):
-        mixed = permuted(df.select(key, *model.columns), column, key, seed + i)
-        changes.append(abs(base - model.score(mixed).agg(F.var_pop(RAW)).first()[0]))
+    """Change of the score variance when one column is permuted, scaled to sum 1.
+
+    The table as it is and with each column permuted are scored in one pass.
+    """
+    columns = model.columns
+    mixed = permuted(df, columns, key, seed)
+    variants = [
+        F.struct(F.lit(i).alias("_i"), *[F.col(f"`{c}@`" if i == j else c).cast("double").alias(c) for j, c in enumerate(columns)])
+        for i in range(-1, len(columns))
+    ]
+    rows = mixed.select(F.explode(F.array(*variants)).alias("v")).select("v.*")
+    found = {r["_i"]: r.v for r in model.score(rows).groupBy("_i").agg(F.var_pop(RAW).alias("v")).collect()}
+    changes = [abs(found.get(-1, 0.0) - found.get(i, 0.0)) for i in range(len(columns))]
     whole = sum(changes)
     share = [c / whole if whole > 0 else 1.0 / len(changes) for c in changes]
-    return df.sparkSession.createDataFrame(list(zip(model.columns, share)), "feature string, importance double")
+    return df.sparkSession.createDataFrame(list(zip(columns, share)), "feature string, importance double")

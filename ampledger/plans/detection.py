@@ -93,6 +93,30 @@ def two_features(t):
     return t.facts().select("meter_id", F.col("raw_score").alias("u"), F.coalesce("mean_kwh", F.lit(0.0)).alias("v"))
 
 
+IMPORTANCE = {
+    "s": "SELECT avg(u) AS mu, stddev_pop(u) + 1e-6 AS su, avg(v) AS mv, stddev_pop(v) + 1e-6 AS sv FROM x",
+    "o": """SELECT *, row_number() OVER (ORDER BY md5('42|' || meter_id), meter_id) - 1 AS no, count(*) OVER () AS n FROM x""",
+    "p": """SELECT pow((a.u - mu) / su, 2) AS zu, pow((a.v - mv) / sv, 2) AS zv, pow((b.u - mu) / su, 2) AS pu,
+        pow((c.v - mv) / sv, 2) AS pv FROM s, o a JOIN o b ON b.no = (a.no + greatest(1, a.n // 3)) % a.n
+        JOIN o c ON c.no = (a.no + greatest(1, 2 * a.n // 3)) % a.n""",
+    "w": """SELECT abs(var_pop(sqrt(zu + zv)) - var_pop(sqrt(pu + zv))) AS du,
+        abs(var_pop(sqrt(zu + zv)) - var_pop(sqrt(zu + pv))) AS dv FROM p""",
+}
+
+
+@query(
+    "m6_zscore_importance",
+    views("facts", FILLED | IMPORTANCE)
+    + r6(
+        "SELECT 'u' AS feature, du / (du + dv) AS importance FROM w UNION ALL SELECT 'v', dv / (du + dv) FROM w",
+        "importance",
+    ),
+)
+def m6_zscore(t):
+    df = two_features(t)
+    return feature_importance(M.ZScoreDetector().fit(df, ["u", "v"]), df)
+
+
 @query(
     "m8_mahalanobis",
     views("facts", FILLED | {

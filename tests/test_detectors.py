@@ -55,12 +55,15 @@ def test_average_path_values():
 
 def test_permutation_keeps_the_values(spark):
     df = cloud(spark, 100, 0)
-    mixed = permuted(df, "a", "meter_id", 3)
-    before = sorted(r.a for r in df.collect())
-    after = mixed.collect()
-    assert sorted(r.a for r in after) == before
-    assert {r.meter_id: r.b for r in after} == {r.meter_id: r.b for r in df.collect()}
-    assert {r.meter_id: r.a for r in after} != {r.meter_id: r.a for r in df.collect()}
+    after = permuted(df, ["a", "b"], "meter_id", 3).collect()
+    for c in ("a", "b"):
+        before = {r.meter_id: r[c] for r in df.collect()}
+        assert {r.meter_id: r[c] for r in after} == before
+        assert sorted(r[f"{c}@"] for r in after) == sorted(before.values())
+        assert {r.meter_id: r[f"{c}@"] for r in after} != before
+    one = permuted(df.where("meter_id = 1"), ["a"], "meter_id").collect()
+    assert len(one) == 1 and one[0].a == one[0]["a@"]
+    assert permuted(df.where("false"), ["a"], "meter_id").count() == 0
 
 
 def test_importance_sums_to_one(spark):
