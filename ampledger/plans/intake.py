@@ -384,28 +384,46 @@ def _dataset(t) -> str:
     return folder
 
 
-def _count_sql(table: str, rule: str, field: str, source: str, bad: str) -> str:
-    return f"""SELECT '{table}' AS "table", '{rule}' AS rule, '{field}' AS field, count(*) AS n_bad
-        FROM {source} WHERE {bad} HAVING count(*) > 0"""
+def _count_sql(table: str, rule: str, field: str, source: str, bad: str, key: str = "", severity: str = "critical") -> str:
+    """Findings of a table read from a file, where ids are text and sorted as such."""
+    sample = f"coalesce(array_to_string((list({key}::VARCHAR ORDER BY {key}::VARCHAR))[1:5], ','), '')" if key else "''"
+    return f"""SELECT '{table}' AS "table", '{rule}' AS rule, '{severity}' AS severity, '{field}' AS field, count(*) AS n_bad,
+        {sample} AS sample FROM {source} WHERE {bad} HAVING count(*) > 0"""
+
+
+SPAN = "(SELECT datediff('month', min(month), max(month)) + 1 FROM sparse)"
 
 
 @query(
     "v12_validate_dataset",
-    views("wide txs sparse")
+    views(
+        "wide txs sparse",
+        {
+            "flat": "SELECT meter_id FROM sparse GROUP BY 1 HAVING min(kwh) = max(kwh)",
+            "counted": "SELECT month, kwh, count(*) AS k FROM sparse GROUP BY ALL",
+            "dominated": "SELECT month FROM counted GROUP BY 1 HAVING sum(k) > 10 AND max(k) / sum(k) > 0.5",
+        },
+    )
     + " UNION ALL ".join(
         [
-            _count_sql("meters", "allowed_values", "customer_class", "wide", "customer_class <> 'building'"),
-            _count_sql("meters", "range", "kVA", "wide", '"kVA" > 40'),
-            _count_sql("meters", "range", "kwh", "sparse", "kwh > 5000"),
-            _count_sql("transformers", "range", "capacity_kVA", "txs", '"capacity_kVA" NOT BETWEEN 25 AND 1000'),
+            _count_sql("meters", "allowed_values", "customer_class", "wide", "customer_class <> 'building'", "meter_id"),
+            _count_sql("meters", "range", "kVA", "wide", '"kVA" > 40', "meter_id"),
+            _count_sql("meters", "range", "kwh", "sparse", "kwh > 5000", "meter_id"),
+            _count_sql("meters", "zero_variance", "kwh", "flat", "TRUE", "meter_id", "warning"),
+            _count_sql("meters", "dominant_value", "kwh", "dominated", "TRUE", "", "warning"),
+            _count_sql(
+                "transformers", "range", "capacity_kVA", "txs", '"capacity_kVA" NOT BETWEEN 25 AND 1000',
+                "CASE WHEN transformer_id > 2 THEN transformer_id ELSE -1 - transformer_id END",
+            ),
             _count_sql("meters", "orphan", "transformer_id", "wide", "transformer_id <= 2"),
+            f"""SELECT 'meters', 'completeness', 'warning', '*', (SELECT count(*) FROM wide) * {SPAN} - (SELECT count(*) FROM sparse), ''""",
         ]
     ),
 )
 def v12_dataset(t):
     limits = {"kVA": (0.0, 40.0), "consumption": (0.0, 5000.0)}
     issues = dataset.validate_dataset(t.spark, _dataset(t), limits, ["building"])
-    return issues.select("table", "rule", "field", "n_bad")
+    return issues.select("table", "rule", "severity", "field", "n_bad", F.array_join("sample", ",").alias("sample"))
 
 
 @query(

@@ -36,7 +36,12 @@ def validate_dataset(
     constraints: dict | None = None,
     classes: Sequence[str] = tuple(Q.CUSTOMER_CLASSES),
 ) -> DataFrame:
-    """Issues of all three tables and of the references between them, with ``table``."""
+    """Issues of all three tables and of the references between them, with ``table``.
+
+    Critical: types, required columns, allowed values, ranges, duplicate keys, references.
+    Warnings: months that one reading dominates, meters whose readings never change, and a
+    table of meters of which more than a tenth is empty.
+    """
     meters = read_meters(spark, f"{folder}/{METERS}")
     stations = read_transformers(spark, f"{folder}/{TRANSFORMERS}")
     labels = read_labels(spark, f"{folder}/{LABELS}")
@@ -45,7 +50,14 @@ def validate_dataset(
     found = [
         ("meters", Q.validate(meters, Q.meter_rules(constraints, classes), "meter_id", Q.REQUIRED_METER)),
         ("meters", Q.check(long, [Q.in_range("kwh", *limits["consumption"])], "meter_id")),
+        ("meters", Q.schema_issues(meters, [], ["lat", "lon", "kVA"], ["transformer_id", "customer_class"])),
         ("meters", Q.issue(Q.duplicate_keys(meters, "meter_id"), "duplicate_key", Q.CRITICAL, "meter_id")),
+        ("meters", Q.issue(Q.dominant_values(long).agg(F.count("*").alias("n_bad")), "dominant_value", Q.WARNING, "kwh")),
+        ("meters", Q.check(Q.zero_variance(long), [Q.Rule("zero_variance", F.lit(True), "kwh", Q.WARNING)], "meter_id")),
+        (
+            "meters",
+            Q.issue(Q.completeness(meters).where("too_many_nulls"), "completeness", Q.WARNING, "*", n_bad="null_cells"),
+        ),
         ("transformers", Q.validate(stations, Q.transformer_rules(constraints), "transformer_id", ["feeder_id"])),
         (
             "transformers",
