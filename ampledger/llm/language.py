@@ -73,6 +73,8 @@ class Model:
 
 def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Smoothed log frequencies; relative to their mean, since only differences count."""
+    if not rows:
+        return {}, np.zeros((0, len(languages)))
     counts = np.zeros((len(rows), len(languages)))
     place = {x: i for i, x in enumerate(languages)}
     for i, row in enumerate(rows):
@@ -93,20 +95,18 @@ def fit(
 ) -> Model:
     """Learn from rows with a language.
 
-    The sample is bounded: ``max_rows`` rows with the smallest seeded hashes of the id, of
+    The sample is bounded: ``max_rows`` rows with the smallest seeded hashes of the id; of
     their whole texts the ``max_words`` commonest words and ``max_grams`` commonest n-grams,
     ties by key. Without rows nothing is known and every text is predicted as unknown.
     """
-    sample = (
-        df.where(F.col(lang_col).isNotNull())
-        .select(
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-            F.col(lang_col).alias("lang"),
-            F.xxhash64(F.lit(SEED), F.col(id_col)).alias("_h"),
-        )
-        .orderBy("_h", "lang", "text")
-        .limit(max_rows)
+    rows = df.where(F.col(lang_col).isNotNull()).select(
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.col(lang_col).alias("lang"),
+        F.xxhash64(F.lit(SEED), F.col(id_col)).alias("_h"),
     )
+    # The hash that ends the sample is found without the texts.
+    last = rows.select("_h").orderBy("_h").limit(max_rows).agg(F.max("_h").alias("h")).first().h
+    sample = rows.where(F.col("_h") <= F.lit(last)).limit(max_rows)
 
     def count(batches):
         for batch in pieces(batches, "text"):
@@ -142,7 +142,7 @@ def fit(
         kind: by_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).collect()
         for kind, most in (("w", max_words), ("g", max_grams))
     }
-    documents = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(documents)
     prior = np.log(np.array([documents[x] for x in languages], float) / max(1, sum(documents.values())))
     words, word_scores = _log_frequencies(common["w"], languages)
