@@ -105,3 +105,42 @@ def test_pipeline_of_odd_rows(spark, odd, nothing):
             docs = scratch(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert "sequence_id" in docs.columns
         assert docs.count() > 0 or start is nothing
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on what the one before kept, against plain Python and DuckDB."""
+    import duckdb
+    import public_tokenizers
+    from test_exact_and_counts import check_sequences
+    from test_similarity import exact_classes
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as pipeline
+    from ampledger.llm.common import scratch, table
+
+    folder = "/root/testdata/sf0.001"
+    kept = [table(spark, folder, "documents")]
+    for name, stage in pipeline.STAGES:
+        kept.append(scratch(stage(spark, kept[-1], folder), f"brute-{name}"))
+    ids = [{r.doc_id for r in df.select("doc_id").collect()} for df in kept]
+    good = {r.doc_id for r in queries.QUERIES["op7_quality"](spark, folder).where("predicted = 1").collect()}
+    assert ids[1] == good
+    largest = {}
+    for r in kept[1].collect():
+        largest[r.text] = max(r.doc_id, largest.get(r.text, -1))
+    assert ids[2] == set(largest.values())
+    rows = sorted((r.doc_id, r.text) for r in kept[2].collect())
+    classes = exact_classes([t for _, t in rows])
+    assert ids[3] == {rows[k][0] for k in set(classes)}
+    con = duckdb.connect()
+    con.register("remaining", kept[3].toPandas())
+    mixed = con.sql(queries.mix_sql(0.8, 1, "remaining")).df()
+    assert ids[4] == set(mixed.doc_id)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept[4].collect()}
+    packed = kept[5].collect()
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == want
+    assert check_sequences(packed, 2048) <= 1.1 * sum(want.values()) / 2048 + 1
