@@ -113,6 +113,33 @@ def test_language_model_beats_its_base(spark):
     assert np.mean([r.score > r.base_score for r in got]) > 0.95
 
 
+def test_score_hardly_depends_on_buckets(make, monkeypatch):
+    """What follows a common word is one of four rare words, however many buckets there are."""
+    monkeypatch.setattr(language_model, "COMMON", 11)
+    rng = random.Random(2)
+    rows = [" ".join(f"c{(i := rng.randrange(10))} r{i}_{rng.randrange(4)}" for _ in range(200)) for _ in range(60)]
+    docs, per_token = make(rows), []
+    for bucket in (3_000_000, 150):
+        monkeypatch.setattr(language_model, "BUCKET_TOKENS", bucket)
+        got = language_model.scores(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+        per_token.append(got.s / got.n)
+    assert per_token[1] == pytest.approx(per_token[0], abs=0.05)
+
+
+def test_bucket_shares_sum_to_one():
+    rng = np.random.default_rng(5)
+    common = language_model.Common(np.array([3, 4], np.uint64), np.array([7, 7]))
+    found = rng.poisson(0.3, (common.codes, 9))
+    found[0] = [50, *[0] * 8]
+    by_ending = np.zeros((language_model.ENDINGS + 1, 9), int)
+    np.add.at(by_ending, common.parent, found)
+    types = ((by_ending > 0).sum(axis=1), (found > 0).sum(axis=1))
+    shares = language_model.Shares(9, found.sum(axis=1), types, (0.5, 0.4))
+    each = np.array([shares.of_bucket(found[:, b], common) for b in range(9)])
+    assert each.sum(axis=0) == pytest.approx(np.ones(common.codes))
+    assert each[0, 0] > 0.98
+
+
 def test_group_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     common = language_model.Common(np.sort(rng.integers(1, 2**60, 5).astype(np.uint64)), np.array([3, 3, 9, 9, 9]))
