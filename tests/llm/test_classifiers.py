@@ -126,6 +126,27 @@ def test_score_hardly_depends_on_buckets(make, monkeypatch):
     assert per_token[1] == pytest.approx(per_token[0], abs=0.05)
 
 
+@pytest.mark.parametrize("tallied", [40, 1_000_000])
+def test_common_words_do_not_depend_on_partitions(make, monkeypatch, tallied):
+    """Words of one text in a partition of its own are no commoner for it."""
+    monkeypatch.setattr(language_model, "COMMON", 30)
+    monkeypatch.setattr(language_model, "TALLIED", tallied, raising=False)
+    rng = random.Random(6)
+    texts = [" ".join([f"own{i} own{i} own{i}", *(f"w{rng.randrange(5000)}" for _ in range(3000))]) for i in range(60)]
+    counts = Counter(w for t in texts for w in [*t.split(), None])
+    rows = make(texts).select("text", F.lit(True).alias("train"))
+    found = []
+    for n in (1, 60):
+        common, tokens = language_model._common_words(rows.repartition(n))
+        assert tokens == sum(counts.values())
+        found.append((common.words.tolist(), common.endings.tolist()))
+    assert found[0] == found[1]
+    tokens = language_model.tokens_of(pa.array(texts))
+    words, n = np.unique(tokens.word, return_counts=True)
+    order = np.lexsort((words.view(np.int64), -n, words != language_model.END_HASH))[:30]
+    assert found[0][0] == sorted(words[order].tolist())
+
+
 def test_bucket_shares_sum_to_one():
     rng = np.random.default_rng(5)
     common = language_model.Common(np.array([3, 4], np.uint64), np.array([7, 7]))
