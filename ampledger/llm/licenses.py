@@ -1,7 +1,9 @@
-"""License scan: winnowed fingerprints choose places, banded alignment measures them."""
+"""License scan: word counts of windows choose places without loss, exact alignment measures them."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,64 +92,104 @@ def align(template: np.ndarray, words: np.ndarray, low: int, band: int) -> tuple
     return n, -first, -first - span
 
 
+def spans(template: np.ndarray, words: np.ndarray, need: int, most: int) -> list[tuple[int, int, int]]:
+    """``matches, first, last`` for every place of ``words`` at which template words in order
+    may end: the most matches, at least ``need``, inside ``most`` words, and then the
+    latest beginning."""
+    size = len(template)
+    # By words of the template used and matches, the latest place of the first match.
+    latest = np.full((size + 1, size + 1), -most, np.int64)
+    places = {int(w): np.flatnonzero(template == w)[::-1].tolist() for w in np.unique(template)}
+    out = []
+    for j, word in enumerate(words.tolist()):
+        if word not in places:
+            continue
+        ended = np.full(size + 1, -most, np.int64)
+        for i in places[word]:
+            new = np.concatenate([[-most, j], latest[i, 1:size]])
+            np.maximum(latest[i + 1 :], new, out=latest[i + 1 :])
+            np.maximum(ended, new, out=ended)
+        fit = np.flatnonzero(j - ended[need:] < most)
+        if len(fit):
+            n = int(fit[-1]) + need
+            out.append((n, int(ended[n]), j))
+    return out
+
+
 class Index:
-    """Fingerprints of all templates, sorted, with their template and place."""
+    """The words of all templates and how often each template has them."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
         texts = pa.array([templates[n] for n in self.names], pa.string())
         hashes, before = word_hashes(texts, ALNUM)
         self.words = [hashes[before[i] : before[i + 1]] for i in range(len(self.names))]
-        rows = []
-        for t, words in enumerate(self.words):
-            values = grams(words)
-            rows += [(int(values[p]), t, int(p)) for p in winnow(values)]
-        rows.sort()
-        self.value = np.array([r[0] for r in rows], np.uint64)
-        self.template = np.array([r[1] for r in rows], int)
-        self.place = np.array([r[2] for r in rows], int)
-
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """``template, start`` where a fingerprint of the text meets one of a template; starts
-        that differ by less than the template's band are one."""
-        values = grams(words)
-        chosen = winnow(values)
-        left = np.searchsorted(self.value, values[chosen], "left")
-        right = np.searchsorted(self.value, values[chosen], "right")
-        hit = np.flatnonzero(right > left)
-        found: set[tuple[int, int]] = set()
-        for h in hit:
-            for k in range(left[h], right[h]):
-                found.add((int(self.template[k]), int(chosen[h]) - int(self.place[k])))
-        out: list[tuple[int, int]] = []
-        for t, start in sorted(found):
-            if out and out[-1][0] == t and start - out[-1][1] <= band_of(len(self.words[t])) // 2:
+        self.known = np.unique(hashes)
+        self.times = [np.bincount(np.searchsorted(self.known, w), minlength=len(self.known)) for w in self.words]
+
+    def places(self, words: np.ndarray, before: np.ndarray, need: list[int]) -> list[tuple[int, int, int]]:
+        """``template, first, end`` of the stretches of words that can hold a span.
+
+        A span of a template of ``n`` words lies in a window of ``2 * n`` words; the window
+        has at least as many of the template's words, each counted no oftener than in the
+        template. All windows with so many are joined. ``before``: words before each text.
+        """
+        found = np.minimum(np.searchsorted(self.known, words), max(0, len(self.known) - 1))
+        hits = np.flatnonzero(self.known[found] == words)
+        # Texts stand so far apart that no window has words of two.
+        gap = 2 * max(len(w) for w in self.words)
+        shift = gap * (np.searchsorted(before, hits, "right") - 1)
+        order = np.argsort(found[hits], kind="stable")
+        word, place = found[hits][order], (hits + shift)[order]
+        out = []
+        for t, times in enumerate(self.times):
+            own = times[word] > 0
+            w, at, width = word[own], place[own], 2 * len(self.words[t])
+            if len(at) < need[t]:
                 continue
-            out.append((t, start))
+            # A word counts in windows that begin after its ``times``-th predecessor.
+            earlier = np.arange(len(at)) - times[w]
+            same = (earlier >= 0) & (w[np.maximum(earlier, 0)] == w)
+            since = np.maximum(at - width, np.where(same, at[np.maximum(earlier, 0)], -1 - gap)) + 1
+            edges, index = np.unique(np.concatenate([since, at + 1]), return_inverse=True)
+            change = np.bincount(index[: len(at)], minlength=len(edges)) - np.bincount(index[len(at) :], minlength=len(edges))
+            enough = np.flatnonzero(np.cumsum(change) >= need[t])
+            stretches: list[list[int]] = []
+            for low, high in zip(edges[enough].tolist(), (edges[enough + 1] - 1 + width).tolist()):
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = high
+                else:
+                    stretches.append([low, high])
+            at.sort()
+            for low, high in stretches:
+                i, k = np.searchsorted(at, [low, high])
+                # Only template words matter; a long stretch may pass over the ends of texts.
+                part = at[i:k]
+                for cut in np.split(part, np.flatnonzero(np.diff(part) >= gap) + 1):
+                    text = np.searchsorted(before + gap * np.arange(len(before)), cut[0], "right") - 1
+                    out.append((t, int(cut[0] - gap * text), int(cut[-1] - gap * text) + 1))
         return out
 
-    def matches(self, words: np.ndarray, coverage: float) -> list[tuple[int, int, int, int]]:
-        """``template, matched words, first, last`` of the spans that cover enough.
+    def matches(self, words: np.ndarray, before: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+        """``text, template, matched words, first, last`` of the spans that cover enough,
+        places counted over all texts.
 
         Of spans of a template that overlap, the one with more matches stays, of equal ones
-        the earlier.
+        the shorter and then the earlier.
         """
-        spans = []
-        for t, start in self.candidates(words):
+        need = [max(1, math.ceil(coverage * len(w) - 1e-9)) for w in self.words]
+        if not need:
+            return []
+        out = []
+        for t, low, high in self.places(words, before, need):
             template = self.words[t]
-            n, first, last = align(template, words, start, band_of(len(template)))
-            if n >= coverage * len(template) - 1e-9 and last - first < 2 * len(template):
-                spans.append((t, n, first, last))
-        out: list[tuple[int, int, int, int]] = []
-        for span in sorted(spans, key=lambda s: (s[0], -s[1], s[2], s[3])):
-            if all(o[0] != span[0] or o[3] < span[2] or span[3] < o[2] for o in out):
-                out.append(span)
-        return sorted(out)
-
-
-def band_of(length: int) -> int:
-    """Words that an alignment may be shifted by: a fifth of the template, two at least."""
-    return max(2, length // 5)
+            found = spans(template, words[low:high], need[t], 2 * len(template))
+            taken = np.zeros(high - low, bool)
+            for n, first, last in sorted(found, key=lambda s: (-s[0], s[2] - s[1], s[1])):
+                if not taken[first : last + 1].any():
+                    taken[first : last + 1] = True
+                    out.append((int(np.searchsorted(before, low, "right")) - 1, t, n, low + first, low + last))
+        return sorted(out, key=lambda s: (s[0], s[1], s[3]))
 
 
 SCHEMA = (
@@ -167,13 +209,13 @@ def scan(
     coverage, matched_words, first_word, last_word, start_byte, end_byte``.
 
     ``coverage`` is the share of the template's words that stand in the span in order; byte
-    places are in the UTF-8 text, the end exclusive. Words are runs of letters and digits,
+    places are in the UTF-8 text, the end exclusive. A span is shorter than twice the template. Words are runs of letters and digits,
     ASCII letters without case. Null and empty texts have no spans, null ids are kept,
     repeated rows give repeated spans, other columns are ignored. The templates are
     broadcast; they are an argument and do not grow with the data.
     """
-    if any(len(word_hashes(pa.array([t], pa.string()), ALNUM)[0]) < GRAM for t in templates.values()):
-        raise ValueError(f"a template needs {GRAM} words")
+    if any(len(word_hashes(pa.array([t], pa.string()), ALNUM)[0]) == 0 for t in templates.values()):
+        raise ValueError("a template needs a word")
 
     def run(batches):
         index = Index(templates)
@@ -183,12 +225,12 @@ def scan(
             _, starts, ends, _ = word_spans(texts, ALNUM)
             sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(texts).to_numpy())])
             out = []
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                first_word, words = before[i], hashes[before[i] : before[i + 1]]
-                for t, n, first, last in index.matches(words, coverage):
-                    begin, end = starts[first_word + first] - sizes[i], ends[first_word + last] - sizes[i]
-                    share = n / len(index.words[t])
-                    out.append((doc_id, index.names[t], share, n, first, last, int(begin), int(end)))
+            ids = batch.column("doc_id")
+            for i, t, n, first, last in index.matches(hashes, before, coverage):
+                begin, end = starts[first] - sizes[i], ends[last] - sizes[i]
+                share, first_word = n / len(index.words[t]), int(before[i])
+                place = (first - first_word, last - first_word, int(begin), int(end))
+                out.append((ids[i].as_py(), index.names[t], share, n, *place))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = list(zip(*out)) or [()] * len(kinds)
             names = [part.split()[0] for part in SCHEMA.split(",")]

@@ -160,6 +160,37 @@ def test_license_spans(make, odd, nothing):
     assert licenses.scan(odd).count() == licenses.scan(nothing).count() == 0
 
 
+def test_license_spans_with_words_put_in(make):
+    rows = ["Released under the terms of the MIT License", "Licensed under the terms of the Apache License, Version 2.0", "Released under our MIT License"]
+    got = {r.doc_id: (r.template, r.coverage, r.first_word, r.last_word) for r in licenses.scan(make(rows)).collect()}
+    assert got == {0: ("MIT-notice", 1.0, 0, 7), 1: ("Apache-2.0-notice", 1.0, 0, 10), 2: ("MIT-notice", 0.8, 0, 4)}
+
+
+def test_license_places_equal_unbanded_alignment():
+    """All windows aligned without a band against the spans of the scan."""
+    rng = random.Random(7)
+    templates = {"a": "p q r s q", "b": "q t u p q v w p"}
+    index = licenses.Index(templates)
+    texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(rng.randrange(40))) for _ in range(400)]
+    hashes, before = word_hashes(pa.array(texts))
+    want = []
+    for i in range(len(texts)):
+        words_of = hashes[before[i] : before[i + 1]]
+        for t, template in enumerate(index.words):
+            most, found, taken = 2 * len(template), set(), set()
+            for start in range(len(words_of)):
+                for end in range(start + 1, min(len(words_of), start + most) + 1):
+                    n, first, last = licenses.align(template, words_of[start:end], 0, most * 2)
+                    if n >= 0.7 * len(template):
+                        found.add((-n, last - first, start + first, start + last))
+            for n, _, first, last in sorted(found):
+                if not taken & set(range(first, last + 1)):
+                    taken |= set(range(first, last + 1))
+                    want.append((i, t, -n, int(before[i]) + first, int(before[i]) + last))
+    got = index.matches(hashes, before, 0.7)
+    assert len(got) > 20 and sorted(got) == sorted(want)
+
+
 def test_alignment_equals_dynamic_programming():
     rng = np.random.default_rng(8)
     for _ in range(200):
