@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampledger.llm.common import pieces, remainder_of_id
@@ -17,6 +17,8 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 SEED = 6
+#: Parts of a language's rows in which the smallest hashes are found first.
+SLICES = 64
 
 
 def words_of(text: str) -> Counter:
@@ -72,7 +74,11 @@ class Model:
 
 
 def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies; relative to their mean, since only differences count."""
+    """Smoothed log frequencies; relative to their mean, since only differences count.
+
+    Smoothing adds a tenth of a count per row, dealt as the counts of all languages are: a
+    language of which little was seen differs little from all together and favours nothing.
+    """
     if not rows:
         return {}, np.zeros((0, len(languages)))
     counts = np.zeros((len(rows), len(languages)))
@@ -80,7 +86,8 @@ def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int],
     for i, row in enumerate(rows):
         for x in row.langs:
             counts[i, place[x.lang]] = x.n
-    scores = np.log(counts + 0.1) - np.log(counts.sum(axis=0) + 0.1 * (len(rows) + 1))
+    total, added = counts.sum(axis=1, keepdims=True), 0.1 * len(rows)
+    scores = np.log(counts + added * total / total.sum()) - np.log(counts.sum(axis=0) + added)
     return {row.key: i for i, row in enumerate(rows)}, scores - scores.mean(axis=1, keepdims=True)
 
 
@@ -95,18 +102,29 @@ def fit(
 ) -> Model:
     """Learn from rows with a language.
 
-    The sample is bounded: ``max_rows`` rows with the smallest seeded hashes of the id; of
-    their whole texts the ``max_words`` commonest words and ``max_grams`` commonest n-grams,
-    ties by key. Without rows nothing is known and every text is predicted as unknown.
+    The sample is bounded: of every language ``max_rows`` rows with the smallest seeded
+    hashes of the id; of their whole texts the ``max_words`` commonest words and
+    ``max_grams`` commonest n-grams, ties by key. Without rows nothing is known and every
+    text is predicted as unknown.
     """
     rows = df.where(F.col(lang_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.col(lang_col).alias("lang"),
         F.xxhash64(F.lit(SEED), F.col(id_col)).alias("_h"),
     )
-    # The hash that ends the sample is found without the texts.
-    last = rows.select("_h").orderBy("_h").limit(max_rows).agg(F.max("_h").alias("h")).first().h
-    sample = rows.where(F.col("_h") <= F.lit(last)).limit(max_rows)
+    # The hashes that end the samples are found without the texts.
+    place = F.row_number().over(Window.partitionBy("lang", "_slice").orderBy("_h"))
+    first = (
+        rows.select("lang", "_h", F.pmod(F.monotonically_increasing_id(), F.lit(SLICES)).alias("_slice"))
+        .withColumn("_n", place)
+        .where(F.col("_n") <= max_rows)
+    )
+    smallest = first.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= max_rows)
+    last = smallest.groupBy("lang").agg(F.max("_h").alias("_last"))
+    inside = rows.join(F.broadcast(last), "lang").where(F.col("_h") <= F.col("_last"))  # a row per language
+    # Rows of one id have one hash, and more of them than wanted may stand at the end.
+    by_row = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
+    sample = inside.withColumn("_n", F.row_number().over(by_row)).where(F.col("_n") <= max_rows)
 
     def count(batches):
         for batch in pieces(batches, "text"):
@@ -131,7 +149,7 @@ def fit(
                 names=["kind", "key", "lang", "n"],
             )
 
-    counted = sample.repartition(16, "_h").select("text", "lang").mapInArrow(count, "kind string, key string, lang string, n long")
+    counted = sample.repartition(16, "_h", "_n").select("text", "lang").mapInArrow(count, "kind string, key string, lang string, n long")
     by_key = (
         counted.groupBy("kind", "key", "lang")
         .agg(F.sum("n").alias("n"))

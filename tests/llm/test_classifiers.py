@@ -46,6 +46,24 @@ def test_language_edges(spark, odd, nothing):
     assert language.identify(nothing, model).count() == 0
 
 
+def test_language_of_few_rows(spark):
+    """A language with a thousandth of the rows is learned and takes no texts of others."""
+    rng = random.Random(8)
+    text = lambda kind: " ".join(f"{kind}{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}{rng.choice('aeiou')}{kind}" for _ in range(30))
+    rows = [(i, text("x" if i % 2 else "z"), "xx" if i % 2 else "zz") for i in range(4000)]
+    rows += [(5000 + i, text("qv"[i % 2]), "qv"[i % 2] * 2) for i in range(8)] + [(None, text("x"), "xx")] * 200
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=60)
+    assert all(model.predict(text(kind))[0] == kind * 2 for kind in "xzqv" for _ in range(20))
+
+
+def test_language_without_counts_is_not_favoured():
+    row = lambda key, n: type("Row", (), {"key": key, "langs": [type("N", (), {"lang": "a", "n": n})()]})()
+    rows = [row(f"w{i}", 1 + i % 3) for i in range(1000)]
+    place, scores = language._log_frequencies([*rows, row("often", 600_000)], ["a", "b"])
+    own = scores[place["w0"]]
+    assert own[1] - own[0] < 1
+
+
 def test_language_backs_off_by_length():
     model = language.Model(["a", "b"], np.zeros(2), {}, {"^ab": 0, "b": 1}, np.array([[1.0, -1.0], [-1.0, 1.0]]))
     assert model.grams_known("abc") == [0]
