@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm import embeddings, exact_dedup, language, language_model, licenses, mixing, near_dedup, packing, quality, token_counts
+from ampledger.llm import embeddings, exact_dedup, language, language_model, licenses, mixing, near_dedup, packing, periodic, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -124,3 +124,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_model")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic.periodic_runs(table(spark, sf_dir, "documents"), arrange=periodic.planted_order)
+    return periodic.summary(runs)
