@@ -101,70 +101,6 @@ def recompress(symbols: np.ndarray) -> list[Level]:
         climb(first, np.searchsorted(first, at), (s[at] << 32) | s[at + 1], False)
 
 
-def mirrored(self) -> Level:
-        if self.up is None:
-            return Level(self.symbols[::-1])
-        return Level(
-            self.symbols[::-1], (len(self.first) - 2 - self.up)[::-1], (len(self.symbols) - self.first)[::-1], self.blocks
-        )
-
-
-def _coin(symbols: np.ndarray, turn: int) -> np.ndarray:
-    """Whether a symbol is a left one: a bit of its hash, another in every round."""
-    x = symbols.astype(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(27))) >> np.uint64(40)) & np.uint64(1) == 1
-
-
-def recompress(symbols: np.ndarray) -> list[Level]:
-    """The levels of the grammar of ``symbols``. Negative symbols are boundaries, each of
-    which stands once: they are never compressed."""
-    levels = [Level(symbols.astype(np.int64))]
-    fresh = int(symbols.max(initial=0)) + 1
-
-    def climb(first: np.ndarray, joined: np.ndarray, keys: np.ndarray, blocks: bool) -> None:
-        """Put a level on top whose nodes begin at ``first``; those ``joined`` are new
-        symbols, the same for the same key."""
-        nonlocal fresh
-        below = levels[-1]
-        above = below.symbols[first]
-        codes, found = pd.factorize(keys)
-        above[joined] = fresh + codes
-        fresh += len(found)
-        begins = np.zeros(len(below.symbols), np.int32)
-        begins[first[1:]] = 1
-        below.up = np.cumsum(begins, dtype=np.int32)
-        below.first = np.append(first, len(below.symbols)).astype(np.int32)
-        below.blocks = blocks
-        levels.append(Level(above))
-
-    turn = 0
-    while True:
-        size = len(levels[-1].symbols)
-        s = levels[-1].symbols
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if size else np.zeros(0, np.int64)
-        if len(first) < size:
-            width = np.diff(np.append(first, size))
-            joined = np.flatnonzero(width > 1)
-            climb(first, joined, (s[first[joined]] << 32) | width[joined], True)
-            s = levels[-1].symbols
-        left = _coin(s, turn)
-        inner = (s[:-1] >= 0) & (s[1:] >= 0)
-        pairs = inner & left[:-1] & ~left[1:]
-        other = inner & ~left[:-1] & left[1:]
-        if other.sum() > pairs.sum():
-            pairs = other
-        at = np.flatnonzero(pairs)
-        if len(at):
-            keep = np.ones(len(s), bool)
-            keep[at + 1] = False
-            first = np.flatnonzero(keep)
-            climb(first, np.searchsorted(first, at), (s[at] << 32) | s[at + 1], False)
-        turn += 1
-        if size - len(levels[-1].symbols) <= LEAST_SHRINK * size:
-            return levels
-
-
 def mirrored(levels: list[Level]) -> list[Level]:
     """The same grammar read from right to left: position p becomes length - 1 - p."""
     return [level.mirrored() for level in levels]
