@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm import embeddings, exact_dedup, language, language_model, licenses, mixing, near_dedup, packing, periodic, quality, token_counts
+from ampledger.llm import embeddings, exact_dedup, language, language_model, lexical, licenses, mixing, near_dedup, packing, periodic, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -130,3 +130,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = periodic.periodic_runs(table(spark, sf_dir, "documents"), arrange=periodic.planted_order)
     return periodic.summary(runs)
+
+
+#: Terms of a text in DuckDB: A-Z lower-cased, then runs of letters, digits and non-ASCII characters.
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_ranked_search",
+    f"""
+    WITH d AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, doc_id, {TERMS} AS terms FROM documents WHERE text IS NOT NULL
+    ), c AS (SELECT count(*) AS n_all, sum(len(terms))::BIGINT AS l_all FROM d WHERE len(terms) > 0),
+    tf AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term
+    ), w AS (
+        SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM tf, c GROUP BY term, n_all
+    ), i AS (
+        SELECT k, item_id, term, count(*) AS q
+        FROM (SELECT k, item_id, unnest(terms) AS term
+              FROM (SELECT row_number() OVER () AS k, item_id, {TERMS} AS terms
+                    FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE text IS NOT NULL))
+        GROUP BY k, item_id, term
+    ), s AS (
+        SELECT k, item_id, d.r, doc_id,
+               sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * len(terms) * n_all) // l_all)))))::BIGINT AS score
+        FROM i JOIN w USING (term) JOIN tf USING (term) JOIN d ON d.r = tf.r, c
+        GROUP BY k, item_id, d.r, doc_id
+    )
+    SELECT item_id, (row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
