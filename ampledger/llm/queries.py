@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm import embeddings, exact_dedup, language, language_model, lexical, licenses, mixing, near_dedup, packing, periodic, quality, token_counts
+from ampledger.llm import embeddings, exact_dedup, language, language_model, lexical, licenses, mixing, near_dedup, packing, periodic, personal, quality, token_counts
 from ampledger.llm.common import table
 from ampledger.session import checkpoint_root
 
@@ -165,3 +165,8 @@ TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.summary(personal.personal_data(table(spark, sf_dir, "documents")))
