@@ -10,13 +10,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampledger.functions.columns import finite, is_close, sigmoid, total
 from ampledger.operators.grouped import group_quantiles, with_scalars
+from ampledger.operators.separation import cluster_quality, silhouette  # noqa: F401  (part of evaluation)
 from ampledger.session import no_larger, stored
 
 MIN_ROWS = 10
@@ -291,72 +291,6 @@ def risk_separation(scored: DataFrame, q: float = 0.9, raw: str = RAW) -> DataFr
     )
 
 
-def cluster_quality(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
-    """Davies-Bouldin and Calinski-Harabasz of labelled rows, and the silhouette in its
-    squared-distance form. All three come from per-label sums; no pair of rows is formed.
-    The table of label centres (labels x columns numbers) is shared with all tasks, where
-    rows meet it in blocks. With a single label the results are infinite, 0 and -1. Labels
-    with equal centres do not count as a pair."""
-    d = range(len(columns))
-    x = [F.col(c).cast("double") for c in columns]
-    norm = total([v * v for v in x])
-    sums = df.groupBy(label).agg(
-        F.count("*").alias("n"), F.sum(norm).alias("q"), *[F.sum(x[i]).alias(f"s{i}") for i in d]
-    )
-    groups = sums.orderBy(label).collect()
-    k, n = len(groups), sum(r["n"] for r in groups)
-    schema = "davies_bouldin double, calinski_harabasz double, silhouette_sq double"
-    if k < 2:
-        return df.sparkSession.createDataFrame([(float("inf"), 0.0, -1.0)], schema)
-    size = np.array([r["n"] for r in groups], float)
-    centre = np.array([[r[f"s{i}"] / r["n"] for i in d] for r in groups])
-    square = np.array([r["q"] / r["n"] for r in groups])  # mean squared norm of a label's rows
-    middle = size @ centre / n
-    between = float(size @ ((centre - middle) ** 2).sum(axis=1))
-    numbers = df.sparkSession.createDataFrame(
-        [(r[label], i) for i, r in enumerate(groups)], T.StructType([df.schema[label], T.StructField("_l", T.IntegerType())])
-    )
-    # One row per label.
-    rows = df.join(F.broadcast(numbers), df[label].eqNullSafe(numbers[label])).select("_l", F.array(*x).alias("_x"))
-    shared = df.sparkSession.sparkContext.broadcast((size, centre, square))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, centre, square = shared.value
-        sums = np.zeros((len(size), 3))
-        for batch in batches:
-            own = batch.column("_l").to_numpy()
-            points = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            step = max(1, 4_000_000 // len(size))
-            for at in range(0, len(own), step):
-                label, y = own[at : at + step], points[at : at + step]
-                within = ((y - centre[label]) ** 2).sum(axis=1)
-                mean = (y * y).sum(axis=1)[:, None] + square - 2 * y @ centre.T  # to the rows of every label
-                inner = mean[np.arange(len(y)), label] * size[label] / np.maximum(size[label] - 1, 1)
-                mean[np.arange(len(y)), label] = np.inf
-                outer = mean.min(axis=1)
-                larger = np.maximum(inner, outer)
-                value = np.where((larger > 0) & (size[label] > 1), (outer - inner) / np.where(larger > 0, larger, 1), 0.0)
-                for i, v in enumerate((np.sqrt(within), within, value)):
-                    sums[:, i] += np.bincount(label, weights=v, minlength=len(size))
-        used = np.flatnonzero(sums.any(axis=1))
-        columns = [pa.array(used, pa.int32()), *[pa.array(sums[used, i]) for i in range(3)]]
-        yield pa.RecordBatch.from_arrays(columns, names=["_l", "spread", "within", "sil"])
-
-    measured = rows.mapInArrow(measure, "_l int, spread double, within double, sil double")
-    totals = measured.groupBy("_l").agg(*[F.sum(c).alias(c) for c in ("spread", "within", "sil")]).collect()
-    spread = np.zeros(k)
-    for r in totals:
-        spread[r["_l"]] = r.spread / size[r["_l"]]
-    worst = np.zeros(k)
-    for i in range(k):
-        apart = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
-        ratio = np.divide(spread + spread[i], apart, out=np.zeros(k), where=apart > 0)  # none between equal centres
-        worst[i] = ratio.max()
-    within, sil = sum(r.within for r in totals), sum(r.sil for r in totals) / n
-    ch = between / (k - 1) / (within / (n - k)) if within > 0 and n > k else 1.0
-    return df.sparkSession.createDataFrame([(float(worst.mean()), float(ch), float(sil))], schema)
-
-
 # ---- sweeps ---------------------------------------------------------------------
 
 

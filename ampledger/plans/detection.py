@@ -260,6 +260,37 @@ def m14(t):
     return M.cluster_quality(df, "k", ["u", "v"])
 
 
+def silhouette_sql(label: str) -> str:
+    """Every row against every row, in plain SQL."""
+    return views("facts", {
+        "x": f"SELECT row_number() OVER () AS r, {label} AS k, raw_score / 10000 AS u, coalesce(ratio, 1) AS v FROM facts",
+        "n": "SELECT k, count(*) AS n FROM x GROUP BY k",
+        "m": """SELECT a.r, a.k, b.k AS o, sum(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2))) AS total
+            FROM x a, x b GROUP BY a.r, a.k, b.k""",
+        "ab": """SELECT r, max(CASE WHEN m.k = o THEN n END) AS n, max(CASE WHEN m.k = o AND n > 1 THEN total / (n - 1) END) AS a,
+            min(CASE WHEN m.k <> o THEN total / n END) AS b FROM m JOIN n ON n.k = m.o GROUP BY r""",
+    }) + r6(
+        """SELECT avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM ab""",
+        "silhouette",
+    )
+
+
+def labelled(t, label):
+    return t.facts().select(
+        label.alias("k"), (F.col("raw_score") / 10000).alias("u"), F.coalesce("ratio", F.lit(1.0)).alias("v")
+    )
+
+
+@query("m14_silhouette", silhouette_sql("(raw_score > 5000)::INT"))
+def m14_silhouette(t):
+    return M.silhouette(labelled(t, (F.col("raw_score") > 5000).cast("int")), "k", ["u", "v"])
+
+
+@query("m14_silhouette_many_labels", silhouette_sql("meter_id % 120"))
+def m14_silhouette_many(t):
+    return M.silhouette(labelled(t, F.col("meter_id") % 120), "k", ["u", "v"])
+
+
 @query(
     "m15_risk_separation",
     views("meters", {"q": "SELECT quantile_cont(raw_score, 0.9) AS cut FROM meters"})

@@ -13,7 +13,6 @@ from ampledger.operators.detectors import (
     Detector,
     Fitted,
     Tuning,
-    cluster_quality,
     fit,
     risk_separation,
     tune,
@@ -27,6 +26,7 @@ from ampledger.operators.risk import assess, complete_predictions, level_of, pre
 from ampledger.operators.rollup import barangays, cities, run_summary, transformers
 from ampledger.operators.scaling import outlier_bounds, treat_outliers
 from ampledger.operators.scoring import FLAG_THRESHOLD, score_meters
+from ampledger.operators.separation import cluster_quality
 from ampledger.operators.spatial import SMALL_CLUSTER, cluster_statistics, cluster_table, dbscan
 from ampledger.session import no_larger, stored
 from ampledger.sources.geography import districts
