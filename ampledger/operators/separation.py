@@ -32,12 +32,12 @@ from ampledger.functions.columns import finite, total
 from ampledger.operators.grouped import attach, running_total
 from ampledger.session import bounded, no_larger, row_bound, stored
 
-#: Points in a block and nodes below a node.
-BLOCK, FAN = 256, 16
+#: Points in a block, labels in a block of labels, and nodes below a node.
+BLOCK, LABEL_BLOCK, FAN = 128, 16, 16
 #: Largest relative error of one distance.
 TOLERANCE = 1e-8
-#: Payloads that one task holds for one block at once.
-CHUNK = 512
+#: Nodes that one row carries for a block, and rows whose results are sent back together.
+CHUNK, PARTS = 8, 256
 MORTON_BITS = 62
 
 NODE = "_l long, level int, idx long, n double, centre array<double>, radius double, low array<double>, high array<double>"
@@ -118,7 +118,7 @@ def _node(x: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, float]:
     return n, centre, float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()) * (1 + 1e-12))
 
 
-def build_tree(points: DataFrame, order: int, extras: int = 0) -> tuple[DataFrame, DataFrame]:
+def build_tree(points: DataFrame, order: int, size: int, extras: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and blocks of ``points(_l, x, w, e, id)``, unique on ``(_l, x, id)``.
 
     Nodes carry the range ``low`` to ``high`` of the ``extras`` numbers in ``e`` below them,
@@ -136,7 +136,7 @@ def build_tree(points: DataFrame, order: int, extras: int = 0) -> tuple[DataFram
             place = place.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), b * axes + i))
     numbered = running_total(points.withColumn("_m", place), ["_m", "x", "id"], keys=["_l"], name="_no")
     item = F.struct("_no", "x", "w", "e", "id")
-    grouped = numbered.groupBy("_l", F.expr(f"(_no - 1) div {BLOCK}").alias("idx")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    grouped = numbered.groupBy("_l", F.expr(f"(_no - 1) div {size}").alias("idx")).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,15 +194,22 @@ def _nodes_batch(rows: list[tuple], leaves: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def _joined(parts: list[Sequence[np.ndarray]], schema: dict[str, str]) -> pa.RecordBatch:
+    """One batch from columns in parts."""
+    types = {"long": np.int64, "double": np.float64}
+    columns = zip(*parts) if parts else [[np.zeros(0)]] * len(schema)
+    arrays = [pa.array(np.concatenate(list(c)).astype(types[kind])) for c, kind in zip(columns, schema.values())]
+    return pa.RecordBatch.from_arrays(arrays, names=list(schema))
+
+
 def roots(nodes: DataFrame) -> DataFrame:
     """``_l, level, idx`` of the highest node of each label."""
     return nodes.groupBy("_l").agg(F.max("level").alias("level")).withColumn("idx", F.lit(0).cast("long"))
 
 
-def apart(a: Column | str, b: Column | str) -> Column:
+def apart(a: str, b: str, dimensions: int) -> Column:
     """Euclidean distance of two arrays."""
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(total([(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(dimensions)]))
 
 
 def walk(
@@ -255,7 +262,7 @@ class Labelled:
             return
         named = attach(points, numbers, ["_key"]).drop("_key")
         named = named.withColumns({"e": F.array().cast("array<double>"), "id": F.lit(0).cast("long")})
-        self.nodes, self.blocks = build_tree(named, order)
+        self.nodes, self.blocks = build_tree(named, order, BLOCK)
         coordinates = [(F.sum(F.col("n") * F.col("centre")[i]) / F.sum("n")).alias(f"c{i}") for i in range(self.d)]
         centres = self.blocks.groupBy("_l").agg(F.sum("n").alias("size"), *coordinates)
         centres = stored(centres.select("_l", "size", F.array(*[f"c{i}" for i in range(self.d)]).alias("middle")))
@@ -280,7 +287,7 @@ class Labelled:
     def label_tree(self) -> tuple[DataFrame, DataFrame]:
         e = F.array(F.col("sq") / F.col("size"), F.col("st") / F.col("size"), F.col("size"))
         rows = self.labels.select(F.lit(0).cast("long").alias("_l"), F.col("middle").alias("x"), F.lit(1).alias("w"), e.alias("e"), F.col("_l").alias("id"))
-        return build_tree(rows, 0, 3)
+        return build_tree(rows, 0, LABEL_BLOCK, 3)
 
     def candidates(self) -> DataFrame:
         """``t, ti`` (label and place of a block), other labels ``_l`` that may be the nearest
@@ -293,14 +300,15 @@ class Labelled:
         own = Window.partitionBy("t", "ti")
 
         def within_reach(rows: DataFrame, radius: Column, low: Column, high: Column, others: Column) -> DataFrame:
-            far = apart("tc", "centre")
-            least = F.greatest(F.lit(0.0), far - F.col("tr") - radius)
-            most = far + F.col("tr") + radius
-            rows = rows.withColumns({"_low": least, "_low2": least * least + low, "_high2": most * most + high})
+            # Steps of their own, so that a distance is taken once.
+            rows = rows.withColumn("_far", apart("tc", "centre", d))
+            rows = rows.withColumn("_low", F.greatest(F.lit(0.0), F.col("_far") - F.col("tr") - radius))
+            rows = rows.withColumn("_most", F.col("_far") + F.col("tr") + radius)
+            rows = rows.withColumns({"_low2": F.col("_low") * F.col("_low") + low, "_high2": F.col("_most") * F.col("_most") + high})
             best = F.min(F.when(others, F.col("_high2"))).over(own)
             rows = rows.withColumn("_best2", best * (1 + 1e-9))
             keep = F.col("_best2").isNull() | (F.col("_low2") <= F.col("_best2")) | (F.col("_low") * F.col("_low") <= F.col("_best2"))
-            return rows.where(keep).drop("_low", "_low2", "_high2", "_best2")
+            return rows.where(keep).drop("_far", "_low", "_most", "_low2", "_high2", "_best2")
 
         def settle(rows: DataFrame) -> tuple[DataFrame, Column]:
             # A node of several labels holds one that is not the block's own.
@@ -357,7 +365,8 @@ def silhouette(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     p = order
 
     def settle(rows: DataFrame) -> tuple[DataFrame, Column]:
-        far = apart("tc", "centre") - F.col("tr")
+        rows = rows.withColumn("gap", apart("tc", "centre", d) - F.col("tr"))
+        far = F.col("gap")
         s = F.try_divide(F.col("radius"), far)
         error = F.lit(2.0 / (2 * p + 1)) * F.try_divide(F.pow(s, F.lit(float(p + 1))), 1 - s)
         by_series = (far > 0) & (s < 1) & (error <= TOLERANCE)
@@ -375,8 +384,11 @@ def silhouette(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     targets = data.blocks.select(F.col("_l").alias("t"), F.col("idx").alias("ti"), "points")
     rows = portions.join(targets, ["t", "ti"])
 
+    parts_schema = {"t": "long", "ti": "long", "i": "long", "w": "long", "_l": "long", "size": "double", "sum": "double"}
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for row in batch.to_pylist():
                 own = np.frombuffer(row["points"]).reshape(-1, d + 1)
                 out = np.zeros(len(own))
@@ -390,10 +402,14 @@ def silhouette(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
                 size = len(own)
                 columns = [np.full(size, row["t"]), np.full(size, row["ti"]), np.arange(size), own[:, d].astype(np.int64),
                            np.full(size, row["_l"]), np.full(size, row["size"]), out]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "ti", "i", "w", "_l", "size", "sum"])
-
-    parts = rows.mapInArrow(sums, "t long, ti long, i long, w long, _l long, size double, sum double")
-    whole = parts.groupBy("t", "ti", "i", "w", "_l", "size").agg(F.sum("sum").alias("sum"))
+                parts.append(columns)
+                if len(parts) == PARTS:
+                    yield _joined(parts, parts_schema)
+                    parts = []
+            yield _joined(parts, parts_schema)
+
+    found = rows.mapInArrow(sums, ", ".join(f"{name} {kind}" for name, kind in parts_schema.items()))
+    whole = found.groupBy("t", "ti", "i", "w", "_l", "size").agg(F.sum("sum").alias("sum"))
     is_own = F.col("_l") == F.col("t")
     each = whole.groupBy("t", "ti", "i", "w").agg(
         F.max(F.when(is_own, F.col("size"))).alias("size"),
@@ -408,13 +424,16 @@ def _squared_silhouette(data: Labelled) -> float:
     """The mean silhouette by mean squared distances: exact from centres and spreads."""
     d = data.d
     own = F.struct("middle", "q", "size")
-    lists = data.candidates().groupBy("t", "ti", F.expr(f"pmod(_l, {CHUNK})").alias("chunk")).agg(F.collect_list(own).alias("others"))
+    lists = data.candidates().groupBy("t", "ti", F.expr(f"pmod(_l, {PARTS})").alias("chunk")).agg(F.collect_list(own).alias("others"))
     mine = data.labels.select(F.col("_l").alias("t"), F.col("middle").alias("mc"), (F.col("sq") / F.col("size")).alias("mq"), F.col("size").alias("ms"))
     targets = attach(data.blocks.select(F.col("_l").alias("t"), F.col("idx").alias("ti"), "points"), mine, ["t"])
     rows = lists.join(targets, ["t", "ti"])
 
+    schema = {"t": "long", "ti": "long", "i": "long", "w": "double", "size": "double", "a": "double", "b": "double"}
+
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for row in batch.to_pylist():
                 p = np.frombuffer(row["points"]).reshape(-1, d + 1)
                 x = p[:, :d]
@@ -424,9 +443,13 @@ def _squared_silhouette(data: Labelled) -> float:
                 outer = (((x[:, None] - middles) ** 2).sum(axis=2) + np.array([o["q"] for o in row["others"]])).min(axis=1)
                 size = len(x)
                 columns = [np.full(size, row["t"]), np.full(size, row["ti"]), np.arange(size), p[:, d], np.full(size, row["ms"]), inner, outer]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "ti", "i", "w", "size", "a", "b"])
+                parts.append(columns)
+                if len(parts) == PARTS:
+                    yield _joined(parts, schema)
+                    parts = []
+            yield _joined(parts, schema)
 
-    each = rows.mapInArrow(least, "t long, ti long, i long, w double, size double, a double, b double")
+    each = rows.mapInArrow(least, ", ".join(f"{name} {kind}" for name, kind in schema.items()))
     each = each.groupBy("t", "ti", "i", "w", "size", "a").agg(F.min("b").alias("b"))
     value = _share(F.col("a"), F.col("b"), F.col("size"))
     return each.agg((F.sum(value * F.col("w")) / F.sum("w")).alias("v")).first()["v"]
@@ -443,8 +466,8 @@ def _davies_bouldin(data: Labelled) -> float:
     own = Window.partitionBy("ti")
 
     def settle(rows: DataFrame) -> tuple[DataFrame, Column]:
-        far = apart("tc", "centre")
-        gap = far - F.col("tr") - F.col("radius")
+        rows = rows.withColumn("_far", apart("tc", "centre", d))
+        far, gap = F.col("_far"), F.col("_far") - F.col("tr") - F.col("radius")
         rows = rows.withColumns({
             "_most": F.when(gap > 0, (F.col("thigh") + F.col("high")[1]) / gap),
             "_least": F.when(gap > 0, (F.col("tlow") + F.col("low")[1]) / (far + F.col("tr") + F.col("radius"))),
@@ -459,12 +482,14 @@ def _davies_bouldin(data: Labelled) -> float:
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for ids, a, b in zip(*[batch.column(c).to_pylist() for c in ("ia", "a", "b")]):
                 a, b = (np.frombuffer(v).reshape(-1, d + 4) for v in (a, b))
                 far = np.sqrt(((a[:, None, :d] - b[None, :, :d]) ** 2).sum(axis=2))
                 both = a[:, None, d + 2] + b[None, :, d + 2]
                 ratio = np.divide(both, far, out=np.zeros_like(far), where=far > 0).max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(ratio)], names=["_l", "ratio"])
+                parts.append((np.frombuffer(ids, np.int64), ratio))
+            yield _joined(parts, {"_l": "long", "ratio": "double"})
 
     each = rows.mapInArrow(worst, "_l long, ratio double").groupBy("_l").agg(F.max("ratio").alias("ratio"))
     return each.agg(F.avg("ratio").alias("v")).first()["v"]
