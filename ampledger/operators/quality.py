@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampledger.functions.columns import total
 from ampledger.operators.grouped import with_scalars
+from ampledger.session import stored
 
 CRITICAL, WARNING = "critical", "warning"
 SAMPLE = 5
@@ -224,9 +227,41 @@ class ValidationError(ValueError):
     """Raised in strict mode when a table has critical issues."""
 
 
+def evaluated(df: DataFrame, rules: Sequence[Rule], row_id: str) -> DataFrame:
+    """Like :func:`check`, but a rule that fails on some row becomes a critical issue of its
+    own, named by the error, and the other rules keep their results.
+
+    All rules share one pass. Only if that pass fails are the rules halved and tried again
+    until the guilty ones stand alone: about 2 log2(rules) passes for each. A table that can
+    not be read at all fails as a whole.
+    """
+    failed: list[tuple] = []
+    parts: list[DataFrame] = []
+
+    def attempt(some: Sequence[Rule], whole: bool) -> None:
+        try:
+            parts.append(stored(check(df, some, row_id)))
+        except (PySparkException, Py4JError) as error:
+            if whole:
+                df.agg(F.count("*")).collect()  # the table, not a rule
+            if len(some) == 1:
+                name = getattr(error, "getCondition", lambda: None)() or type(error).__name__
+                failed.append((some[0].name, CRITICAL, some[0].field, 1, [name]))
+            else:
+                attempt(some[: len(some) // 2], False)
+                attempt(some[len(some) // 2 :], False)
+
+    if rules:
+        attempt(rules, True)
+    out = df.sparkSession.createDataFrame(failed, ISSUES)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def validate(df: DataFrame, rules: Sequence[Rule], row_id: str, required: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    """Issues of schema and rows. A rule that can not be evaluated on this table is
-    itself a critical issue. Strict mode raises on critical issues."""
+    """Issues of schema and rows. A rule that can not be evaluated on this table, or fails on
+    one of its rows, is itself a critical issue. Strict mode raises on critical issues."""
     found = schema_issues(df, required)
     usable, broken = [], []
     for rule in rules:
@@ -238,7 +273,7 @@ def validate(df: DataFrame, rules: Sequence[Rule], row_id: str, required: Sequen
     if broken:
         found = found.unionByName(df.sparkSession.createDataFrame(broken, ISSUES))
     if usable:
-        found = found.unionByName(check(df, usable, row_id))
+        found = found.unionByName(evaluated(df, usable, row_id))
     if strict:
         first = found.where(F.col("severity") == CRITICAL).orderBy("rule", "field").first()
         if first is not None:

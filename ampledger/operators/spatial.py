@@ -63,8 +63,23 @@ class Grid:
     def row(self, y: Column) -> Column:
         return F.floor(y / self.side)
 
+    def columns(self, row: Column) -> Column:
+        """How many columns of equal width go round the sphere in a row."""
+        return F.ceil(F.lit(360.0) / self.width(row))
+
     def column(self, row: Column, x: Column) -> Column:
-        return F.floor(x / self.width(row))
+        """Column of ``x``, counted from -180° on a sphere; it may lie beyond the first or
+        last one, to which :meth:`turned` leads back."""
+        if self.metric != "haversine":
+            return F.floor(x / self.width(row))
+        return F.floor((x + 180.0) / 360.0 * self.columns(row))
+
+    def turned(self, row: Column, column: Column) -> Column:
+        return F.pmod(column, self.columns(row)) if self.metric == "haversine" else column
+
+    def turned_x(self, x: Column) -> Column:
+        """Longitude from -180 up to, but without, 180."""
+        return x - 360.0 * F.floor((x + 180.0) / 360.0) if self.metric == "haversine" else x
 
     def reach_y(self) -> float:
         return 1.01 * self.eps / (METRES_PER_DEGREE if self.metric == "haversine" else 1.0)
@@ -72,11 +87,14 @@ class Grid:
     def reach_x(self, y: Column) -> Column:
         if self.metric != "haversine":
             return F.lit(1.01 * self.eps)
-        s = math.sin(self.eps / EARTH_RADIUS_M)
-        return F.degrees(F.asin(F.least(F.lit(1.0), F.lit(s) / F.cos(F.radians(y))))) * 1.01
+        s = F.lit(math.sin(self.eps / EARTH_RADIUS_M))
+        narrow = F.cos(F.radians(y))
+        # Within reach of a pole, all longitudes are.
+        return F.when((y < 90.0) & (narrow > s), F.degrees(F.asin(s / F.greatest(narrow, s))) * 1.01).otherwise(F.lit(180.0))
 
     def with_cell(self, df: DataFrame, y: str = "y", x: str = "x") -> DataFrame:
-        return df.withColumn("cy", self.row(F.col(y))).withColumn("cx", self.column(F.col("cy"), F.col(x)))
+        rows = df.withColumn("cy", self.row(F.col(y)))
+        return rows.withColumn("cx", self.turned(F.col("cy"), self.column(F.col("cy"), F.col(x))))
 
     def with_reach(self, df: DataFrame, y0: str, y1: str, x0: str, x1: str) -> DataFrame:
         """One row per cell that may hold a point within ``eps`` of the given box."""
@@ -85,10 +103,12 @@ class Grid:
         rx = self.reach_x(far)
         rows = F.sequence(self.row(F.col(y0) - ry), self.row(F.col(y1) + ry))
         with_rows = df.withColumn("_rx", rx).withColumn("cy", F.explode(rows))
-        columns = F.sequence(
-            self.column(F.col("cy"), F.col(x0) - F.col("_rx")), self.column(F.col("cy"), F.col(x1) + F.col("_rx"))
-        )
-        return with_rows.withColumn("cx", F.explode(columns)).drop("_rx")
+        first = self.column(F.col("cy"), F.col(x0) - F.col("_rx"))
+        last = self.column(F.col("cy"), F.col(x1) + F.col("_rx"))
+        if self.metric == "haversine":
+            last = F.least(last, first + self.columns(F.col("cy")) - 1)  # once round
+        wide = with_rows.withColumn("cx", F.explode(F.sequence(first, last)))
+        return wide.withColumn("cx", self.turned(F.col("cy"), F.col("cx"))).drop("_rx")
 
     def box_distance(self, a: str, b: str, nearest: bool) -> Column:
         """Lower (``nearest``) or upper bound of the distance between the points of two
@@ -102,10 +122,18 @@ class Grid:
                 return F.greatest(F.lit(0.0), c(b, low) - c(a, high), c(a, low) - c(b, high))
             return F.greatest(c(b, high) - c(a, low), c(a, high) - c(b, low))
 
-        dy, dx = gap("y0", "y1"), gap("x0", "x1")
+        dy = gap("y0", "y1")
         if self.metric != "haversine":
             zero = F.lit(0.0)
-            return distance(self.metric, zero, zero, dy, dx)
+            return distance(self.metric, zero, zero, dy, gap("x0", "x1"))
+        # Differences of longitude from the least to the largest; the way round is shorter
+        # beyond half a turn.
+        least = F.greatest(F.lit(0.0), c(b, "x0") - c(a, "x1"), c(a, "x0") - c(b, "x1"))
+        most = F.greatest(c(b, "x1") - c(a, "x0"), c(a, "x1") - c(b, "x0"))
+        if nearest:
+            dx = F.greatest(F.lit(0.0), F.least(least, 360.0 - most))
+        else:
+            dx = F.when(most <= 180.0, most).when(least >= 180.0, 360.0 - least).otherwise(F.lit(180.0))
 
         def cosine(side: str) -> Column:
             low, high = F.abs(c(side, "y0")), F.abs(c(side, "y1"))
@@ -184,6 +212,7 @@ def _cell_edges(core: DataFrame, grid: Grid) -> DataFrame:
     pair of boxes is near, or both cells hang together already. No list of point pairs
     is formed, and the boxes shrink to single points at worst.
     """
+    core = core.withColumn("x", grid.turned_x(F.col("x")))
     box = [F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")]
     names = core.groupBy("cy", "cx").agg(F.min("id").alias("cell"), *box)
     names = checkpointed(names)

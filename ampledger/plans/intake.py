@@ -370,6 +370,29 @@ def v12(t):
     return Q.verdict(Q.validate(t.meter_attributes(), rules, "meter_id", required=["meter_id", "feeder_id"]))
 
 
+@query(
+    "v12_failing_rule",
+    views("wide", {"i": _rule_sql("allowed_values", "customer_class", "wide", "customer_class <> 'building'")
+        + " UNION ALL " + _rule_sql("range", "kVA", "wide", '"kVA" > 40', severity="warning")
+        + " UNION ALL SELECT 'rated', 'critical', 'kVA', 1, 'USER_RAISED_EXCEPTION'"
+        + " UNION ALL SELECT 'parsed', 'critical', 'customer_class', 1, 'USER_RAISED_EXCEPTION'"
+        + " UNION ALL SELECT 'broken', 'critical', 'nowhere', 1, 'AnalysisException'"})
+    + "SELECT * FROM i",
+)
+def v12_failing(t):
+    """Two rules that fail on some row, and one that names no column, beside two that work."""
+    failing = F.when(F.col("kVA") > 40, F.raise_error("no rating").cast("boolean")).otherwise(F.lit(False))
+    parsed = F.when(F.col("customer_class").isNotNull(), F.raise_error("not a number").cast("boolean"))
+    rules = [
+        Q.in_set("customer_class", ["building"]),
+        Q.Rule("rated", failing, "kVA"),
+        Q.in_range("kVA", 0.0, 40.0, Q.WARNING),
+        Q.Rule("parsed", parsed, "customer_class"),
+        Q.Rule("broken", F.col("nowhere") > 1, "nowhere"),
+    ]
+    return _flat(Q.validate(t.meter_attributes(), rules, "meter_id"))
+
+
 def _dataset(t) -> str:
     """The three tables as CSV in one folder; the first transformers have lost their ids."""
     folder = scratch_path(t.spark, "dataset")

@@ -75,6 +75,20 @@ def recursive(text: str) -> str:
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+#: Meters moved around the globe, in SQL that both engines read.
+MOVED = {
+    "antimeridian": ("lat", "CASE WHEN lon + 58.95 > 180 THEN lon + 58.95 - 360 ELSE lon + 58.95 END"),
+    "pole": ("90 - sqrt(pow(lat - 14.55, 2) + pow(lon - 121.05, 2))", "degrees(atan2(lon - 121.05, lat - 14.55))"),
+}
+
+
+def moved_clusters(where: str) -> str:
+    lat, lon = MOVED[where]
+    pairs = {k: v.replace(" meters ", " moved ") for k, v in cluster_views(f"{hav('a', 'b')} <= {EPS}").items()}
+    moved = {"moved": f"SELECT meter_id, {lat} AS lat, {lon} AS lon FROM meters"}
+    return recursive(views("meters", moved | pairs)) + "SELECT meter_id, cluster, is_core FROM lab"
+
+
 CLUSTERS = recursive(views("meters", cluster_views(f"{hav('a', 'b')} <= {EPS}")))
 
 
@@ -87,6 +101,22 @@ def g2(t):
     return clustered(t).select("meter_id", "cluster", "is_core")
 
 
+def clustered_elsewhere(t, where):
+    lat, lon = MOVED[where]
+    moved = t.sparse_meters().select("meter_id", F.expr(lat).alias("lat"), F.expr(lon).alias("lon"))
+    return G.dbscan(moved, EPS, MIN_SAMPLES).select("meter_id", "cluster", "is_core")
+
+
+@query("g2_dbscan_antimeridian", moved_clusters("antimeridian"))
+def g2_antimeridian(t):
+    return clustered_elsewhere(t, "antimeridian")
+
+
+@query("g2_dbscan_pole", moved_clusters("pole"))
+def g2_pole(t):
+    return clustered_elsewhere(t, "pole")
+
+
 @query(
     "g2_dbscan_euclidean",
     recursive(
