@@ -63,6 +63,24 @@ def grow(rows: np.ndarray, features: np.ndarray, limit: int, rng: np.random.Gene
     return [tuple(n) for n in nodes]
 
 
+def arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of one tree's nodes that :func:`depths` follows."""
+    return tuple(nodes[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth"))
+
+
+def depths(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Path length of each row in one tree; rows go down together."""
+    feature, cut, left, right, length = tree
+    at = np.zeros(len(x), int)
+    moving = np.flatnonzero(feature[at] >= 0)
+    while len(moving):
+        here = at[moving]
+        lower = x[moving, feature[here]] <= cut[here]
+        at[moving] = np.where(lower, left[here], right[here])
+        moving = moving[feature[at[moving]] >= 0]
+    return length[at]
+
+
 @dataclass
 class ForestModel:
     columns: list[str]
@@ -73,10 +91,7 @@ class ForestModel:
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``raw_score`` = 2^(-mean depth / c) - 0.5; higher is more anomalous."""
         columns, norm = self.columns, float(average_path(self.sample_size))
-        trees = [
-            tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth"))
-            for _, g in self.nodes.sort_values(["tree", "node"]).groupby("tree")
-        ]
+        trees = [arrays(g) for _, g in self.nodes.sort_values(["tree", "node"]).groupby("tree")]
         sign = 1.0 if self.invert else -1.0
         shared = df.sparkSession.sparkContext.broadcast(trees)
 
@@ -85,15 +100,8 @@ class ForestModel:
             for frame in frames:
                 x = frame[columns].to_numpy(float)
                 depth = np.zeros(len(x))
-                for feature, cut, left, right, length in shared.value:
-                    at = np.zeros(len(x), int)
-                    moving = np.flatnonzero(feature[at] >= 0)
-                    while len(moving):
-                        here = at[moving]
-                        lower = x[moving, feature[here]] <= cut[here]
-                        at[moving] = np.where(lower, left[here], right[here])
-                        moving = moving[feature[at[moving]] >= 0]
-                    depth += length[at]
+                for tree in shared.value:
+                    depth += depths(x, tree)
                 anomaly = np.exp2(-(depth / len(shared.value)) / norm) if norm else np.full(len(x), 0.5)
                 yield pd.Series(sign * (anomaly - 0.5))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ampledger.operators import detectors as M
 from ampledger.operators.features import ENGINEERED
 from ampledger.operators.forest import IsolationForest, feature_importance
+from ampledger.operators.tuning import tune_zscore
 from ampledger.plans import pipelines as P
 from ampledger.plans.places import CLUSTERS, EPS, MIN_SAMPLES, TABLE_SQL
 from ampledger.plans.registry import query, r6
@@ -209,6 +210,51 @@ def m13(t):
     return M.threshold_sweep(balance(t), SWEEP)
 
 
+def zscore_tuning_sql(value: str) -> str:
+    """Three folds: fitted without each, flagged above its quantile, measured on it."""
+    return views("facts", FILLED | {
+        "d": f"SELECT *, ({FOLD_SQL} % 3)::INT AS fold FROM x",
+        "s": """SELECT f.fold, avg(u) AS mu, stddev_pop(u) + 1e-6 AS su, avg(v) AS mv, stddev_pop(v) + 1e-6 AS sv
+            FROM d JOIN (SELECT unnest([0, 1, 2])::INT AS fold) f ON f.fold <> d.fold GROUP BY f.fold""",
+        "z": "SELECT d.*, sqrt(pow((u - mu) / su, 2) + pow((v - mv) / sv, 2)) AS raw FROM d JOIN s USING (fold)",
+        "c": "SELECT unnest([0.05, 0.1, 0.2, 0.3])::DOUBLE AS contamination",
+        "cut": """SELECT fold, contamination, quantile_cont(raw, [0.95, 0.9, 0.8, 0.7]) AS q FROM z, c GROUP BY ALL""",
+        "l": """SELECT z.*, contamination, raw > CASE contamination WHEN 0.05 THEN q[1] WHEN 0.1 THEN q[2] WHEN 0.2 THEN q[3] ELSE q[4] END
+            AS k FROM z JOIN cut USING (fold)""",
+        "g": "SELECT contamination, fold, k, count(*) AS n, avg(u) AS cu, avg(v) AS cv FROM l GROUP BY ALL",
+        "w": """SELECT contamination, fold, k, sum(pow(u - cu, 2) + pow(v - cv, 2)) AS within,
+            avg(sqrt(pow(u - cu, 2) + pow(v - cv, 2))) AS spread FROM l JOIN g USING (contamination, fold, k) GROUP BY ALL""",
+        "sides": """SELECT contamination, fold, a.n AS na, b.n AS nb, pow(a.cu - b.cu, 2) + pow(a.cv - b.cv, 2) AS gap,
+            wa.within + wb.within AS within, wa.spread + wb.spread AS spread
+            FROM g a JOIN g b USING (contamination, fold) JOIN w wa USING (contamination, fold) JOIN w wb USING (contamination, fold)
+            WHERE NOT a.k AND b.k AND NOT wa.k AND wb.k""",
+    }) + r6(f"SELECT contamination, avg({value}) AS value FROM sides GROUP BY contamination", "value")
+
+
+def zscore_tuning(t, metric):
+    tuned = tune_zscore(two_features(t), ["u", "v"], [0.05, 0.1, 0.2, 0.3], metric=metric)
+    rows = [(p["contamination"], v) for v, p in tuned.trials]
+    return t.spark.createDataFrame(rows, "contamination double, value double")
+
+
+@query("m13_tune_zscore_folds", zscore_tuning_sql("na * nb / (na + nb) * gap / (within / (na + nb - 2))"))
+def m13_zscore(t):
+    return zscore_tuning(t, "calinski_harabasz")
+
+
+@query("m13_tune_zscore_davies_bouldin", zscore_tuning_sql("spread / sqrt(gap)"))
+def m13_zscore_davies(t):
+    return zscore_tuning(t, "davies_bouldin")
+
+
+@query("m13_tune_forest_folds")
+def m13_tune_folds(t):
+    features = P.feature_table(t.dense(keep=True))
+    options = M.grid({"n_trees": [20, 40], "sample_size": [64, 128], "contamination": [0.1]})
+    tuned = P.tune_isolation_forest(features, ENGINEERED, options, folds=3, metric="calinski_harabasz")
+    return tuned.table(features)
+
+
 @query("m13_tune_forest")
 def m13_tune(t):
     features = P.feature_table(t.dense(keep=True))

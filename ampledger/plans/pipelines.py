@@ -28,6 +28,7 @@ from ampledger.operators.scaling import outlier_bounds, treat_outliers
 from ampledger.operators.scoring import FLAG_THRESHOLD, score_meters
 from ampledger.operators.separation import cluster_quality
 from ampledger.operators.spatial import SMALL_CLUSTER, cluster_statistics, cluster_table, dbscan
+from ampledger.operators.tuning import best_forest, register, tune_forest
 from ampledger.session import no_larger, stored
 from ampledger.sources.geography import districts
 from ampledger.sources.models import load_fitted, save_fitted
@@ -169,8 +170,28 @@ def train_dbscan(points: DataFrame, eps: float = 50.0, min_samples: int = 5, sma
     }
 
 
-def tune_isolation_forest(features: DataFrame, columns: list[str], combinations: list[dict], patience: int | None = None) -> Tuning:
-    """Forest options by the separation of the top scores from the rest."""
+def tune_isolation_forest(
+    features: DataFrame,
+    columns: list[str],
+    combinations: list[dict],
+    patience: int | None = None,
+    folds: int | None = None,
+    metric: str = "separation",
+    registry: str | None = None,
+) -> Tuning:
+    """Forest options by a metric.
+
+    With ``folds`` every combination is cross-validated, all of them together, by
+    ``separation``, ``silhouette``, ``silhouette_sq``, ``davies_bouldin`` or
+    ``calinski_harabasz``, and the best model is fitted on all rows and registered as a version
+    if a folder is given. Without, each is fitted and measured on all rows, one after the other.
+    """
+    if folds is not None:
+        tuned = tune_forest(features, columns, combinations, folds, metric)
+        if registry is not None:
+            baselines = features.select("transformer_id").distinct()
+            register(tuned, best_forest(tuned, features, columns), registry, "isolation_forest", baselines)
+        return tuned
 
     def separation(options: dict) -> float:
         scored = IsolationForest(**options).fit(features, columns).score(features)
