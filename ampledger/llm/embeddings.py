@@ -263,23 +263,8 @@ def linked(pairs: DataFrame, held: DataFrame, dim: int, threshold: float) -> Dat
     return shipped.mapInArrow(compare, "node long, links long, root long")
 
 
-def near_duplicates(
-    df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``df``.
-
-    Two rows are linked if the cosine of their vectors, in double precision, is at least
-    ``threshold`` (above 0). Equal vectors are compared once and counted by their number. A vector that
-    is null, zero, of another length than most, or holds null or non-finite components has
-    no links; it is its own component. A null id is kept as a row and never names a
-    component that has another id; rows that repeat an id are vectors of their own. An
-    empty table gives no rows, other columns are ignored.
-    """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    lengths = rows.where("embedding is not null").groupBy(F.size("embedding").alias("d"))
-    common = lengths.count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = common.d if common else 1
-    good = rows.where(usable("embedding", dim))
+def _linked_vectors(good: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """``embedding, n_links, component_id`` of the distinct vectors of one length."""
     vectors = scratch(
         good.groupBy("embedding")
         .agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
@@ -295,7 +280,7 @@ def near_duplicates(
     for part in sorted(sizes):
         starts.append((part, total))
         total += sizes[part]
-    offsets = df.sparkSession.createDataFrame(starts, "part int, start long")
+    offsets = good.sparkSession.createDataFrame(starts, "part int, start long")
     held = held.join(F.broadcast(offsets), "part").withColumn("block", F.col("start") + F.col("at"))
     pairs = near_intervals(held.select("block", "low", "high"), total, min(BOX_AXES, dim), radius)
     found = scratch(linked(pairs, held, dim, threshold), "links")
@@ -307,9 +292,35 @@ def near_duplicates(
         .select("embedding", "vec_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     )
     names = by_node.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    by_vector = by_node.join(names, "root").select("embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
-    joined = good.join(by_vector, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(f"NOT coalesce({usable('embedding', dim)}, false)").select(
+    return by_node.join(names, "root").select("embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+
+
+def near_duplicates(
+    df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``df``.
+
+    Two rows are linked if the cosine of their vectors, in double precision, is at least
+    ``threshold`` (above 0). Equal vectors are compared once and counted by their number. Only
+    vectors of one length have a cosine: every length that two or more rows have is joined on
+    its own, one after the other. A vector that is null, zero, or holds null or non-finite
+    components has no links; it is its own component. A null id is kept as a row and never
+    names a component that has another id; rows that repeat an id are vectors of their own. An
+    empty table gives no rows, other columns are ignored.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    sizes = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().where("count > 1")
+    lengths = sorted(r.d for r in sizes.select("d").collect())  # one row per length
+    out, compared = None, F.lit(False)
+    for dim in lengths:
+        good = rows.where(usable("embedding", dim))
+        joined = good.join(_linked_vectors(good, dim, threshold), "embedding").select("vec_id", "n_links", "component_id")
+        # More than one plan of this size would be planned anew for each length.
+        joined = scratch(joined, "of-one-length") if len(lengths) > 1 else joined
+        out = joined if out is None else out.unionByName(joined)
+        compared = compared | F.coalesce(F.expr(usable("embedding", dim)), F.lit(False))
+    alone = rows.where(~compared).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = alone if out is None else out.unionByName(alone)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

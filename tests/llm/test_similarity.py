@@ -137,6 +137,26 @@ def test_vectors_that_link_with_nothing(spark):
     assert embeddings.near_duplicates(df.where("vec_id = 3")).collect()[0].kept
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length is compared among itself, also one that few rows have."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for dim, n in ((2, 40), (3, 12), (8, 20), (5, 1)):
+        x = rng.normal(0, 1, (n, dim))
+        x[1::3] = x[::3][: len(x[1::3])] * 1.5 + 1e-3
+        ids = [len(rows) + i for i in range(n)]
+        u = embeddings.unit(x)
+        near = u @ u.T >= 0.9
+        np.fill_diagonal(near, False)
+        for i, c in enumerate(components(n, zip(*np.nonzero(near)))):
+            want[ids[i]] = (int(near[i].sum()), ids[c])
+        rows += [(i, v.tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows + [(900, [0.0, 0.0, 0.0]), (901, None)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == want | {900: (0, 900), 901: (0, 901)}
+    assert sum(links > 0 for links, _ in want.values()) > 30
+
+
 def test_far_intervals_are_skipped(spark):
     boxes = spark.createDataFrame([(i, [i * 1.0], [i + 0.5]) for i in range(20)], "block long, low array<double>, high array<double>")
     got = sorted((r.a, r.b) for r in embeddings.near_intervals(boxes, 20, 1, 0.6).collect())
