@@ -98,9 +98,10 @@ def list_runs(log: DataFrame, limit: int) -> DataFrame:
 
 
 def live_runs(log: DataFrame) -> DataFrame:
-    """Runs that were saved and not deleted since, from the append-only run log."""
+    """Runs that were saved and not deleted since, from the append-only run log. The numbers
+    of the events decide, whatever their clocks say."""
     last = log.groupBy("run_id").agg(
-        F.max_by("event", F.struct("created_at", "event_no")).alias("event"),
-        F.max_by("created_at", F.struct("created_at", "event_no")).alias("created_at"),
+        F.max_by("event", F.struct("event_no", "created_at")).alias("event"),
+        F.max_by("created_at", F.struct("event_no", "created_at")).alias("created_at"),
     )
     return last.where("event = 'saved'").drop("event")

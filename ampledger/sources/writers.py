@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,41 +27,86 @@ EXPORT_COLUMNS = [
     "risk_level",
     "confidence",
 ]
-LOG_SCHEMA = "run_id string, event string, created_at timestamp, event_no int"
+#: Folder of the events of a run folder, one numbered file each, and what such a file holds.
+COMMITS = "_commits"
+LOG_SCHEMA = "run_id string, event string, created_at string, schemas map<string,string>"
 
 
 def save_run(run_id: str, tables: dict[str, DataFrame], folder: str) -> None:
     """Append one run: every table under ``folder/<name>`` partitioned by ``run_id``.
 
-    Rows go out in the partitions they are in. The log entry is written last, so a run
-    whose job died half-way is not listed; its partition is overwritten by a retry.
+    Rows go out in the partitions they are in. The run is committed last, so a run whose job
+    died half-way is not listed; its partition is overwritten by a retry. Writers of different
+    runs do not wait for each other and all of them are kept.
     """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}/run_id={run_id}")
-    _log(next(iter(tables.values())).sparkSession, folder, run_id, "saved")
+    schemas = {name: df.schema.json() for name, df in tables.items()}
+    _commit(next(iter(tables.values())).sparkSession, folder, run_id, "saved", schemas)
 
 
-def _log(spark: SparkSession, folder: str, run_id: str, event: str) -> None:
-    no = {"saved": 0, "deleted": 1}[event]
-    entry = spark.range(1).select(
-        F.lit(run_id).alias("run_id"),
-        F.lit(event).alias("event"),
-        F.current_timestamp().alias("created_at"),
-        F.lit(no).alias("event_no"),
-    )
-    entry.write.mode("append").parquet(f"{folder}/_log")
+def _storage(spark: SparkSession, folder: str):
+    """The folder as a path, and the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _commit(spark: SparkSession, folder: str, run_id: str, event: str, schemas: dict[str, str] | None = None) -> int:
+    """Put one event into the log under the next free number; the number.
+
+    The file is written aside and renamed to its number, which fails if another writer took
+    that number first: then the next one is tried. Numbers order events even if clocks agree
+    or disagree. That no number is given twice rests on the storage's rename.
+    """
+    fs_package = spark._jvm.org.apache.hadoop.fs
+    root, fs = _storage(spark, f"{folder}/{COMMITS}")
+    fs.mkdirs(root)
+    now = datetime.now(timezone.utc).isoformat()
+    entry = json.dumps({"run_id": run_id, "event": event, "created_at": now, "schemas": schemas or {}})
+    aside = fs_package.Path(root, f".{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(entry.encode()))
+    finally:
+        out.close()
+    context = fs_package.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(fs_package, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    while True:
+        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        number = 1 + max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(fs_package.Path(root, f"{number:020d}.json")), options)
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+                raise
 
 
 def run_log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/_log")
+    """``run_id, event, created_at, event_no`` of all events, and the ``schemas`` of saved runs."""
+    log = spark.read.schema(LOG_SCHEMA).json(f"{folder}/{COMMITS}")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9]+)", 1).cast("long")
+    return log.select("run_id", "event", F.to_timestamp("created_at").alias("created_at"), number.alias("event_no"), "schemas")
 
 
 def read_run(spark: SparkSession, folder: str, table: str, run_id: str) -> DataFrame:
     """One run's table; the filter on the partition column prunes all other runs.
     A run that is not in the log, or was deleted, is empty."""
-    rows = spark.read.option("basePath", f"{folder}/{table}").parquet(f"{folder}/{table}")
-    alive = live_runs(run_log(spark, folder).where(F.col("run_id") == run_id)).limit(1).count() > 0
-    return rows.where((F.col("run_id") == run_id) & F.lit(alive))
+    log = run_log(spark, folder)
+    own = F.col("run_id") == run_id
+    saved = log.where((F.col("event") == "saved") & F.col("schemas").isNotNull())
+    # The run's own schema, or that of the newest run that has the table.
+    schema_of = F.try_element_at("schemas", F.lit(table))
+    newest = saved.where(schema_of.isNotNull()).agg(F.max_by(schema_of, F.struct(own, "event_no"))).first()[0]
+    reader = spark.read.option("basePath", f"{folder}/{table}")
+    if newest is not None:
+        schema = T.StructType.fromJson(json.loads(newest))
+        reader = reader.schema(schema.add("run_id", T.StringType()) if "run_id" not in schema.names else schema)
+    rows = reader.parquet(f"{folder}/{table}")
+    alive = live_runs(log.where(own)).limit(1).count() > 0
+    return rows.where(own & F.lit(alive))
 
 
 def latest_run_id(spark: SparkSession, folder: str) -> str | None:
@@ -65,8 +115,14 @@ def latest_run_id(spark: SparkSession, folder: str) -> str | None:
 
 
 def delete_run(spark: SparkSession, folder: str, run_id: str) -> None:
-    """Runs are immutable; a delete is an event, and readers leave the run out."""
-    _log(spark, folder, run_id, "deleted")
+    """Remove a run: first the event, so that no reader starts on it, then its files. A
+    repeated call removes what an interrupted one left behind."""
+    _commit(spark, folder, run_id, "deleted")
+    root, fs = _storage(spark, folder)
+    for status in fs.listStatus(root):  # one folder per table
+        part = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), f"run_id={run_id}")
+        if status.isDirectory() and not status.getPath().getName().startswith("_"):
+            fs.delete(part, True)
 
 
 def save_predictions(df: DataFrame, path: str) -> None:
