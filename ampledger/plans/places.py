@@ -22,14 +22,14 @@ def hav(a: str, b: str) -> str:
 
 
 def _distance_sql(expr: str) -> str:
-    return views("meters", {"o": "SELECT * FROM meters WHERE meter_id = 0"}) + r6(
+    return views("meters", {"o": "SELECT * FROM meters WHERE meter_id = (SELECT min(meter_id) FROM meters)"}) + r6(
         f"SELECT a.meter_id, {expr} AS d FROM meters a, o", "d"
     )
 
 
 def _from_first(t, metric):
     meters = t.sparse_meters()
-    first = meters.where("meter_id = 0").select("lat", "lon").first()
+    first = meters.agg(F.min_by(F.struct("lat", "lon"), "meter_id").alias("p")).select("p.*").first()
     d = distance(metric, F.lit(first.lat), F.lit(first.lon), F.col("lat"), F.col("lon"))
     return meters.select("meter_id", d.alias("d"))
 
