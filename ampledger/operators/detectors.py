@@ -10,6 +10,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from ampledger.functions.columns import finite, is_close, sigmoid, total
 from ampledger.operators.grouped import group_quantiles, with_scalars
 from ampledger.operators.separation import cluster_quality, silhouette  # noqa: F401  (part of evaluation)
-from ampledger.session import no_larger, stored
+from ampledger.session import no_larger, row_bound, stored
 
 MIN_ROWS = 10
 CONTAMINATION = 0.12
@@ -249,6 +251,58 @@ class UserDetector:
         return UserModel(list(columns), self.learn(df, list(columns)), self.function)
 
 
+#: Partial states that one task merges.
+MERGE_FAN = 16
+
+
+@dataclass
+class BlockDetector:
+    """Plug-in that learns by plain NumPy, block by block, at any table size.
+
+    ``start()`` gives an empty state, ``add(state, block)`` takes in a block of rows (rows x
+    columns), ``merge(a, b)`` joins two states and ``finish(state)`` turns the last one into
+    what ``function(state, block)`` scores with. Every task adds up its own rows; states are
+    then merged ``MERGE_FAN`` at a time, level by level on the executors, and only the finished
+    one reaches the driver and all tasks: a state has to be small. States meet in the order of
+    partitions, so the same partitions give the same model. A task that is repeated starts anew.
+    """
+
+    start: Callable[[], object]
+    add: Callable[[object, np.ndarray], object]
+    merge: Callable[[object, object], object]
+    function: Callable[[object, np.ndarray], np.ndarray]
+    finish: Callable[[object], object] = lambda state: state
+
+    def fit(self, df: DataFrame, columns: Sequence[str]) -> UserModel:
+        columns = list(columns)
+        start, add, merge = self.start, self.add, self.merge
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, seen = start(), False
+            for batch in batches:
+                if len(batch):
+                    parts = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))]
+                    state, seen = add(state, np.column_stack(parts)), True
+            if seen:
+                at = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([cloudpickle.dumps(state)])], names=["at", "state"])
+
+        def join(group: tuple, table: pa.Table) -> pa.Table:
+            rows = sorted(table.select(["at", "state"]).to_pylist(), key=lambda r: r["at"])
+            state = cloudpickle.loads(rows[0]["state"])
+            for row in rows[1:]:
+                state = merge(state, cloudpickle.loads(row["state"]))
+            return pa.table({"at": [group[0].as_py()], "state": [cloudpickle.dumps(state)]})
+
+        states = stored(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(learn, "at long, state binary"))
+        while (row_bound(states) or 0) > 1:
+            # Places are dense enough: the highest one falls by the fan at each level.
+            states = stored(states.groupBy(F.expr(f"at div {MERGE_FAN}").alias("to")).applyInArrow(join, "at long, state binary"))
+        row = states.first()
+        state = cloudpickle.loads(row["state"]) if row is not None else start()
+        return UserModel(columns, self.finish(state), self.function)
+
+
 # ---- evaluation -----------------------------------------------------------------
 
 

@@ -118,8 +118,7 @@ def m6_zscore(t):
     return feature_importance(M.ZScoreDetector().fit(df, ["u", "v"]), df)
 
 
-@query(
-    "m8_mahalanobis",
+M8_SQL = (
     views("facts", FILLED | {
         "s": """SELECT avg(u) AS mu, avg(v) AS mv, var_samp(u) + 1e-6 AS a, var_samp(v) + 1e-6 AS d, covar_samp(u, v) AS b FROM x""",
     })
@@ -127,8 +126,11 @@ def m6_zscore(t):
         """SELECT meter_id, sqrt((d * pow(u - mu, 2) - 2 * b * (u - mu) * (v - mv) + a * pow(v - mv, 2)) / (a * d - b * b))
         AS raw_score FROM x, s""",
         "raw_score",
-    ),
+    )
 )
+
+
+@query("m8_mahalanobis", M8_SQL)
 def m8(t):
     df = two_features(t)
     return M.MahalanobisDetector().fit(df, ["u", "v"]).score(df).select("meter_id", "raw_score")
@@ -367,6 +369,40 @@ def x1(t):
     return model.score(df).select("meter_id", "raw_score")
 
 
+def no_moments():
+    return 0, None, None
+
+
+def add_moments(state, x):
+    mean = x.mean(axis=0)
+    return join_moments(state, (len(x), mean, (x - mean).T @ (x - mean)))
+
+
+def join_moments(a, b):
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    n, step = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + step * b[0] / n, a[2] + b[2] + np.outer(step, step) * a[0] * b[0] / n
+
+
+def inverse_covariance(state):
+    n, mean, squares = state
+    return mean, np.linalg.inv(squares / (n - 1) + 1e-6 * np.eye(len(mean)))
+
+
+def mahalanobis(state, x):
+    mean, inverse = state
+    return np.sqrt(np.maximum(0.0, np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)))
+
+
+@query("x1_block_detector", M8_SQL)
+def x1_block(t):
+    """The Mahalanobis distance as a user would write it with NumPy alone."""
+    df = two_features(t)
+    detector = M.BlockDetector(no_moments, add_moments, join_moments, mahalanobis, inverse_covariance)
+    return detector.fit(df, ["u", "v"]).score(df).select("meter_id", "raw_score")
+
+
 @query(
     "x3_stored_range_scores",
     views("facts", FILLED | {"z": Z_SQL})
