@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ampledger.functions.columns import distance
 from ampledger.operators import quality as Q
 from ampledger.operators import spatial as G
+from ampledger.operators.nearest import nearest_place
 from ampledger.plans.registry import query, r6
 from ampledger.plans.tables import views
 from ampledger.sources import geography
@@ -264,3 +265,17 @@ def g10(t):
 )
 def g11(t):
     return G.heat_points(t.rollup_meters())
+
+
+@query(
+    "g7_nearest_place",
+    views("meters", {
+        "sites": "SELECT meter_id AS place_id, lat + 0.0004 AS lat, lon - 0.0003 AS lon FROM meters WHERE meter_id % 3 = 0",
+        "d": f"SELECT a.meter_id, place_id, {hav('a', 'b')} AS d FROM meters a, sites b",
+    })
+    + r6("SELECT meter_id, arg_min(place_id, (d, place_id)) AS nearest, min(d) AS distance_m FROM d GROUP BY meter_id", "distance_m"),
+)
+def g7_nearest_place(t):
+    meters = t.sparse_meters().select("meter_id", "lat", "lon")
+    sites = meters.where("meter_id % 3 = 0").selectExpr("meter_id AS place_id", "lat + 0.0004 AS lat", "lon - 0.0003 AS lon")
+    return nearest_place(meters, sites).select("meter_id", "nearest", "distance_m")
