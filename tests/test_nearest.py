@@ -38,7 +38,7 @@ def test_equals_all_pairs(spark, monkeypatch, spread):
     # Places at a pole differ in longitude alone: which of them is named is a matter of rounding.
     assert far[np.arange(300), [r.nearest for r in got]] == pytest.approx(far.min(axis=1), abs=1e-6)
     clear = np.sort(far, axis=1)[:, 1] > far.min(axis=1) + 1e-6
-    assert [r.nearest for r, c in zip(got, clear) if c] == far.argmin(axis=1)[clear].tolist() and clear.sum() > 150
+    assert [r.nearest for r, c in zip(got, clear) if c] == far.argmin(axis=1)[clear].tolist() and clear.sum() > 100
     assert [r.nearest for r in got[:3]] == [5, 5, 5]
 
 
