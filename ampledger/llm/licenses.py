@@ -1,4 +1,4 @@
-"""License scan: word counts of windows choose places without loss, exact alignment measures them."""
+"""License scan: winnowed fingerprints of the templates choose places, banded alignment measures them."""
 
 from __future__ import annotations
 
@@ -40,75 +40,53 @@ TEMPLATES = {
     ),
 }
 
-#: Words of a fingerprint and fingerprints of a window: a common run of GRAM + WINDOW - 1
-#: words always shares a fingerprint.
+#: Words of a fingerprint. In a text they may stand up to ``REACH`` words apart, so that words
+#: put in between do not hide them.
 GRAM = 2
-WINDOW = 2
+REACH = 8
+#: The widest window of fingerprints of which one is kept.
+WINDOW = 4
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of ``GRAM`` words."""
-    n = max(0, len(words) - GRAM + 1)
+def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of the runs of ``size`` words."""
+    n = max(0, len(words) - size + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(GRAM):
+    for i in range(size):
         out = mix(out + words[i : i + n])
     return out
 
 
-def winnow(values: np.ndarray) -> np.ndarray:
-    """Places of the smallest value of every window of ``WINDOW`` values, the last of ties."""
+def winnow(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the smallest value of every window of ``window`` values, the last of ties."""
     n = len(values)
     if n == 0:
         return np.zeros(0, int)
-    w = min(WINDOW, n)
+    w = min(window, n)
     view = np.lib.stride_tricks.sliding_window_view(values, w)
     return np.unique(np.arange(n - w + 1) + w - 1 - view[:, ::-1].argmin(axis=1))
 
 
-def align(template: np.ndarray, words: np.ndarray, low: int, band: int) -> tuple[int, int, int]:
-    """The most template words that stand in order in ``words``, inside the band.
-
-    Template word ``i`` may match words ``low + i - band`` to ``low + i + band``. Returns the
-    number of matches and the first and last matched place; of equal alignments the shortest
-    and then the earliest.
-    """
-    best: dict[int, tuple[int, int]] = {}  # last place -> (matches, first place)
-    top = (0, 0, 0)
-    for i, word in enumerate(template):
-        start = max(0, low + i - band)
-        end = min(len(words), low + i + band + 1)
-        found = [int(j) + start for j in np.flatnonzero(words[start:end] == word)]
-        new = {}
-        for j in found:
-            before = [(n, first) for last, (n, first) in best.items() if last < j]
-            n, first = max(before, default=(0, j))
-            new[j] = (n + 1, first if n else j)
-        for j, entry in new.items():
-            if entry > best.get(j, (0, -1)):
-                best[j] = entry
-    for last, (n, first) in best.items():
-        top = max(top, (n, -(last - first), -first), key=lambda x: x) if n else top
-    n, span, first = top
-    return n, -first, -first - span
-
-
-def spans(template: np.ndarray, words: np.ndarray, need: int, most: int) -> list[tuple[int, int, int]]:
+def align(
+    template: np.ndarray, words: np.ndarray, need: int, most: int, band: tuple[int, int] | None = None
+) -> list[tuple[int, int, int]]:
     """``matches, first, last`` for every place of ``words`` at which template words in order
     may end: the most matches, at least ``need``, inside ``most`` words, and then the
-    latest beginning."""
+    latest beginning. Template word ``i`` may match word ``j`` only if ``j - i`` is in the
+    ``band``, its two ends included."""
     size = len(template)
+    low, high = band or (-size, len(words))
     # By words of the template used and matches, the latest place of the first match.
     latest = np.full((size + 1, size + 1), -most, np.int64)
     places = {int(w): np.flatnonzero(template == w)[::-1].tolist() for w in np.unique(template)}
     out = []
     for j, word in enumerate(words.tolist()):
-        if word not in places:
-            continue
         ended = np.full(size + 1, -most, np.int64)
-        for i in places[word]:
-            new = np.concatenate([[-most, j], latest[i, 1:size]])
-            np.maximum(latest[i + 1 :], new, out=latest[i + 1 :])
-            np.maximum(ended, new, out=ended)
+        for i in places.get(word, ()):
+            if low <= j - i <= high:
+                new = np.concatenate([[-most, j], latest[i, 1:size]])
+                np.maximum(latest[i + 1 :], new, out=latest[i + 1 :])
+                np.maximum(ended, new, out=ended)
         fit = np.flatnonzero(j - ended[need:] < most)
         if len(fit):
             n = int(fit[-1]) + need
@@ -116,79 +94,142 @@ def spans(template: np.ndarray, words: np.ndarray, need: int, most: int) -> list
     return out
 
 
+def fingerprints(template: np.ndarray, need: int) -> tuple[int, np.ndarray, int]:
+    """Words of a fingerprint, the places of those that are kept, and how many of them every
+    span with ``need`` of the template's words has at least.
+
+    Each of the ``n - need`` words that a span may lack breaks two pairs of neighbours at
+    most. The pairs left follow each other inside ``2 * n`` words, so that few of them
+    can be more than ``REACH`` words wide. The widest window that promises four fingerprints
+    is taken, else all pairs; where these promise none, single words are the fingerprints.
+    """
+    n = len(template)
+    lost = 2 * (n - need) + (2 * n - 1) // (REACH + 1)
+    for window in range(WINDOW, 0, -1):
+        kept = winnow(grams(template), window)
+        if len(kept) - lost >= (4 if window > 1 else 1):
+            return GRAM, kept, len(kept) - lost
+    return 1, np.arange(n), need
+
+
 class Index:
-    """The words of all templates and how often each template has them."""
+    """The inverted index: fingerprints of all templates and where each template has them."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float):
         self.names = list(templates)
-        texts = pa.array([templates[n] for n in self.names], pa.string())
-        hashes, before = word_hashes(texts, ALNUM)
+        hashes, before = word_hashes(pa.array([templates[n] for n in self.names], pa.string()), ALNUM)
         self.words = [hashes[before[i] : before[i + 1]] for i in range(len(self.names))]
+        self.need = [max(1, math.ceil(coverage * len(w) - 1e-9)) for w in self.words]
         self.known = np.unique(hashes)
-        self.times = [np.bincount(np.searchsorted(self.known, w), minlength=len(self.known)) for w in self.words]
+        self.promised, self.equal = [], []
+        entries: dict[int, list[tuple[int, int, int]]] = {1: [], GRAM: []}
+        for t, (words, need) in enumerate(zip(self.words, self.need)):
+            size, kept, promised = fingerprints(words, need)
+            self.promised.append(promised)
+            values = grams(words, size)
+            # Equal fingerprints of the template: the number of each place's, and their times.
+            name = np.zeros(len(words), np.int64)
+            _, name[kept], times = np.unique(values[kept], return_inverse=True, return_counts=True)
+            self.equal.append((name, times))
+            entries[size] += [(int(values[i]), t, int(i)) for i in kept]
+        self.postings = {}
+        for size, found in entries.items():
+            found.sort()
+            value = np.array([v for v, _, _ in found], np.uint64)
+            prints, first = np.unique(value, return_index=True)
+            at = np.array([(t, i) for _, t, i in found], np.int64).reshape(-1, 2)
+            self.postings[size] = prints, np.append(first, len(found)), at
+
+    def _look_up(self, size: int, values: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Rows ``template, its place, place`` of the ``values`` found at ``places``."""
+        prints, first, at = self.postings[size]
+        if not len(prints):
+            return np.zeros((0, 3), np.int64)
+        found = np.minimum(np.searchsorted(prints, values), len(prints) - 1)
+        hit = prints[found] == values
+        found, places = found[hit], places[hit]
+        times = first[found + 1] - first[found]
+        entry = np.repeat(first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.column_stack([at[entry], np.repeat(places, times)])
+
+    def hits(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Rows ``template, its place, place`` of all fingerprints in the texts, the place of
+        the first word counted over all texts. ``before``: words before each text."""
+        if not len(self.known) or not len(words):
+            return np.zeros((0, 3), np.int64)
+        inside = self.known[np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)] == words
+        at = np.flatnonzero(inside)
+        end = before[np.searchsorted(before, at, "right")]
+        begun = mix(words[at])
+        out = [self._look_up(1, begun, at)]
+        for apart in range(1, REACH + 1):
+            second = at + apart
+            both = second < end
+            both[both] = inside[second[both]]
+            out.append(self._look_up(GRAM, mix(begun[both] + words[second[both]]), at[both]))
+        return np.concatenate(out)
 
-    def places(self, words: np.ndarray, before: np.ndarray, need: list[int]) -> list[tuple[int, int, int]]:
-        """``template, first, end`` of the stretches of words that can hold a span.
+    def places(self, words: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int, int, tuple[int, int]]]:
+        """``text, template, first, end, band`` of the stretches of words that can hold a span.
 
-        A span of a template of ``n`` words lies in a window of ``2 * n`` words; the window
-        has at least as many of the template's words, each counted no oftener than in the
-        template. All windows with so many are joined. ``before``: words before each text.
+        Hits of a template are chained: a span has as many as are promised inside ``2 * n``
+        words, and its other words are no farther from them. Stretches that overlap are one.
+        The band has the diagonals of the hits and those that a span may reach from them.
         """
-        found = np.minimum(np.searchsorted(self.known, words), max(0, len(self.known) - 1))
-        hits = np.flatnonzero(self.known[found] == words)
-        # Texts stand so far apart that no window has words of two.
-        gap = 2 * max(len(w) for w in self.words)
-        shift = gap * (np.searchsorted(before, hits, "right") - 1)
-        order = np.argsort(found[hits], kind="stable")
-        word, place = found[hits][order], (hits + shift)[order]
+        hits = self.hits(words, before)
+        # Texts stand so far apart that no stretch has words of two.
+        gap = 4 * max((len(w) for w in self.words), default=0)
+        begins = before + gap * np.arange(len(before))
         out = []
-        for t, times in enumerate(self.times):
-            own = times[word] > 0
-            w, at, width = word[own], place[own], 2 * len(self.words[t])
-            if len(at) < need[t]:
-                continue
-            # A word counts in windows that begin after its ``times``-th predecessor.
-            earlier = np.arange(len(at)) - times[w]
-            same = (earlier >= 0) & (w[np.maximum(earlier, 0)] == w)
-            since = np.maximum(at - width, np.where(same, at[np.maximum(earlier, 0)], -1 - gap)) + 1
-            edges, index = np.unique(np.concatenate([since, at + 1]), return_inverse=True)
-            change = np.bincount(index[: len(at)], minlength=len(edges)) - np.bincount(index[len(at) :], minlength=len(edges))
-            enough = np.flatnonzero(np.cumsum(change) >= need[t])
-            stretches: list[list[int]] = []
-            for low, high in zip(edges[enough].tolist(), (edges[enough + 1] - 1 + width).tolist()):
-                if stretches and low <= stretches[-1][1]:
-                    stretches[-1][1] = high
-                else:
-                    stretches.append([low, high])
-            at.sort()
-            for low, high in stretches:
-                i, k = np.searchsorted(at, [low, high])
-                # Only template words matter; a long stretch may pass over the ends of texts.
-                part = at[i:k]
-                for cut in np.split(part, np.flatnonzero(np.diff(part) >= gap) + 1):
-                    text = np.searchsorted(before + gap * np.arange(len(before)), cut[0], "right") - 1
-                    out.append((t, int(cut[0] - gap * text), int(cut[-1] - gap * text) + 1))
+        for t, (template, need, promised) in enumerate(zip(self.words, self.need, self.promised)):
+            own = hits[hits[:, 0] == t, 1:]
+            at = own[:, 1] + gap * (np.searchsorted(before, own[:, 1], "right") - 1)
+            order = np.argsort(at, kind="stable")
+            at, diagonal = at[order], (at - own[:, 0])[order]
+            reach = 2 * len(template) - 1
+            # A fingerprint that the template has k times counts up to k times in a window:
+            # in windows that begin after its k-th predecessor.
+            name, times = self.equal[t]
+            found = np.unique(np.column_stack([name[own[:, 0][order]], at]), axis=0)
+            kind, place = found[:, 0], found[:, 1]
+            earlier = np.arange(len(found)) - times[kind]
+            again = earlier >= 0
+            again[again] = kind[earlier[again]] == kind[again]
+            since = np.maximum(place - reach, np.where(again, place[np.maximum(earlier, 0)] + 1, -gap - reach))
+            starts, index = np.unique(np.concatenate([since, place + 1]), return_inverse=True)
+            change = np.bincount(index[: len(place)], minlength=len(starts)) - np.bincount(index[len(place) :], minlength=len(starts))
+            enough = np.flatnonzero(np.cumsum(change) >= promised)
+            lows, highs = starts[enough], starts[np.minimum(enough + 1, len(starts) - 1)] + reach
+            cuts = np.flatnonzero(lows[1:] > highs[:-1]) + 1
+            slack = reach + 1 - need
+            for low, high in zip(np.split(lows, cuts), np.split(highs, cuts)):
+                if not len(low):
+                    continue
+                first, end = int(low[0]), int(high[-1])
+                seen = diagonal[np.searchsorted(at, first) : np.searchsorted(at, end)]
+                text = int(np.searchsorted(begins, at[np.searchsorted(at, first)], "right")) - 1
+                start = max(first - gap * text, int(before[text]))
+                shift = start + gap * text
+                band = int(seen.min()) - slack - shift, int(seen.max()) + slack - shift
+                out.append((text, t, start, min(end - gap * text, int(before[text + 1])), band))
         return out
 
-    def matches(self, words: np.ndarray, before: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+    def matches(self, words: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``text, template, matched words, first, last`` of the spans that cover enough,
         places counted over all texts.
 
         Of spans of a template that overlap, the one with more matches stays, of equal ones
         the shorter and then the earlier.
         """
-        need = [max(1, math.ceil(coverage * len(w) - 1e-9)) for w in self.words]
-        if not need:
-            return []
         out = []
-        for t, low, high in self.places(words, before, need):
+        for text, t, low, high, band in self.places(words, before):
             template = self.words[t]
-            found = spans(template, words[low:high], need[t], 2 * len(template))
+            found = align(template, words[low:high], self.need[t], 2 * len(template), band)
             taken = np.zeros(high - low, bool)
             for n, first, last in sorted(found, key=lambda s: (-s[0], s[2] - s[1], s[1])):
                 if not taken[first : last + 1].any():
                     taken[first : last + 1] = True
-                    out.append((int(np.searchsorted(before, low, "right")) - 1, t, n, low + first, low + last))
+                    out.append((text, t, n, low + first, low + last))
         return sorted(out, key=lambda s: (s[0], s[1], s[3]))
 
 
@@ -209,8 +250,9 @@ def scan(
     coverage, matched_words, first_word, last_word, start_byte, end_byte``.
 
     ``coverage`` is the share of the template's words that stand in the span in order; byte
-    places are in the UTF-8 text, the end exclusive. A span is shorter than twice the template. Words are runs of letters and digits,
-    ASCII letters without case. Null and empty texts have no spans, null ids are kept,
+    places are in the UTF-8 text, the end exclusive. A span is at most twice as long as the template;
+    no such span is lost (:func:`fingerprints`). Words are runs of letters and digits, ASCII
+    letters without case. Null and empty texts have no spans, null ids are kept,
     repeated rows give repeated spans, other columns are ignored. The templates are
     broadcast; they are an argument and do not grow with the data.
     """
@@ -218,7 +260,7 @@ def scan(
         raise ValueError("a template needs a word")
 
     def run(batches):
-        index = Index(templates)
+        index = Index(templates, coverage)
         for batch in pieces(batches, "text", 2 << 20):
             texts = batch.column("text")
             hashes, before = word_hashes(texts, ALNUM)
@@ -226,7 +268,7 @@ def scan(
             sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(texts).to_numpy())])
             out = []
             ids = batch.column("doc_id")
-            for i, t, n, first, last in index.matches(hashes, before, coverage):
+            for i, t, n, first, last in index.matches(hashes, before):
                 begin, end = starts[first] - sizes[i], ends[last] - sizes[i]
                 share, first_word = n / len(index.words[t]), int(before[i])
                 place = (first - first_word, last - first_word, int(begin), int(end))

@@ -186,12 +186,27 @@ def test_license_spans_with_words_put_in(make):
     assert got == {0: ("MIT-notice", 1.0, 0, 7), 1: ("Apache-2.0-notice", 1.0, 0, 10), 2: ("MIT-notice", 0.8, 0, 4)}
 
 
-def test_license_places_equal_unbanded_alignment():
+def plain_alignment(template, words):
+    """Most template words in order in ``words``: matches, first and last place; of equal
+    alignments the shortest and then the earliest."""
+    best = {}
+    for i in range(len(template)):
+        new = {}
+        for j in [j for j in range(len(words)) if words[j] == template[i]]:
+            n, first = max((x for last, x in best.items() if last < j), default=(0, j))
+            new[j] = max(best.get(j, (0, -1)), (n + 1, first))
+        best |= new
+    n, span, first = max(((n, first - last, -first) for last, (n, first) in best.items()), default=(0, 0, 0))
+    return n, -first, -first - span
+
+
+@pytest.mark.parametrize("coverage", [0.7, 1.0])
+def test_license_places_equal_unbanded_alignment(coverage):
     """All windows aligned without a band against the spans of the scan."""
     rng = random.Random(7)
-    templates = {"a": "p q r s q", "b": "q t u p q v w p"}
-    index = licenses.Index(templates)
-    texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(rng.randrange(40))) for _ in range(400)]
+    templates = {"a": "p q r s q", "b": "q t u p q v w p", "c": "t", "d": "u v"}
+    index = licenses.Index(templates, coverage)
+    texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(rng.randrange(40))) for _ in range(200)]
     hashes, before = word_hashes(pa.array(texts))
     want = []
     for i in range(len(texts)):
@@ -200,15 +215,57 @@ def test_license_places_equal_unbanded_alignment():
             most, found, taken = 2 * len(template), set(), set()
             for start in range(len(words_of)):
                 for end in range(start + 1, min(len(words_of), start + most) + 1):
-                    n, first, last = licenses.align(template, words_of[start:end], 0, most * 2)
-                    if n >= 0.7 * len(template):
+                    n, first, last = plain_alignment(template, words_of[start:end])
+                    if n >= index.need[t]:
                         found.add((-n, last - first, start + first, start + last))
             for n, _, first, last in sorted(found):
                 if not taken & set(range(first, last + 1)):
                     taken |= set(range(first, last + 1))
                     want.append((i, t, -n, int(before[i]) + first, int(before[i]) + last))
-    got = index.matches(hashes, before, 0.7)
-    assert len(got) > 20 and sorted(got) == sorted(want)
+    assert len(want) > 20 and sorted(index.matches(hashes, before)) == sorted(want)
+
+
+def whole_alignment(index, hashes, before):
+    """The spans that an alignment of whole texts without a band finds."""
+    want = set()
+    for i in range(len(before) - 1):
+        part = hashes[before[i] : before[i + 1]]
+        for t, template in enumerate(index.words):
+            taken = set()
+            found = licenses.align(template, part, index.need[t], 2 * len(template))
+            for n, first, last in sorted(found, key=lambda s: (-s[0], s[2] - s[1], s[1])):
+                if not taken & set(range(first, last + 1)):
+                    taken |= set(range(first, last + 1))
+                    want.add((i, t, n, int(before[i]) + first, int(before[i]) + last))
+    return want
+
+
+@pytest.mark.parametrize("coverage", [0.2, 0.4, 0.8])
+def test_license_places_lose_no_span_at_any_coverage(coverage):
+    rng = random.Random(11)
+    index = licenses.Index({"a": "p q r s q", "b": "q t u p q v w p", "c": "t", "d": "u v"}, coverage)
+    texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(rng.randrange(60))) for _ in range(200)]
+    hashes, before = word_hashes(pa.array(texts))
+    want = whole_alignment(index, hashes, before)
+    assert len(want) > 20 and set(index.matches(hashes, before)) == want
+
+
+def test_license_places_of_edited_templates_equal_whole_alignment():
+    """Long templates, cut, worn and filled with their own and other words."""
+    index = licenses.Index(licenses.TEMPLATES, 0.8)
+    assert {licenses.fingerprints(w, n)[0] for w, n in zip(index.words, index.need)} == {licenses.GRAM}
+    assert any(len(licenses.fingerprints(w, n)[1]) < len(w) - 1 for w, n in zip(index.words, index.need))
+    rng, texts = random.Random(3), []
+    for _ in range(150):
+        words_of = rng.choice(list(licenses.TEMPLATES.values())).split()
+        drop, put = rng.choice([0, 0.1, 0.2]), rng.choice([0, 0.2, 0.5, 0.9])
+        text = [rng.choice(["x", "the", "of"]) for _ in range(rng.randrange(9))]
+        for w in words_of:
+            text += [w] * (rng.random() >= drop) + [rng.choice(["x", "y", *words_of])] * (rng.random() < put)
+        texts.append(" ".join(text))
+    hashes, before = word_hashes(pa.array(texts))
+    want = whole_alignment(index, hashes, before)
+    assert len(want) > 80 and set(index.matches(hashes, before)) == want
 
 
 def test_alignment_equals_dynamic_programming():
@@ -218,9 +275,10 @@ def test_alignment_equals_dynamic_programming():
         table = np.zeros((len(t) + 1, len(w) + 1), int)
         for i in range(len(t)):
             for j in range(len(w)):
-                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + (t[i] == w[j]))
-        n, first, last = licenses.align(t, w, 0, 20)
-        assert n == table[-1, -1]
+                table[i + 1, j + 1] = max(table[i, j] + (t[i] == w[j]), table[i, j + 1], table[i + 1, j])
+        found = licenses.align(t, w, 1, len(w))
+        n, first, last = max(found, key=lambda s: (s[0], s[1] - s[2], -s[1]), default=(0, 0, 0))
+        assert n == table[-1, -1] and (n, first, last) == plain_alignment(t, w)
         assert n == 0 or (0 <= first <= last < len(w))
 
 
