@@ -96,8 +96,11 @@ def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def mixture(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chosen documents: ``doc_id``, the levels, ``epoch``, ``n_tokens``, ``taken``.
+def mixture(
+    df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False
+) -> DataFrame:
+    """The chosen documents: ``doc_id``, the levels, ``epoch``, ``n_tokens``, ``taken``; on
+    request ``text_sha256``, which with the id names a row.
 
     A leaf whose budget is more than its tokens is used whole once or several times; of the
     last epoch it gives a prefix in that epoch's order, the md5 of seed, epoch and id. The
@@ -115,6 +118,7 @@ def mixture(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "
             F.col(id_col).cast("long").alias("_id"),
             *[F.coalesce(e.cast("string"), F.lit("")).alias(n) for n, e in plan.levels.items()],
             token_count(F.col(text_col)).alias("n_tokens"),
+            *([F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256")] if with_digest else []),
         ),
         "mixture",
     )
@@ -127,7 +131,7 @@ def mixture(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "
         F.ceil(F.col("docs") / RANGE_ROWS).alias("_ranges"),
     )
     used = rows.join(budgets, names)
-    out = [F.col("_id").alias("doc_id"), *names, "epoch", "n_tokens", "taken"]
+    out = [F.col("_id").alias("doc_id"), *names, "epoch", "n_tokens", "taken", *(["text_sha256"] if with_digest else [])]
     whole = (
         used.where("_full > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1)))
@@ -147,8 +151,9 @@ def mixture(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "
     sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long")))
     placed = last.join(sums, [*names, "_range"]).where("_start < _rest")
     inside = placed.where("_start + _sum <= _rest").withColumn("taken", F.col("n_tokens"))
+    order = ["_place", "n_tokens", *(["text_sha256"] if with_digest else [])]
     within = (
-        Window.partitionBy(*names, "_range").orderBy("_place", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*names, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     edge = (
         placed.where("_start + _sum > _rest")

@@ -97,15 +97,16 @@ def _signatures(documents: DataFrame) -> DataFrame:
                     classes.append(hashlib.blake2b(raw, digest_size=16).digest())
                     sketches.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "text_class", "sketches"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(classes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "text_class", "sketches"],
             )
 
-    return documents.mapInArrow(run, "doc_id long, text_class binary, sketches array<long>")
+    return documents.mapInArrow(run, "doc_id long, digest string, text_class binary, sketches array<long>")
 
 
 def _kmers_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, kmers`` for ``wanted(node, doc_id, text_class)``: labelled k-mers, 4 bytes each."""
+    """``node, kmers`` for ``wanted(node, doc_id, digest, text_class)``: labelled k-mers, 4 bytes
+    each. A text is found by id and digest, so that rows without an id are not one key."""
 
     def run(batches):
         for batch in pieces(batches, "text", 2 << 20):
@@ -118,8 +119,9 @@ def _kmers_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(kmers(words).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "kmers"])
 
-    rows = wanted.withColumnRenamed("doc_id", "_doc")
-    joined = documents.join(rows, documents.doc_id.eqNullSafe(rows._doc)).select("node", "text_class", "text")
+    rows = wanted.withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
+    same = documents.doc_id.eqNullSafe(rows._doc) & (documents.digest == rows._digest)
+    joined = documents.join(rows, same).select("node", "text_class", "text")
     # A repeated row gives its node twice.
     return joined.mapInArrow(run, "node long, kmers binary").dropDuplicates(["node"])
 
@@ -251,8 +253,11 @@ def _remaining(buckets: DataFrame, group: DataFrame, members: DataFrame, thresho
     return shipped.select("bucket", "p", "q", "node", "root", "kmers").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, class_size, kept`` for every row of ``df``.
+def near_duplicates(
+    df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False
+) -> DataFrame:
+    """``doc_id, class_id, class_size, kept`` for every row of ``df``; on request ``text_sha256``,
+    which with the id names a row.
 
     Classes are the connected components of the texts whose runs of five words have an
     aligned similarity of at least ``threshold`` (:func:`similarity`); ``class_id`` is the
@@ -260,14 +265,18 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     case. Texts of fewer than five words are one run; texts without words, also null and
     empty ones, are alike only if they are equal. Texts with equal words are compared once.
     Rows that repeat an id and a text are in one class; null ids are kept as rows and name a
-    class only if no other id is in it, ``kept`` marks the rows with the class's id. An
-    empty table gives no rows, other columns are ignored.
+    class only if no other id is in it. ``kept`` marks the row with the class's id, of several
+    texts with that id the one of the smallest digest; rows that repeat it are marked alike.
+    An empty table gives no rows, other columns are ignored.
     """
-    documents = documents_of(df, id_col, text_col)
+    documents = documents_of(df, id_col, text_col).withColumn("digest", F.sha2("text", 256))
     signed = scratch(_signatures(documents), "signatures")
+    # The smallest id, null last, and of its texts the one of the smallest digest.
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest"))
     classes = scratch(
         signed.groupBy("text_class")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sketches").alias("sketches"))
+        .agg(first_row.alias("row"), F.count("*").alias("n"), F.first("sketches").alias("sketches"))
+        .select("text_class", "row.doc_id", "row.digest", "n", "sketches")
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
@@ -277,7 +286,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = scratch(exploded.join(sizes, "bucket"), "buckets")
     stars = scratch(_stars(buckets), "stars")
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_class")
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest", "text_class")
     members = scratch(_kmers_of(documents, wanted), "members")
     links = scratch(_verify_stars(stars, members, threshold), "star-links")
     groups = connected_components(links)
@@ -286,10 +295,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     more = scratch(_remaining(buckets, group, members, threshold), "more-links")
     roots = connected_components(links.unionByName(more))
     named = classes.join(roots, "node", "left").select(
-        "text_class", "doc_id", "n", F.coalesce("root", "node").alias("root")
+        "text_class", "doc_id", "digest", "n", F.coalesce("root", "node").alias("root")
     )
-    by_root = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    by_class = named.join(by_root, "root").select("text_class", "class_id", "class_size")
+    by_root = named.groupBy("root").agg(first_row.alias("first"), F.sum("n").alias("class_size"))
+    by_class = named.join(by_root, "root").select("text_class", "first", "class_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     return signed.join(by_class, "text_class").select(
-        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+        "doc_id",
+        F.col("first.doc_id").alias("class_id"),
+        "class_size",
+        kept.alias("kept"),
+        *([F.col("digest").alias("text_sha256")] if with_digest else []),
     )

@@ -1,8 +1,10 @@
 """Budgets along the tree, token prefixes, SQL of the corpus queries, the pipeline."""
 
+import random
 from collections import Counter
 
 import pytest
+from conftest import words
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
@@ -107,6 +109,23 @@ def test_pipeline_of_odd_rows(spark, odd, nothing):
         assert docs.count() > 0 or start is nothing
 
 
+def test_pipeline_decides_by_id_and_text(spark, make):
+    """Rows that share an id, or have none, are kept and dropped one by one."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    base = words(rng, 80)
+    rows = [(7, " ".join(base)), (7, " ".join([*base[:-1], "end"])), (None, " ".join(["start", *base[1:]]))]
+    rows += [(i % 3 or None, " ".join(words(rng, 40, 10**6))) for i in range(60)]
+    docs = make(rows, clash=True)
+    near = pipeline.near_copies(spark, docs, "")
+    assert near.columns == docs.columns and near.count() == 61
+    assert near.where("doc_id = 7").count() == 1
+    mixed = pipeline.mix_sources(spark, near, "")
+    chosen = mixing.mixture(near, queries.mix_plan(share=0.8, epochs=1))
+    assert mixed.columns == docs.columns and mixed.count() == chosen.count() < 61
+
+
 def test_pipeline_equals_brute_force(spark):
     """Each stage on what the one before kept, against plain Python and DuckDB."""
     import duckdb

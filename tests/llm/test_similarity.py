@@ -290,3 +290,21 @@ def test_winnowing_keeps_common_runs():
         prints = [set(licenses.grams(x)[licenses.winnow(licenses.grams(x))].tolist()) for x in (a, b)]
         assert prints[0] & prints[1]
     assert ALNUM[ord("z")] and not ALNUM[ord("_")]
+
+
+def test_near_duplicates_without_ids_or_with_one_id(spark, make, monkeypatch):
+    """Texts without an id are joined to their own rows only; of texts with one id one is kept."""
+    rng = random.Random(12)
+    base = words(rng, 60)
+    rows = [(None, " ".join(words(rng, 20, 10**6))) for _ in range(300)]
+    rows += [(5, " ".join(base)), (5, " ".join([*base[:-1], "end"])), (6, " ".join(["start", *base[1:]]))]
+    rows += [(None, " ".join([*base, "more"])), (5, "quite another text that has nothing near")]
+    got = near_dedup.near_duplicates(make(rows), with_digest=True).collect()
+    assert len(got) == len(rows)
+    near = [r for r in got if r.class_size == 4]
+    assert len(near) == 4 and {r.class_id for r in near} == {5} and sum(r.kept for r in near) == 1
+    assert sum(r.kept for r in got) == 302
+    assert [r.class_size for r in got if r.doc_id == 5 and r.kept] in ([4, 1], [1, 4])
+    frame = near_dedup.documents_of(make(rows)).withColumn("digest", near_dedup.F.sha2("text", 256))
+    signed = near_dedup._signatures(frame).selectExpr("monotonically_increasing_id() AS node", "doc_id", "digest", "text_class")
+    assert near_dedup._kmers_of(frame, signed).count() == len(rows)
