@@ -73,22 +73,35 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies; relative to their mean, since only differences count.
+def _log_frequencies(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log frequencies of ``counts`` by key and language; relative to their mean,
+    since only differences count.
 
     Smoothing adds a tenth of a count per row, dealt as the counts of all languages are: a
     language of which little was seen differs little from all together and favours nothing.
     """
-    if not rows:
-        return {}, np.zeros((0, len(languages)))
-    counts = np.zeros((len(rows), len(languages)))
-    place = {x: i for i, x in enumerate(languages)}
-    for i, row in enumerate(rows):
-        for x in row.langs:
-            counts[i, place[x.lang]] = x.n
-    total, added = counts.sum(axis=1, keepdims=True), 0.1 * len(rows)
+    if not counts.size:
+        return counts
+    total, added = counts.sum(axis=1, keepdims=True), 0.1 * len(counts)
     scores = np.log(counts + added * total / total.sum()) - np.log(counts.sum(axis=0) + added)
-    return {row.key: i for i, row in enumerate(rows)}, scores - scores.mean(axis=1, keepdims=True)
+    return scores - scores.mean(axis=1, keepdims=True)
+
+
+def _tables(counted: DataFrame, languages: list[str]) -> dict[str, tuple[dict[str, int], np.ndarray]]:
+    """By kind the row of each key and the counts by language. The counts of a key are one
+    row of numbers, so that tables come to the driver as Arrow columns."""
+    by_language = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages]
+    by_key = counted.groupBy("kind", "key").agg(F.array(*by_language).alias("counts"))
+    found = by_key.orderBy("kind", "key").toArrow()
+    kinds = np.array(found.column("kind").to_pylist(), dtype=object)
+    keys = found.column("key").to_pylist()
+    counts = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    counts = counts.astype(float).reshape(len(keys), len(languages))
+    out = {}
+    for kind in ("w", "g"):
+        rows = np.flatnonzero(kinds == kind)
+        out[kind] = {keys[i]: at for at, i in enumerate(rows)}, counts[rows]
+    return out
 
 
 def fit(
@@ -97,15 +110,12 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     max_rows: int = 3000,
-    max_words: int = 60_000,
-    max_grams: int = 60_000,
 ) -> Model:
     """Learn from rows with a language.
 
     The sample is bounded: of every language ``max_rows`` rows with the smallest seeded
-    hashes of the id; of their whole texts the ``max_words`` commonest words and
-    ``max_grams`` commonest n-grams, ties by key. Without rows nothing is known and every
-    text is predicted as unknown.
+    hashes of the id. All words and n-grams of their whole texts are learned. Without rows
+    nothing is known and every text is predicted as unknown.
     """
     rows = df.where(F.col(lang_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -150,23 +160,14 @@ def fit(
             )
 
     counted = sample.repartition(16, "_h", "_n").select("text", "lang").mapInArrow(count, "kind string, key string, lang string, n long")
-    by_key = (
-        counted.groupBy("kind", "key", "lang")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("kind", "key")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs"))
-    )
-    common = {
-        kind: by_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).collect()
-        for kind, most in (("w", max_words), ("g", max_grams))
-    }
     documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(documents)
-    prior = np.log(np.array([documents[x] for x in languages], float) / max(1, sum(documents.values())))
-    words, word_scores = _log_frequencies(common["w"], languages)
-    grams, gram_scores = _log_frequencies(common["g"], languages)
-    grams = {gram: i + len(words) for gram, i in grams.items()}
-    return Model(languages, prior, words, grams, np.concatenate([word_scores, gram_scores]))
+    if not languages:
+        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0)))
+    prior = np.log(np.array([documents[x] for x in languages], float) / sum(documents.values()))
+    tables = _tables(counted, languages)
+    words, grams = tables["w"][0], {gram: i + len(tables["w"][0]) for gram, i in tables["g"][0].items()}
+    return Model(languages, prior, words, grams, np.concatenate([_log_frequencies(tables[k][1]) for k in "wg"]))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
