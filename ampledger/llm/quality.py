@@ -20,6 +20,8 @@ LEVEL = 3
 #: by its compression, an empty one by the share alone.
 SMOOTH = 64
 SEED = 7
+#: Bytes of pieces from which one task trains a dictionary.
+GROUP_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -65,24 +67,22 @@ def evidence(text: bytes, good, bad) -> tuple[float, float]:
     return (with_bad - with_good) / (len(text) + SMOOTH), len(text) / (len(text) + SMOOTH)
 
 
-def _sampled_pieces(rows: DataFrame, per_text: int) -> DataFrame:
-    """``label, piece``: at most ``per_text`` pieces of each text, evenly spread over it."""
+def _cut(rows: DataFrame) -> DataFrame:
+    """``label, seed, i, piece``: all pieces of the texts of ``rows(label, seed, text)``."""
 
     def cut(batches):
         for batch in pieces(batches, "text"):
-            labels, out = [], []
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                data = text.encode()
-                starts = list(range(0, len(data), PIECE))
-                step = max(1, -(-len(starts) // per_text))
-                for i in starts[::step]:
-                    labels.append(label)
-                    out.append(data[i : i + PIECE])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["label", "piece"]
-            )
-
-    return rows.mapInArrow(cut, "label int, piece binary")
+            out: tuple[list, list, list, list] = [], [], [], []
+            for label, seed, text in zip(*(batch.column(c).to_pylist() for c in ("label", "seed", "text"))):
+                for i in range(0, len(text), PIECE):
+                    for column, value in zip(out, (label, seed, i, text[i : i + PIECE])):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["label", "seed", "i", "piece"])
+
+    return rows.select("label", "seed", F.col("text").cast("binary").alias("text")).mapInArrow(
+        cut, "label int, seed long, i long, piece binary"
+    )
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -95,6 +95,30 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:] or b"\n" * 8
 
 
+def _dictionaries(rows: DataFrame, size: int) -> dict[int, bytes]:
+    """A dictionary for each label from all pieces of ``rows(label, seed, text)``.
+
+    Tasks train on groups of about ``GROUP_BYTES``; if a label has several, the pieces of
+    their dictionaries are the samples of the next level, until one is left.
+    """
+
+    def train(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("seed", "ascending"), ("i", "ascending")])
+        made = _dictionary(table.column("piece").to_pylist(), size)
+        columns = {"label": table.column("label")[:1], "seed": table.column("_part")[:1], "text": pa.array([made], pa.binary())}
+        return pa.table(columns)
+
+    while True:
+        held = {r.label: r.bytes for r in rows.groupBy("label").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+        groups = {label: max(1, -(-n // GROUP_BYTES)) for label, n in held.items()}
+        parts = F.coalesce(*[F.when(F.col("label") == k, F.lit(n)) for k, n in groups.items()], F.lit(1))
+        dealt = _cut(rows).withColumn("_part", F.pmod(F.xxhash64("seed", "i"), parts))
+        trained = dealt.groupBy("label", "_part").applyInArrow(train, "label int, seed long, text binary")
+        if all(n == 1 for n in groups.values()):
+            return {r.label: bytes(r.text) for r in trained.collect()}
+        rows = scratch(trained, "quality-dictionaries")
+
+
 def _measured(df: DataFrame, text_col: str, good: bytes, bad: bytes, out: str) -> DataFrame:
     """``df`` with the text's evidence as struct column ``out(x, w)``."""
     kind = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("w", T.DoubleType())])
@@ -132,15 +156,14 @@ def fit(
     text_col: str = "text",
     label_col: str = "label",
     max_rows: int = 3000,
-    max_pieces: int = 8,
     dictionary_bytes: int = 112 << 10,
 ) -> Model:
     """Train on the documents that ``labels(id, label)`` marks with 0 or 1.
 
     A sample of at most ``max_rows`` labels of each kind, the smallest seeded hashes of the
     id, bounds what is read into the model: the sampled ids are broadcast to the documents,
-    ``max_pieces`` pieces of each text of two thirds of them build the dictionaries, and the
-    whole texts of the others fit the calibration curve. Null ids and labels are left out,
+    the whole texts of two thirds of them build the dictionaries, and the whole texts of the
+    others fit the calibration curve. Null ids and labels are left out,
     a document with several labels counts for each. Without documents of both labels every
     score is the smoothed share of label 1 (one half if there are no labels).
     """
@@ -153,13 +176,12 @@ def fit(
     texts = documents.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = scratch(
         texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select(
-            "text", "label", F.pmod(F.xxhash64("_h"), F.lit(3)).alias("_part")
+            "text", "label", F.xxhash64("_h", "text").alias("seed"), F.pmod(F.xxhash64("_h"), F.lit(3)).alias("_part")
         ),
         "quality-sample",
     )
-    samples = _sampled_pieces(held.where("_part < 2").select("label", "text"), max_pieces).collect()
-    good = _dictionary([bytes(r.piece) for r in samples if r.label == 1], dictionary_bytes)
-    bad = _dictionary([bytes(r.piece) for r in samples if r.label == 0], dictionary_bytes)
+    trained = _dictionaries(held.where("_part < 2").select("label", "seed", "text"), dictionary_bytes)
+    good, bad = (trained.get(label) or _dictionary([], dictionary_bytes) for label in (1, 0))
     rest = held.where("_part = 2").select(F.col("text").alias("_text"), "label")
     points = _measured(rest, "_text", good, bad, "_e").select("_e.x", "_e.w", "label").collect()
     x = np.array([(p.x, p.w) for p in points], float).reshape(-1, 2)

@@ -57,13 +57,58 @@ def test_language_of_few_rows(spark):
 
 
 def test_language_without_counts_is_not_favoured():
-    row = lambda key, n: type("Row", (), {"key": key, "langs": [type("N", (), {"lang": "a", "n": n})()]})()
-    rows = [row(f"w{i}", 1 + i % 3) for i in range(1000)]
-    place, scores = language._log_frequencies([*rows, row("often", 600_000)], ["a", "b"])
-    own = scores[place["w0"]]
+    counts = np.array([[1 + i % 3, 0] for i in range(1000)] + [[600_000, 0]], float)
+    own = language._log_frequencies(counts)[0]
     assert own[1] - own[0] < 1
 
 
+def plain_language(train, probe):
+    """Word-first backoff by dictionaries of counts, text by text."""
+    languages = sorted({x for _, x in train})
+    split = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = {"w": {}, "g": {}}
+    for text, lang in train:
+        for w in split(text):
+            tables["w"].setdefault(w, Counter())[lang] += 1
+            for n in (1, 2, 3, 4):
+                for g in grams(w, n):
+                    tables["g"].setdefault(g, Counter())[lang] += 1
+    score = {}
+    for kind, rows in tables.items():
+        everything = sum(sum(c.values()) for c in rows.values())
+        of = {x: sum(c[x] for c in rows.values()) for x in languages}
+        for key, c in rows.items():
+            add = 0.1 * len(rows) * sum(c.values()) / everything
+            raw = [math.log(c[x] + add) - math.log(of[x] + 0.1 * len(rows)) for x in languages]
+            score[kind, key] = [r - sum(raw) / len(raw) for r in raw]
+    out = []
+    for text in probe:
+        total = [math.log(sum(y == x for _, y in train) / len(train)) for x in languages]
+        for w in split(text):
+            rows = [score["w", w]] if ("w", w) in score else []
+            for n in (4, 3, 2, 1):
+                rows = rows or [score["g", g] for g in grams(w, n) if ("g", g) in score]
+            for r in rows:
+                total = [a + b / len(rows) for a, b in zip(total, r)]
+        best = max(range(len(languages)), key=total.__getitem__)
+        share = 1 / sum(math.exp(x - total[best]) for x in total)
+        out.append((languages[best], share) if split(text) else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    """Every word and n-gram of the sampled texts counts, none is cut off as too rare."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    train = [(r.text, r.lang) for r in rows if not held(r.doc_id, 5) and r.lang is not None]
+    want = plain_language(train, [r.text for r in rows])
+    got = {r.doc_id: r for r in queries.QUERIES["op6_language"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for r, (lang, share) in zip(rows, want):
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(share, abs=1e-6)
+
+
 def test_language_backs_off_by_length():
     model = language.Model(["a", "b"], np.zeros(2), {}, {"^ab": 0, "b": 1}, np.array([[1.0, -1.0], [-1.0, 1.0]]))
     assert model.grams_known("abc") == [0]
@@ -102,6 +147,38 @@ def test_quality_edges(spark, odd, nothing):
     assert {r.score for r in quality.quality(probe, untrained).collect()} == {0.5}
 
 
+def test_quality_equals_brute_force(spark, monkeypatch):
+    """Dictionaries and curve of the operator, sizes and probabilities by plain Python."""
+    import zstandard
+
+    docs, labels = (table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "labels"))
+    model = quality.fit(docs, quality.training_labels(labels))
+    pair = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = {r.doc_id: r for r in quality.quality(docs, model).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        good, bad = (sum(len(c.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)) for c in pair)
+        logit = model.slope * (bad - good) / (len(data) + 64) + model.shift * len(data) / (len(data) + 64) + model.prior
+        score = 1 / (1 + math.exp(-logit))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9)
+        assert got[r.doc_id].predicted == (score >= 0.3) and got[r.doc_id].held_out == held(r.doc_id, 5)
+
+
+def test_quality_reads_all_pieces_of_sampled_texts(spark, make, monkeypatch):
+    """Each piece is a sample once, in groups on the executors, whatever their number."""
+    texts = ["".join(chr(97 + (i * j) % 26) for j in range(1, 3500 + i)) for i in range(30)] + ["", "short"]
+    df = make(texts).selectExpr("1 AS label", "doc_id AS seed", "text")
+    cut = quality._cut(df).collect()
+    whole = {}
+    for r in sorted(cut, key=lambda r: (r.seed, r.i)):
+        whole[r.seed] = whole.get(r.seed, b"") + bytes(r.piece)
+    assert [whole.get(i, b"").decode() for i in range(len(texts))] == texts
+    one = quality._dictionaries(df, 2048)
+    monkeypatch.setattr(quality, "GROUP_BYTES", 20_000)
+    many = quality._dictionaries(df, 2048)
+    assert list(one) == list(many) == [1] and 0 < len(many[1]) <= 2048
+
+
 def base_of(rows, modulus=10):
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]
     out = [held(i, modulus) for i, _ in rows]
