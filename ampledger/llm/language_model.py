@@ -1,12 +1,17 @@
 """A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
 
-A token is predicted in two steps. The first says from the context whether it is one of the
-commonest words or which hash bucket it belongs to; the second predicts the word inside that
-group. Inside a group the restaurants form a tree: a common preceding word has a restaurant of
-its own, its parent is shared by all words with the same ending, their parent is the group's root, and the
-root draws from equally likely words, one of them standing for all unseen ones. Groups are
-independent of each other given the first step, so every group is sampled in a task of its
-own and the probabilities of all words still sum to one.
+A token is predicted in two steps: first its dish, one of the commonest words or a hash bucket
+of all other words, then the word inside the bucket. Both steps depend on the word before,
+and every word that ever stood before another has a restaurant of its own:
+
+* In the first step the restaurants of contexts share as parents the classes of word endings,
+  whose parent is the whole table. Tokens are dealt by the hash of their context.
+* Inside a bucket there is a restaurant for every context, below those of endings, below the
+  bucket's root, which draws from equally likely words, one of them standing for all unseen
+  ones. Tokens are dealt by the hash of their word.
+
+The logarithms of the two steps add up, so each is summed by text where it is sampled, and the
+probabilities of all words still sum to one.
 """
 
 from __future__ import annotations
@@ -21,16 +26,16 @@ from pyspark.sql import functions as F
 from ampledger.llm.common import documents_of, pieces, remainder_of_id, scratch
 from ampledger.llm.words import VISIBLE, hash_spans, mix, word_spans
 
-#: Words that have a restaurant of their own and form the group of common words. The table
-#: of their counts by context is bounded by COMMON * (COMMON + 1 + ENDINGS + 1) cells.
+#: Words that are dishes of the first step, and as contexts so frequent that their restaurants
+#: are kept as one broadcast table of at most COMMON * (COMMON + 1 + ENDINGS + 1) cells.
 COMMON = 400
 #: Classes of word endings (hashes of the last two bytes).
 ENDINGS = 1024
 #: Training tokens of one bucket, about.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 500_000
 #: Buckets that one task samples one after the other, and tasks at least. Their sums are added
 #: up before they leave the task, in parts of some number of texts.
-BUCKETS_OF_TASK = 8
+BUCKETS_OF_TASK = 32
 RARE_TASKS = 16
 GATHERED_KEYS = 1_000_000
 #: Bytes of text that a task gathers before it deals tokens to buckets.
@@ -101,7 +106,7 @@ class Common:
         return np.where(self.words[at] == hashes, at, -1) if len(self.words) else np.full(len(hashes), -1)
 
     def context(self, tokens: Tokens) -> np.ndarray:
-        """Code of the restaurant of each token: a common word, or else an ending class."""
+        """Code of the context of each token: a common word, or else an ending class."""
         own = self.number(tokens.previous)
         return np.where(own >= 0, own, len(self.words) + tokens.ending)
 
@@ -155,16 +160,20 @@ def seat(
 
 
 class Group:
-    """The restaurants of one group: counts of training tokens by context and word."""
+    """The restaurants of one group: counts of training tokens by room, ending and word.
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, known: int, common: Common, seed: int):
-        self.common, self.words, self.known = common, words, known
+    A room is the restaurant of one context; -1 are tokens that sit at their ending at once.
+    """
+
+    def __init__(
+        self, room: np.ndarray, ending: np.ndarray, word: np.ndarray, count: np.ndarray, rooms: int, words: int, known: int, seed: int
+    ):
+        self.rooms, self.words, self.known = rooms, words, known
         self.rng = np.random.default_rng([seed, 8])
-        own = context < len(common.words)
-        # Leaves: cells of common contexts. Middle: cells of ending classes. Root: words.
-        self.c2, self.r2, self.w2 = count[own], context[own], word[own]
-        middle = np.concatenate([common.parent[context] * words + word]) if len(word) else np.zeros(0, np.int64)
-        self.key1, cell = np.unique(middle, return_inverse=True)
+        own = room >= 0
+        # Leaves: cells of rooms. Middle: cells of ending classes. Root: words.
+        self.c2, self.r2, self.w2 = count[own], room[own], word[own]
+        self.key1, cell = np.unique(ending * words + word, return_inverse=True)
         self.up2 = cell[own]  # middle cell of each leaf cell
         self.direct1 = np.bincount(cell[~own], weights=count[~own], minlength=len(self.key1)).astype(np.int64)
         self.r1, self.w1 = np.divmod(self.key1, words) if words else (self.key1, self.key1)
@@ -207,7 +216,7 @@ class Group:
         root = self._root()
         back1, size1 = self._level(self.c1, self.t1, self.r1, rooms, self.d[1], STRENGTH[1])
         middle = (self.c1 - self.d[1] * self.t1) / size1[self.r1] + back1[self.r1] * root[self.w1]
-        total2 = np.bincount(self.r2, weights=self.t2, minlength=len(self.common.words))
+        total2 = np.bincount(self.r2, weights=self.t2, minlength=self.rooms)
         self.t2 = seat(self.c2, self.r2, self.t2, total2, middle[self.up2], self.d[2], STRENGTH[2], self.rng)
         self._count_up()
         total1 = np.bincount(self.r1, weights=np.minimum(self.t1, self.c1), minlength=rooms)
@@ -219,16 +228,15 @@ class Group:
             self.c0, np.zeros(self.words, int), np.minimum(self.t0, self.c0), total0, flat, self.d[0], STRENGTH[0], self.rng
         )
 
-    def predict(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def predict(self, room: np.ndarray, ending: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Probabilities of cells under the present seating."""
-        ending = self.common.parent[context]
         root = self._root()[word]
         back, size = self._level(self.c1, self.t1, self.r1, ENDINGS + 1, self.d[1], STRENGTH[1])
         p = back[ending] * root + self._found(self.key1, self.c1 - self.d[1] * self.t1, ending * self.words + word) / size[ending]
-        own = context < len(self.common.words)
-        back, size = self._level(self.c2, self.t2, self.r2, len(self.common.words), self.d[2], STRENGTH[2])
-        kept = self._found(self.key2, self.c2 - self.d[2] * self.t2, context[own] * self.words + word[own])
-        p[own] = back[context[own]] * p[own] + kept / size[context[own]]
+        own = room >= 0
+        back, size = self._level(self.c2, self.t2, self.r2, self.rooms, self.d[2], STRENGTH[2])
+        kept = self._found(self.key2, self.c2 - self.d[2] * self.t2, room[own] * self.words + word[own])
+        p[own] = back[room[own]] * p[own] + kept / size[room[own]]
         return p
 
     @staticmethod
@@ -238,16 +246,36 @@ class Group:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], 0.0)
 
-    def averaged(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def averaged(self, room: np.ndarray, ending: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Predictive probabilities averaged over the seatings after the burn-in."""
         total = np.zeros(len(word))
         for i in range(BURN_IN + SAMPLES):
             self.sweep()
             if i >= BURN_IN:
-                total += self.predict(context, word)
+                total += self.predict(room, ending, word)
         return total / SAMPLES
 
 
+def context_rooms(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rooms: int, seed: int) -> np.ndarray:
+    """Averaged probabilities of cells, a dish in a room, below fixed parent probabilities;
+    cells without training tokens have a count of 0."""
+    rng = np.random.default_rng([seed, 9])
+    used = count > 0
+    c, r, p = count[used], room[used], parent[used]
+    d, strength = _discount(c), STRENGTH[2]
+    t = np.minimum(c, 1)
+    size = strength + np.bincount(r, weights=c, minlength=rooms)
+    total = np.zeros(len(count))
+    for i in range(BURN_IN + SAMPLES):
+        t = seat(c, r, t, np.bincount(r, weights=t, minlength=rooms), p, d, strength, rng)
+        if i >= BURN_IN:
+            back = (strength + d * np.bincount(r, weights=t, minlength=rooms)) / size
+            now = back[room] * parent
+            now[used] += (c - d * t) / size[r]
+            total += now
+    return total / SAMPLES
+
+
 class Tally:
     """How often each key stood, merged whenever many are held; a key has one value."""
 
@@ -329,10 +357,16 @@ class Shares:
     """
 
     buckets: int
+    overall: np.ndarray  # rare training tokens by bucket
     total: np.ndarray  # rare training tokens by context
     types: tuple[np.ndarray, np.ndarray]  # buckets seen, by ending and by context
     discount: tuple[float, float]
 
+    @property
+    def plain(self) -> np.ndarray:
+        """Share of every bucket whatever the context."""
+        return (self.overall + 1) / (self.overall.sum() + self.buckets)
+
     def of_bucket(self, found: np.ndarray, common: Common) -> np.ndarray:
         """Probability of a bucket by context code, from its training tokens by context."""
         parent, h = common.parent, len(common.words)
@@ -377,6 +411,9 @@ def _context_counts(rows: DataFrame, common: Common, buckets: int) -> tuple[np.n
         counts[r.context, r.word] = r.n
     parent = F.element_at(F.lit(common.parent.tolist()), F.col("context") + 1)
     by_bucket = summed.where(F.col("word") >= h)
+    overall = np.zeros(buckets)
+    for r in by_bucket.groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row per bucket
+        overall[r.word - h] = r.n
     types, discount = [], []
     for size, rows_of in (
         (ENDINGS + 1, by_bucket.groupBy(parent.alias("context"), "word").agg(F.sum("n").alias("n"))),
@@ -390,42 +427,71 @@ def _context_counts(rows: DataFrame, common: Common, buckets: int) -> tuple[np.n
         one, two = sum(r.one for r in seen), sum(r.two for r in seen)
         types.append(at)
         discount.append(float(np.clip(one / max(1, one + 2 * two), 0.05, 0.95)))
-    return counts, Shares(buckets, counts[:, -1], tuple(types), tuple(discount))
+    return counts, Shares(buckets, overall, counts[:, -1], tuple(types), tuple(discount))
+
+
+#: Columns of dealt tokens; a bucket is dealt twice, by words and, ``buckets`` further, by contexts.
+DEALT = ["bucket", "keys", "owners", "sizes", "texts", "others", "marks"]
+COMMON_MARK, TRAIN_MARK = np.uint16(1 << 14), np.uint16(1 << 15)
 
 
 def _deal(rows: DataFrame, common: Common, buckets: int) -> DataFrame:
-    """Rare tokens of all texts, packed by bucket: the distinct words with their numbers,
-    and for each token, in the order of words, its text and context. The top bit of a
-    context marks training."""
-    columns = ["bucket", "keys", "words", "sizes", "texts", "contexts"]
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+    """Tokens of all texts, packed by bucket: the distinct owners (rare words, or else rare
+    contexts) with their numbers, and for each token, in the order of owners, its text, the
+    other side and a mark.
+
+    Dealt by word, the other side is the number of a common context or 32 bits of the hash of
+    another one, which its ending class in the mark completes to 42. Dealt by context, it is
+    the dish, and the mark has the ending of the context. The top bit marks training.
+    """
+    h = len(common.words)
+    kinds = [pa.int32(), *[pa.binary()] * (len(DEALT) - 1)]
 
     def run(batches):
         held: list[tuple] = []
         size = texts = 0
 
-        def dealt():
-            key, text, word, context = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(word, kind="stable")
-            word, text, context = word[order], text[order], context[order]
-            bucket = _bucket_of(word, buckets)
+        def packed(key, number, owner, text, other, mark):
+            order = np.argsort(owner, kind="stable")
+            owner, text, other, mark = owner[order], text[order], other[order], mark[order]
+            bucket = _bucket_of(owner, buckets)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
             for b in np.flatnonzero(edges[1:] > edges[:-1]):
                 part = slice(edges[b], edges[b + 1])
                 used, local = np.unique(text[part], return_inverse=True)
-                words, n = np.unique(word[part], return_counts=True)
-                arrays = (key[used], words, n.astype(np.uint32), local.astype(np.uint32), context[part])
-                out.append((b, *[x.tobytes() for x in arrays]))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=columns)
+                owners, n = np.unique(owner[part], return_counts=True)
+                local = local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                yield (number + b, *[x.tobytes() for x in (key[used], owners, n.astype(np.uint32), local, other[part], mark[part])])
+
+        def dealt():
+            key = np.concatenate([x[0] for x in held])
+            out = []
+            for side in (0, 1):
+                parts = [np.concatenate(x) for x in zip(*[x[1][side] for x in held])]
+                out += packed(key, side * buckets, *parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(DEALT), kinds)], names=DEALT
+            )
 
         for batch in pieces(batches, "text", 2 << 20):
             tokens = tokens_of(batch.column("text"))
             train = np.asarray(batch.column("train").to_pylist(), bool)[tokens.text]
-            rare = common.number(tokens.word) < 0
-            context = common.context(tokens)[rare] + (train[rare] << 15)
-            key = batch.column("key").to_numpy()
-            held.append((key, (tokens.text[rare] + texts).astype(np.uint32), tokens.word[rare], context.astype(np.uint16)))
+            number, before = common.number(tokens.word), common.number(tokens.previous)
+            text = (tokens.text + texts).astype(np.uint32)
+            mark = tokens.ending.astype(np.uint16) | np.where(train, TRAIN_MARK, np.uint16(0))
+            by_word = number < 0
+            other = np.where(before >= 0, before.astype(np.uint32), tokens.previous.astype(np.uint32))
+            marks = mark | np.where(before >= 0, COMMON_MARK, np.uint16(0))
+            by_context = (before < 0) & (tokens.previous != 0)
+            dish = np.where(by_word, h + _bucket_of(tokens.word, buckets), number).astype(np.uint32)
+            sides = [
+                [x[chosen] for x in (owner, text, side, m)]
+                for chosen, owner, side, m in (
+                    (by_word, tokens.word, other, marks),
+                    (by_context, tokens.previous, dish, mark),
+                )
+            ]
+            held.append((batch.column("key").to_numpy(), sides))
             texts += len(batch)
             size += batch.column("text").nbytes
             if size >= DEAL_BYTES:
@@ -434,42 +500,110 @@ def _deal(rows: DataFrame, common: Common, buckets: int) -> DataFrame:
         if held:
             yield dealt()
 
-    schema = "bucket int, keys binary, words binary, sizes binary, texts binary, contexts binary"
+    schema = "bucket int, " + ", ".join(f"{c} binary" for c in DEALT[1:])
     return rows.select("key", "text", "train").mapInArrow(run, schema)
 
 
-def _score_bucket(parts: list[tuple], common: Common, seed: int, shares: Shares) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """Sample one bucket. Keys of texts, their sums of log probability, base and known
-    words, and the number of words in the bucket's training tokens."""
-    words = np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts])
-    sizes = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts])
-    distinct, number = np.unique(words, return_inverse=True)
-    word = np.repeat(number, sizes)
-    del words, number, sizes
-    key = [np.frombuffer(p[0], np.int64) for p in parts]
-    start = np.concatenate([[0], np.cumsum([len(k) for k in key])])
-    text = np.concatenate([np.frombuffer(p[3], np.uint32).astype(np.int64) + start[i] for i, p in enumerate(parts)])
-    code = np.concatenate([np.frombuffer(p[4], np.uint16) for p in parts])
-    train = code >= 1 << 15
-    context = (code & 0x7FFF).astype(np.int64)
-    seen = np.bincount(word[train], minlength=len(distinct))
-    cells, cell = np.unique(context * len(distinct) + word, return_inverse=True)
+@dataclass
+class Part:
+    """All tokens of one bucket, dealt by word or by context."""
+
+    keys: np.ndarray  # of texts
+    owners: np.ndarray
+    owner: np.ndarray  # number of the owner by token
+    text: np.ndarray
+    other: np.ndarray
+    mark: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple]) -> Part:
+        owners, number = np.unique(np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts]), return_inverse=True)
+        owner = np.repeat(number, np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]))
+        keys = [np.frombuffer(p[0], np.int64) for p in parts]
+        texts, start = [], 0
+        for key, p in zip(keys, parts):
+            width = len(p[3]) // (len(p[5]) // 2)
+            texts.append(np.frombuffer(p[3], f"u{width}").astype(np.int64) + start)
+            start += len(key)
+        other = np.concatenate([np.frombuffer(p[4], np.uint32) for p in parts])
+        mark = np.concatenate([np.frombuffer(p[5], np.uint16) for p in parts])
+        return cls(np.concatenate(keys), owners, owner, np.concatenate(texts), other, mark)
+
+    @property
+    def train(self) -> np.ndarray:
+        return self.mark >= TRAIN_MARK
+
+    @property
+    def ending(self) -> np.ndarray:
+        return (self.mark & np.uint16(0x3FFF)).astype(np.int64)
+
+    def sums(self, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys of texts and sums of the weights of their tokens. Rows that repeat an id and
+        a text have one key and the same tokens: each has the mean."""
+        by_text = [np.bincount(self.text, weights=w, minlength=len(self.keys)) for w in weights]
+        keys, sums, rows = _by_key(self.keys, by_text)
+        return keys, [x / rows for x in sums]
+
+
+def _score_words(parts: list[tuple], common: Common, seed: int, shares: Shares) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Sample the restaurants of one bucket. Keys of texts, their sums of log probability, base
+    and known words, and the number of words in the bucket's training tokens."""
+    part = Part.of(parts)
+    train, words = part.train, len(part.owners)
+    seen = np.bincount(part.owner[train], minlength=words)
+    # Rooms: common words keep their numbers, other contexts follow; the start of a text has none.
+    h = len(common.words)
+    name = (part.mark & ~TRAIN_MARK).astype(np.int64) << 32 | part.other
+    names, room = np.unique(name, return_inverse=True)
+    is_common = names >> 32 & int(COMMON_MARK) > 0
+    start = ~is_common & (names >> 32 == ENDINGS)
+    cells, cell = np.unique(room * words + part.owner, return_inverse=True)
     count = np.bincount(cell[train], minlength=len(cells))
-    cell_context, cell_word = np.divmod(cells, len(distinct))
+    of_name, cell_word = np.divmod(cells, words)
+    cell_room = np.where(start[of_name], -1, of_name)
+    cell_ending = (names >> 32 & 0x3FFF)[of_name]
     used = count > 0
     group = Group(
-        cell_context[used], cell_word[used], count[used], len(distinct), int((seen > 0).sum()), common, seed
+        cell_room[used], cell_ending[used], cell_word[used], count[used], len(names), words, int((seen > 0).sum()), seed
     )
-    share = shares.of_bucket(np.bincount(context[train], minlength=common.codes), common)
-    logs = np.log10(group.averaged(cell_context, cell_word)) + np.log10(share)[cell_context]
-    keys = np.concatenate(key)
-    n = len(keys)
-    s = np.bincount(text, weights=logs[cell], minlength=n)
-    base = np.bincount(text, weights=np.log10(seen + 0.1)[word], minlength=n)
-    known = np.bincount(text, weights=(seen > 0)[word], minlength=n).astype(np.int64)
-    # Rows that repeat an id and a text have one key and the same tokens: each has the mean.
-    distinct_keys, sums, rows = _by_key(keys, [s, base, known])
-    return distinct_keys, [x / rows for x in sums], int((seen > 0).sum())
+    logs = np.log10(group.averaged(cell_room, cell_ending, cell_word))
+    # The step to the bucket, from contexts that are not dealt by themselves.
+    code = np.where(is_common, names & 0xFFFFFFFF, h + (names >> 32 & 0x3FFF))
+    share = shares.of_bucket(np.bincount(code[room[train]], minlength=common.codes), common)
+    here = (is_common | start)[of_name]
+    logs[here] += np.log10(share)[code[of_name[here]]]
+    keys, sums = part.sums(logs[cell], np.log10(seen + 0.1)[part.owner], (seen > 0)[part.owner])
+    return keys, sums, int((seen > 0).sum())
+
+
+@dataclass
+class Dishes:
+    """Probabilities of dishes by ending class, the parents of the restaurants of contexts."""
+
+    common: np.ndarray  # by ending class and common word
+    rare: np.ndarray  # by ending class
+    share: np.ndarray  # by bucket
+
+    def of(self, ending: np.ndarray, dish: np.ndarray) -> np.ndarray:
+        h = self.common.shape[1]
+        out = self.rare[ending] * self.share[np.maximum(dish - h, 0)]
+        inside = dish < h
+        out[inside] = self.common[ending[inside], dish[inside]]
+        return out
+
+
+def _score_contexts(parts: list[tuple], seed: int, dishes: Dishes) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """The first step of the contexts of one bucket, in the form of ``_score_words``."""
+    part = Part.of(parts)
+    ending = np.zeros(len(part.owners), np.int64)
+    ending[part.owner] = part.ending
+    width = dishes.common.shape[1] + len(dishes.share)
+    cells, cell = np.unique(part.owner * width + part.other.astype(np.int64), return_inverse=True)
+    count = np.bincount(cell[part.train], minlength=len(cells))
+    room, dish = np.divmod(cells, width)
+    p = context_rooms(room, count, dishes.of(ending[room], dish), len(part.owners), seed)
+    none = np.zeros(len(cell))
+    return *part.sums(np.log10(p)[cell], none, none), 0
 
 
 def _by_key(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -481,14 +615,20 @@ def _by_key(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, lis
 SUMS = "key long, s double, base double, known long, vocabulary long"
 
 
-def _rare(dealt: DataFrame, common: Common, shares: Shares) -> DataFrame:
+def _rare(dealt: DataFrame, tables: Tables, shares: Shares) -> DataFrame:
+    common, buckets = tables.common, shares.buckets
+    shared = dealt.sparkSession.sparkContext.broadcast(tables.dishes(shares))  # bounded by COMMON, ENDINGS and buckets
+
     def run(batches):
         now, parts = None, []
         keys, sums, vocabulary = np.zeros(0, np.int64), [np.zeros(0)] * 3, 0
 
         def close() -> None:
             nonlocal keys, sums, vocabulary, parts
-            found, more, words = _score_bucket(parts, common, now, shares)
+            if now < buckets:
+                found, more, words = _score_words(parts, common, now, shares)
+            else:
+                found, more, words = _score_contexts(parts, now, shared.value)
             both = [np.concatenate(x) for x in zip(sums, more)]
             keys, sums, _ = _by_key(np.concatenate([keys, found]), both)
             vocabulary, parts = vocabulary + words, []
@@ -511,7 +651,7 @@ def _rare(dealt: DataFrame, common: Common, shares: Shares) -> DataFrame:
             return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "keys", "words", "sizes", "texts", "contexts")]
+            columns = [batch.column(c).to_pylist() for c in DEALT]
             for bucket, *part in zip(*columns):
                 if bucket != now and parts:
                     close()
@@ -524,8 +664,9 @@ def _rare(dealt: DataFrame, common: Common, shares: Shares) -> DataFrame:
             close()
         yield gathered()
 
-    tasks = max(RARE_TASKS, -(-shares.buckets // BUCKETS_OF_TASK))
-    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SUMS)
+    tasks = max(RARE_TASKS, -(-2 * buckets // BUCKETS_OF_TASK))
+    by_task = dealt.repartitionById(tasks, F.col("bucket") % tasks)
+    return by_task.sortWithinPartitions("bucket").mapInArrow(run, SUMS)
 
 
 @dataclass
@@ -538,6 +679,10 @@ class Tables:
     log_base: np.ndarray  # by common word
     known: np.ndarray
 
+    def dishes(self, shares: Shares) -> Dishes:
+        h = len(self.common.words)
+        return Dishes(10 ** self.log_word[h:], 10 ** self.log_rare[h:], shares.plain)
+
 
 def _tables(common: Common, counts: np.ndarray) -> Tables:
     """From the counts of contexts (rows) and common words, the last column rare words."""
@@ -552,9 +697,10 @@ def _tables(common: Common, counts: np.ndarray) -> Tables:
     first[:h] = (own[:h] + FIRST_STEP * first[:h]) / (total[:h] + FIRST_STEP)
     context, word = np.nonzero(counts[:, :h])
     seen = counts[:, :h].sum(axis=0)
-    group = Group(context, word, counts[context, word], h, int((seen > 0).sum()), common, -1 & 0xFFFF)
+    room = np.append(np.arange(h), np.full(ENDINGS + 1, -1))
+    group = Group(room[context], parent[context], word, counts[context, word], h, h, int((seen > 0).sum()), -1 & 0xFFFF)
     c, w = (x.ravel() for x in np.mgrid[: common.codes, :h])
-    inside = group.averaged(c, w).reshape(common.codes, h)
+    inside = group.averaged(room[c], parent[c], w).reshape(common.codes, h)
     return Tables(common, np.log10(inside * first[:, None]), np.log10(1 - first), np.log10(seen + 0.1), seen > 0)
 
 
@@ -570,6 +716,8 @@ def _common_part(rows: DataFrame, tables: Tables) -> DataFrame:
             common = number >= 0
             s = known.log_rare[context]
             s[common] = known.log_word[context[common], number[common]]
+            # The dishes of other contexts are dealt by context.
+            s[(known.common.number(tokens.previous) < 0) & (tokens.previous != 0)] = 0
             base = np.where(common, known.log_base[number], 0.0)
             counts = np.where(common, known.known[number], False)
             n = len(batch)
@@ -614,7 +762,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulu
     buckets = max(1, -(-tokens // (2 * BUCKET_TOKENS)))  # about half of the tokens are rare
     counts, shares = _context_counts(rows, common, buckets)
     tables = _tables(common, counts)
-    rare = _rare(_deal(rows, common, buckets), common, shares)
+    rare = _rare(_deal(rows, common, buckets), tables, shares)
     sums = [F.sum(c).alias(f"_{c}") for c in ("s", "base", "known", "vocabulary")]
     by_key = scratch(rare.groupBy("key").agg(*sums), "rare-sums")
     vocabulary = int(tables.known.sum()) + (by_key.agg(F.sum("_vocabulary").alias("v")).first().v or 0)

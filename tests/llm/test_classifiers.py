@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import words
 from pyspark.sql import functions as F
 
 from ampledger.llm import language, language_model, quality, queries
@@ -250,30 +251,140 @@ def test_bucket_shares_sum_to_one():
     by_ending = np.zeros((language_model.ENDINGS + 1, 9), int)
     np.add.at(by_ending, common.parent, found)
     types = ((by_ending > 0).sum(axis=1), (found > 0).sum(axis=1))
-    shares = language_model.Shares(9, found.sum(axis=1), types, (0.5, 0.4))
+    shares = language_model.Shares(9, found.sum(axis=0), found.sum(axis=1), types, (0.5, 0.4))
+    assert shares.plain.sum() == pytest.approx(1)
     each = np.array([shares.of_bucket(found[:, b], common) for b in range(9)])
     assert each.sum(axis=0) == pytest.approx(np.ones(common.codes))
     assert each[0, 0] > 0.98
 
 
+def cells_of(rng, rooms=12, words=31, n=600):
+    """Rooms below three endings, some tokens at an ending itself."""
+    room = np.where(rng.random(n) < 0.7, rng.integers(0, rooms, n), -1)
+    ending = np.where(room >= 0, np.maximum(room, 0) % 3, rng.integers(0, 4, n))
+    word = (rng.zipf(1.5, n) + np.maximum(room, 0)) % (words - 1)
+    (room, ending, word), count = np.unique(np.stack([room, ending, word]), axis=1, return_counts=True)
+    return room, ending, word, count
+
+
 def test_group_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    common = language_model.Common(np.sort(rng.integers(1, 2**60, 5).astype(np.uint64)), np.array([3, 3, 9, 9, 9]))
-    context = np.concatenate([rng.integers(0, 5, 300), 5 + rng.integers(0, 12, 300)])
-    word = rng.zipf(1.5, 600) % 30
-    cells, count = np.unique(context * 31 + word, return_counts=True)
-    group = language_model.Group(cells // 31, cells % 31, count * 3, 31, len(np.unique(word)), common, 1)
+    room, ending, word, count = cells_of(np.random.default_rng(3))
+    known = np.unique(word)
+    group = language_model.Group(room, ending, word, count * 3, 14, 31, len(known), 1)
     for _ in range(3):
         group.sweep()
         assert (group.t2 >= 1).all() and (group.t2 <= group.c2).all()
         assert (group.t1 >= 1).all() and (group.t1 <= group.c1).all()
-        known = np.unique(word)
-        for code in (0, 4, 5, 8, 5 + 700):
-            p = group.predict(np.full(len(known), code), known).sum()
-            unseen = group.predict(np.array([code]), np.array([30]))[0]
+        for r, e in ((0, 0), (4, 1), (13, 2), (-1, 1), (-1, 700)):  # room 13 has no customers
+            one = np.ones(len(known), int)
+            p = group.predict(r * one, e * one, known).sum()
+            unseen = group.predict(np.array([r]), np.array([e]), np.array([30]))[0]
             assert p + unseen == pytest.approx(1.0)
 
 
+def plain_restaurants(customers, d, known, sweeps, seed):
+    """Table counts of (room, ending, word) cells, seated customer by customer through all
+    three levels; a list of seatings after every sweep."""
+    rng = random.Random(seed)
+    tables = {2: {}, 1: {}, 0: {}}  # sizes of the tables of each cell
+    size = {2: Counter(), 1: Counter(), 0: Counter()}
+    n_tables = {2: Counter(), 1: Counter(), 0: Counter()}
+
+    def path(room, ending, word):
+        out = [(1, ending, word), (0, 0, word)]
+        return [(2, room, word), *out] if room >= 0 else out
+
+    def chance(level, place):
+        if level == len(place):
+            return 1 / (known + 1)
+        at, room, word = place[level]
+        up = chance(level + 1, place)
+        here = tables[at].get((room, word), [])
+        return (sum(here) - d[at] * len(here) + (1 + d[at] * n_tables[at][room]) * up) / (1 + size[at][room])
+
+    def add(level, place):
+        if level == len(place):
+            return
+        at, room, word = place[level]
+        here = tables[at].setdefault((room, word), [])
+        fresh = (1 + d[at] * n_tables[at][room]) * chance(level + 1, place)
+        pick = rng.random() * (sum(here) - d[at] * len(here) + fresh)
+        size[at][room] += 1
+        for i, k in enumerate(here):
+            pick -= k - d[at]
+            if pick < 0:
+                here[i] += 1
+                return
+        here.append(1)
+        n_tables[at][room] += 1
+        add(level + 1, place)
+
+    def remove(level, place):
+        if level == len(place):
+            return
+        at, room, word = place[level]
+        here = tables[at][(room, word)]
+        i = rng.choices(range(len(here)), weights=here)[0]
+        here[i] -= 1
+        size[at][room] -= 1
+        if not here[i]:
+            del here[i]
+            n_tables[at][room] -= 1
+            remove(level + 1, place)
+
+    for who in customers:
+        add(0, path(*who))
+    for _ in range(sweeps):
+        for who in customers:
+            remove(0, path(*who))
+            add(0, path(*who))
+        yield lambda room, ending, word: chance(0, path(room, ending, word))
+
+
+def test_group_follows_one_by_one_seating(monkeypatch):
+    """Averaged probabilities against a sampler that moves one customer at a time."""
+    room, ending, word, count = cells_of(np.random.default_rng(8), rooms=6, words=12, n=300)
+    known = len(np.unique(word))
+    monkeypatch.setattr(language_model, "SAMPLES", 60)
+    group = language_model.Group(room, ending, word, count, 6, 12, known, 4)
+    wanted = [(r, r % 3, w) for r in range(6) for w in range(12)] + [(-1, e, w) for e in range(5) for w in range(12)]
+    got = group.averaged(*np.array(wanted).T)
+    customers = [(int(r), int(e), int(w)) for r, e, w, n in zip(room, ending, word, count) for _ in range(n)]
+    total = np.zeros(len(wanted))
+    for i, chance in enumerate(plain_restaurants(customers, group.d, known, 70, 5)):
+        if i >= 10:
+            total += [chance(*x) for x in wanted]
+    difference = np.log10(got) - np.log10(total / 60)
+    assert abs(difference).max() < 0.15 and abs(difference.mean()) < 0.02 and difference.std() < 0.05
+
+
+def test_every_context_has_a_room():
+    """Dishes of a room sum to one, and what a rare context determines is expected of it."""
+    room, dish = (x.ravel() for x in np.mgrid[:50, :20])
+    count = np.where(dish == room % 20, 4, 0)
+    count[room == 7] = 0
+    parent = np.full(1000, 0.05)
+    p = language_model.context_rooms(room, count, parent, 50, 1).reshape(50, 20)
+    assert p.sum(axis=1) == pytest.approx(np.ones(50))
+    assert p[7] == pytest.approx(parent[:20]) and all(p[r, r % 20] > 0.7 for r in range(50) if r != 7)
+
+
+@pytest.mark.parametrize("bucket", [3_000_000, 500])
+def test_rare_contexts_are_learned(make, monkeypatch, bucket):
+    """Of held-out texts of words that are all rare, those in training too are told apart."""
+    monkeypatch.setattr(language_model, "COMMON", 10)
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", bucket)
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, 60, 2000)) for _ in range(200)]
+    inside = [i for i in range(400) if not held(i, 10)][:150]
+    outside = [i for i in range(1000) if held(i, 10)][:20]
+    rows = [*zip(inside, texts), *[(i, texts[k] if k % 2 else texts[-k - 1]) for k, i in enumerate(outside)]]
+    got = {r.doc_id: r.score / r.n_tokens for r in language_model.scores(make(rows)).where("held_out").collect()}
+    seen, new = ([got[i] for k, i in enumerate(outside) if k % 2 == side] for side in (1, 0))
+    # Nearly all pairs stood once, so the discount is high, and still a pair that stood counts.
+    assert min(seen) > max(new) + 1
+
+
 def test_seating_follows_the_restaurant():
     """Mean number of tables of one dish of c customers, by the exact recursion."""
     d, s, p, c, n = 0.5, 1.0, 0.3, 40, 4000
