@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from importlib.metadata import version
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -15,10 +16,11 @@ CACHE_SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens long"
 
 
 def tokenizer_digest(path: str) -> str:
-    """The version of a tokenizer file: the digest of its bytes and of its library."""
+    """The version of a tokenizer: its library, that library's version and the digest of its
+    file. Executors must have the same library as the driver."""
     library = "tokenizers" if path.endswith(".json") else "sentencepiece"
     with open(path, "rb") as file:
-        return f"{library}-{hashlib.sha256(file.read()).hexdigest()}"
+        return f"{library}-{version(library)}-{hashlib.sha256(file.read()).hexdigest()}"
 
 
 def _counter(path: str):
@@ -42,7 +44,7 @@ def _counter(path: str):
     return held[path]
 
 
-def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
+def read_cache(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     """Stored counts of one tokenizer version; a cache that was never written is empty."""
     from pyspark.errors import AnalysisException
 
@@ -52,14 +54,14 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return stored.where(F.col("tokenizer_digest") == version)
+    return stored.where(F.col("tokenizer_digest") == tokenizer)
 
 
 def fill_cache(documents: DataFrame, cache: str, tokenizer: str) -> None:
     """Encode the distinct texts of ``documents(doc_id, text)`` that ``cache`` lacks and
     append their counts."""
-    version = tokenizer_digest(tokenizer)
-    stored = read_cache(documents.sparkSession, cache, version).select("text_digest").distinct()
+    digest_of_tokenizer = tokenizer_digest(tokenizer)
+    stored = read_cache(documents.sparkSession, cache, digest_of_tokenizer).select("text_digest").distinct()
     missing = (
         documents.select(F.unhex(F.sha2("text", 256)).alias("text_digest"), "text")
         .join(stored, "text_digest", "left_anti")
@@ -73,7 +75,7 @@ def fill_cache(documents: DataFrame, cache: str, tokenizer: str) -> None:
             n = count(batch.column("text").to_pylist())
             digest = batch.column("text_digest")
             yield pa.RecordBatch.from_arrays(
-                [digest, pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())],
+                [digest, pa.array([digest_of_tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())],
                 names=["text_digest", "tokenizer_digest", "n_tokens"],
             )
 

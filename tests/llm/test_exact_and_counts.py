@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 
 from ampledger.llm import exact_dedup, packing, token_counts
 from ampledger.session import checkpoint_root
@@ -81,6 +82,26 @@ def test_token_counts_and_cache(spark, odd, nothing, name):
     assert other.count() == 0
 
 
+def test_only_misses_are_encoded(spark, make, monkeypatch):
+    """A second call over old and new texts appends the new ones alone; another version of the
+    library finds none of them."""
+    path = P.path("piece_bpe_32k.model")
+    cache = f"{checkpoint_root(spark)}/cache-{uuid.uuid4().hex}"
+    old = [f"old text {i % 40}" for i in range(90)]
+    token_counts.token_counts(make(old), cache, path).collect()
+    # Counts that the library would not give show that they come from the cache.
+    stored = spark.read.parquet(cache)
+    marked = f"{cache}-marked"
+    stored.withColumn("n_tokens", F.col("n_tokens") + 1000).write.parquet(marked)
+    texts = old + [f"new text {i % 7}" for i in range(20)]
+    got = token_counts.token_counts(make(texts), marked, path).collect()
+    assert len(got) == 110 and all((r.n_tokens > 1000) == (r.doc_id < 90) for r in got)
+    assert spark.read.parquet(marked).count() == 40 + 7
+    monkeypatch.setattr(token_counts, "version", lambda library: "another")
+    assert all(r.n_tokens < 1000 for r in token_counts.token_counts(make(texts), marked, path).collect())
+    assert spark.read.parquet(marked).count() == 2 * 47
+
+
 def encoder():
     return packing.Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
